@@ -6,13 +6,16 @@ word_no, text, x0, x1, top.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordflow.functions import fixed
 from recordflow.functions.geometry import band, box_to_pct
 from recordflow.functions.responses import parse_zone_response
 from recordflow.functions.scalars import field_kind, slug
-from recordflow.operators.ordered import last_wins
+from recordflow.operators.ordered import last_wins, running
 
 CELL_X = 220
 
@@ -146,36 +149,37 @@ def dedupe_keys(df: DataFrame, by: str, key: str, order: list[str], out: str = "
     """Make keys unique per group: the first keeps its base, later ones take the
     lowest free ``_1``, ``_2`` …
 
-    A base that looks like another base with a suffix may collide with it. Such
-    bases form a family (the base without its numeric suffixes); a family's rows
-    take names in order, one family per task. Families without such a collision
-    are numbered by the window alone.
+    Repeats of a base are numbered by ``running``. Only where one base looks like
+    another with a suffix (``sign`` and ``sign_1``) can names collide; the rows of such
+    a family are streamed in order through one task, which keeps the names alone.
     """
-    w = Window.partitionBy(by, key).orderBy(*order)
-    numbered = df.withColumn("_n", F.row_number().over(w) - 1)
-    root = F.regexp_replace(key, r"(_[0-9]+)+$", "")
-    marked = numbered.withColumn("_root", root)
+    columns = [*df.columns, out]
+    marked = running(df, [by, key], order, index="_n").withColumn("_root", F.regexp_replace(key, r"(_[0-9]+)+$", ""))
     mixed = marked.groupBy(by, "_root").agg((F.min(key) != F.max(key)).alias("_mixed")).where("_mixed").select(by, "_root")
     plain = marked.join(mixed, [by, "_root"], "left_anti").withColumn(
-        out, F.when(F.col("_n") == 0, F.col(key)).otherwise(F.concat(key, F.lit("_"), F.col("_n").cast("string"))))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields])
-
-    def take_names(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        taken, following, names = set(), {}, []
-        for base in pdf[key]:
-            name, n = base, following.get(base, 1)
-            while name in taken:
-                name = f"{base}_{n}"
-                n += 1
-            following[base] = n
-            taken.add(name)
-            names.append(name)
-        return pdf.assign(**{out: names})[columns]
-
-    columns = plain.columns
-    clashing = marked.join(mixed, [by, "_root"], "left_semi").groupBy(by, "_root").applyInPandas(take_names, schema)
-    return plain.unionByName(clashing).drop("_n", "_root")
+        out, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.concat(key, F.lit("_"), (F.col("_n") - 1).cast("string"))))
+
+    def take_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        family, taken, following = None, set(), {}
+        for pdf in batches:
+            names = []
+            for group, root, base in zip(pdf[by], pdf["_root"], pdf[key]):
+                if (group, root) != family:
+                    family, taken, following = (group, root), set(), {}
+                name, n = base, following.get(base, 1)
+                while name in taken:
+                    name = f"{base}_{n}"
+                    n += 1
+                following[base] = n
+                taken.add(name)
+                names.append(name)
+            yield pdf.assign(**{out: names})[columns]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*columns).schema.fields)
+    clashing = (
+        marked.join(mixed, [by, "_root"], "left_semi").repartition(by, "_root")
+        .sortWithinPartitions(by, "_root", *order).mapInPandas(take_names, schema))
+    return plain.select(*columns).unionByName(clashing)
 
 
 def detect_zones(fields: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
