@@ -25,7 +25,8 @@ def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
     have, so pairs meet in an equi-join. Both sides are distinct.
     """
     lengths = short.where(F.length("s") > 0).agg(F.array_sort(F.collect_set(F.length("s")))).scalar()
-    probes = long.select("t", F.explode(substrings(F.col("t"), lengths)).alias("s"))
+    sized = long.select("t", lengths.alias("_lengths"))
+    probes = sized.select("t", F.explode(substrings(F.col("t"), F.col("_lengths"))).alias("s"))
     return probes.join(short, "s").where(F.col("s") != F.col("t")).select("s", "t")
 
 

@@ -206,8 +206,8 @@ def _cache(spark, sf):
     return rows
 
 
-CACHE_ROWS = f"(SELECT 'fp' || CAST(o_custkey AS VARCHAR) AS fingerprint, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 86400 AS at, o_custkey % 10 AS c, o_orderkey AS n, o_orderstatus FROM {{orders}} WHERE {OLD})"
-LATEST = f"(SELECT fingerprint, max(at) AS at, arg_max(o_orderstatus, at) AS status, min(c) AS c FROM {CACHE_ROWS} GROUP BY fingerprint)"
+CACHE_ROWS = f"(SELECT 'fp' || CAST(o_custkey AS VARCHAR) AS fingerprint, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 86400 AS tm, o_custkey % 10 AS c, o_orderkey AS n, o_orderstatus FROM {{orders}} WHERE {OLD})"
+LATEST = f"(SELECT fingerprint, max(tm) AS tm, arg_max(o_orderstatus, tm) AS status, min(c) AS c FROM {CACHE_ROWS} GROUP BY fingerprint)"
 
 
 def _latest(spark, sf):
@@ -219,7 +219,7 @@ def _requests(spark, sf):
     return table(spark, sf, "orders").where(f"NOT ({OLD})").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("fp"), F.col("o_custkey").cast("string")).alias("fingerprint"))
 
 
-@query(f"SELECT fingerprint, at AS cached_at, status FROM {LATEST}")
+@query(f"SELECT fingerprint, tm AS cached_at, status FROM {LATEST}")
 def merge_cache(spark, sf):
     c = _cache(spark, sf)
     half = F.col("n") % 2 == 0
@@ -237,12 +237,12 @@ def with_cache(spark, sf):
         misses.agg(n, f, F.lit(0).cast("bigint").alias("filled")).select(F.lit("miss").alias("kind"), "*"))
 
 
-@query(f"SELECT fingerprint FROM {LATEST} WHERE c > 0 AND at >= epoch(TIMESTAMP '1998-06-01') - 400 * 86400")
+@query(f"SELECT fingerprint FROM {LATEST} WHERE c > 0 AND tm >= epoch(TIMESTAMP '1998-06-01') - 400 * 86400")
 def valid_cache(spark, sf):
     return K.valid_cache(_latest(spark, sf), F.lit("1998-06-01").cast("timestamp"), ttl_days=400).select("fingerprint")
 
 
-@query(f"SELECT fingerprint, at AS cached_at, 2 AS field_count FROM {LATEST}")
+@query(f"SELECT fingerprint, tm AS cached_at, 2 AS field_count FROM {LATEST}")
 def list_cache(spark, sf):
     return K.list_cache(_latest(spark, sf)).withColumn("cached_at", F.unix_seconds("cached_at"))
 
@@ -287,14 +287,15 @@ def fill_summary(spark, sf):
     return _fill(spark, sf)["summary"]
 
 
-@query(f"""WITH {FORMS}, v AS (SELECT doc_id, word_no AS pos, 'form.' || 'field' || CAST(word_no % 97 AS VARCHAR) AS full_name, text AS value FROM w WHERE word_no < 60)
+@query(f"""WITH {FORMS}, v AS (SELECT doc_id, 'form.' || 'field' || CAST(word_no % 101 AS VARCHAR) AS full_name, arg_max(text, word_no) AS value FROM w GROUP BY ALL)
 SELECT doc_id, coalesce(v.full_name, d.name) AS name, d.label, coalesce(v.value, '') AS value, d.page + 1 AS page, d.kind AS field_type, CASE WHEN d.name IS NULL THEN 1 ELSE 0 END AS source
 FROM (SELECT doc_id, name, any_value(label) AS label, arg_max(page, page * 1000000 + y * 1000 + x) AS page,
 arg_max(CASE type WHEN '/Tx' THEN 'text' WHEN '/Btn' THEN 'checkbox' ELSE 'other' END, page * 1000000 + y * 1000 + x) AS kind FROM (SELECT f.*, infer.label FROM f JOIN infer USING (doc_id, name)) GROUP BY doc_id, name) d
 FULL OUTER JOIN v ON v.doc_id = d.doc_id AND v.full_name = 'form.' || d.name""".replace("SELECT doc_id, coalesce(v.full_name", "SELECT coalesce(v.doc_id, d.doc_id) AS doc_id, coalesce(v.full_name"))
 def extract(spark, sf):
     w = words(spark, sf)
-    values = w.where("word_no < 60").select("doc_id", F.col("word_no").alias("pos"), F.concat(F.lit("form.field"), (F.col("word_no") % 97).cast("string")).alias("full_name"), F.col("text").alias("value"))
+    full = F.concat(F.lit("form.field"), (F.col("word_no") % 101).cast("string"))
+    values = w.groupBy("doc_id", full.alias("full_name")).agg(F.max("word_no").alias("pos"), F.max_by("text", "word_no").alias("value"))
     return X.extract(values, fields(spark, sf), w).select("doc_id", "name", "label", "value", "page", "field_type", "source")
 
 
