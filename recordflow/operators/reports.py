@@ -25,7 +25,9 @@ def record_stats(mappings: DataFrame, t: float = 0.0, by: Sequence[str] = ("batc
                  detected: DataFrame | None = None) -> DataFrame:
     """Filled and skipped fields and average confidence per record; the average is taken before the threshold."""
     kept = F.coalesce("confidence", F.lit(1.0)) >= t if t > 0 else F.lit(True)
+    hits = [F.bool_or("cache_hit").alias("cache_hit")] if "cache_hit" in mappings.columns else []
     stats = mappings.groupBy(*by).agg(
+        *hits,
         F.count_if(kept).alias("fields_filled"), exact_avg("confidence").alias("avg_confidence"),
         (F.count(F.lit(1)) - F.count_if(kept)).alias("fields_skipped"))
     if detected is None:
@@ -35,17 +37,29 @@ def record_stats(mappings: DataFrame, t: float = 0.0, by: Sequence[str] = ("batc
         "fields_skipped", F.coalesce("fields_skipped", F.lit(0)))
 
 
-def batch_summary(results: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame:
+def _summary() -> list[Column]:
     ok = F.count_if(F.coalesce(F.col("success"), F.lit(False)))
     n = F.count(F.lit(1))
-    return results.groupBy(*by).agg(
-        n.alias("total_records"), ok.alias("successful"), (n - ok).alias("failed"), F.round(ok / n * 100, 1).alias("success_rate"))
+    return [n.alias("total_records"), ok.alias("successful"), (n - ok).alias("failed"), F.round(ok / n * 100, 1).alias("success_rate")]
+
+
+def _confidence(stats: DataFrame) -> list[Column]:
+    hits = F.count_if(F.coalesce(F.col("cache_hit"), F.lit(False))) if "cache_hit" in stats.columns else F.lit(0)
+    return [exact_avg("avg_confidence").alias("avg_confidence"), hits.alias("cache_hits")]
+
+
+def batch_summary(results: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame:
+    return results.groupBy(*by).agg(*_summary())
 
 
 def batch_confidence(stats: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame:
     """Average of the record averages, and cache hits."""
-    hits = F.count_if(F.coalesce(F.col("cache_hit"), F.lit(False))) if "cache_hit" in stats.columns else F.lit(0)
-    return stats.groupBy(*by).agg(exact_avg("avg_confidence").alias("avg_confidence"), hits.alias("cache_hits"))
+    return stats.groupBy(*by).agg(*_confidence(stats))
+
+
+def batch_outcome(results: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """Summary and confidence in one aggregation."""
+    return results.groupBy(*by).agg(*_summary(), *_confidence(results))
 
 
 def usage_counters(events: DataFrame, as_of) -> DataFrame:

@@ -11,6 +11,7 @@ from recordflow.functions import fixed, scalars as S
 from recordflow.functions.responses import parse_mapping_response
 from recordflow.operators import cache as K, matching, reports
 from recordflow.plans.bundle import to_bundle
+from recordflow.session import materialize
 
 PandasMapper = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 MAPPED = "fingerprint string, field_name string, value string, confidence double"
@@ -88,16 +89,16 @@ def fill_batch(records: DataFrame, labeled: DataFrame, profiles: DataFrame | Non
                ) -> dict[str, DataFrame]:
     """Fill forms for whole batches of records.
 
-    Returns ``filled`` (record, field, value), ``results`` (one row per record,
+    Bundles feed both the mapping and the results, so they are written once to
+    the shared folder. Returns ``filled`` (record, field, value), ``results`` (one row per record,
     a failed record included with its error), ``summary`` (per batch) and
     ``fresh`` (newly mapped rows, for the cache).
     """
-    bundles = to_bundle(records, profiles, with_structured=False, shape=shape)
+    bundles = materialize(to_bundle(records, profiles, with_structured=False, shape=shape).select(*by, form, "flat", "error"), "bundles")
     good = bundles.where(F.col("error").isNull())
     mappings, fresh = map_fields(good.select(*by, form, "flat"), labeled, mapper, cache, form, by)
     filled = reports.apply_threshold(mappings, t)
-    stats = reports.record_stats(mappings, t, by).join(
-        mappings.groupBy(*by).agg(F.bool_or("cache_hit").alias("cache_hit")), list(by))
+    stats = reports.record_stats(mappings, t, by)
     forms = labels_digest(labeled, form).select(form, "fields_detected")
     detected = F.coalesce("fields_detected", F.lit(0))
     error = F.coalesce("error", F.when(detected == 0, "No fillable form fields found"))
@@ -110,6 +111,5 @@ def fill_batch(records: DataFrame, labeled: DataFrame, profiles: DataFrame | Non
                 F.when(F.col("success"), F.coalesce("fields_skipped", F.lit(0))).alias("fields_skipped"),
                 "avg_confidence", F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"), "error")
     )
-    batch = [by[0]]
-    summary = reports.batch_summary(results, batch).join(reports.batch_confidence(results, batch), batch)
+    summary = reports.batch_outcome(results, [by[0]])
     return {"filled": filled.select(*by, form, "field_name", "value", "confidence"), "results": results, "summary": summary, "fresh": fresh}

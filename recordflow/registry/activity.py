@@ -284,7 +284,7 @@ def ab_verdict(spark, sf):
 
 
 # Sessions: users with 1 to 4 signers sign in the order of their events.
-SIGNS = "SELECT user_id AS session_id, event_id AS seq, CASE WHEN event_type = 'error' AND user_id % 4 = 0 AND event_id % 5 = 0 THEN 'cancel' ELSE 'sign' END AS action, CAST(CAST(value AS BIGINT) % 5 AS INT) AS signer_index FROM {events}"
+SIGNS = "SELECT user_id AS session_id, event_id AS seq, CASE WHEN event_type = 'error' AND user_id % 4 = 0 AND event_id % 5 = 0 THEN 'cancel' ELSE 'sign' END AS action, CAST(CAST(floor(value) AS BIGINT) % 5 AS INT) AS signer_index FROM {events}"
 
 
 def _sessions(spark, sf):
@@ -332,7 +332,7 @@ def notifications(spark, sf):
     return SG.notifications(SG.fold_signing(bind(spark, sf, SIGNS), people, hot_rows=30)[1], people)
 
 
-@query("""SELECT conv_id AS session_id, count(*) AS total_signers, CASE WHEN conv_id % 3 = 0 THEN 'user' END AS current_name,
+@query("""SELECT conv_id AS session_id, count(*) AS total_signers, CASE WHEN conv_id % 3 = 0 THEN arg_min(role, turn) END AS current_name,
 CASE WHEN conv_id % 4 > 0 THEN '/ui/multisign.html?session_id=s' || CAST(conv_id AS VARCHAR) END AS sign_url, CASE WHEN conv_id % 4 = 0 THEN '/api/v1/signing-sessions/s' || CAST(conv_id AS VARCHAR) || '/download' END AS download_url
 FROM {conversations} GROUP BY conv_id""")
 def session_summary(spark, sf):

@@ -36,7 +36,7 @@ CASE WHEN p_partkey % 7 > 0 THEN p_name END AS drug, CASE WHEN p_partkey % 6 > 0
 CASE WHEN p_partkey % 6 > 0 AND p_partkey % 5 > 0 THEN {pick(STATES, 'p_partkey')} END AS state, p_size, p_type, p_partkey % 10 > 0 AS is_public, p_name FROM {{part}})"""
 
 
-@query(f"""SELECT id, name, category, array_to_string(list_transform(string_split(drug, ' '), x -> upper(x[1]) || x[2:]), ' ') AS drug_name, payer AS payer_name, plan_type, state, specialty,
+@query(f"""SELECT id, name, category, upper(substr(drug, 1, 1)) || substr(split_part(drug, ' ', 1), 2) || ' ' || upper(substr(split_part(drug, ' ', 2), 1, 1)) || substr(split_part(drug, ' ', 2), 2) AS drug_name, payer AS payer_name, plan_type, state, specialty,
 split_part(p_name, ' ', 1) AS indications, p_type || ',Size' || CAST(p_size AS VARCHAR) AS tags, p_size AS pages, k % 3 AS question_count, is_public FROM {SQL_CATALOG}""")
 def template_row(spark, sf):
     d = K.template_row(catalog(spark, sf))

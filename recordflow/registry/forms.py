@@ -271,9 +271,12 @@ def _fill(spark, sf):
     return P.fill_batch(r, _labeled(spark, sf), t=0.5, shape="flat")
 
 
-FILLED = f"""SELECT batch_id, id AS idx, f AS field_name, CASE f WHEN 'MemberName' THEN patient_name WHEN 'Zip' THEN zip
-WHEN 'DOB' THEN substr(dob, 6, 2) || '/' || substr(dob, 9, 2) || '/' || substr(dob, 1, 4) WHEN 'Drug' THEN drug END AS value, 1.0::DOUBLE AS confidence
+# Without a zip or drug the next best keys contain the word: city_state_zip, drug_obtained_via.
+FILLED = f"""SELECT batch_id, id AS idx, f AS field_name, CASE f WHEN 'MemberName' THEN patient_name WHEN 'Zip' THEN coalesce(zip, nullif(concat_ws(', ', city, state), ''))
+WHEN 'DOB' THEN substr(dob, 6, 2) || '/' || substr(dob, 9, 2) || '/' || substr(dob, 1, 4) WHEN 'Drug' THEN coalesce(drug, benefit) END AS value,
+CASE WHEN (f = 'Zip' AND zip IS NULL) OR (f = 'Drug' AND drug IS NULL) THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS confidence
 FROM ({RAW}) r, (VALUES ('MemberName'), ('Zip'), ('DOB'), ('Drug')) t(f) WHERE benefit IS DISTINCT FROM 'bogus' AND batch_id <> 'MACHINERY'"""
+FILLED_AVG = AVG.format(c="confidence")
 
 
 @query(f"SELECT * FROM ({FILLED}) WHERE value IS NOT NULL")
@@ -282,7 +285,8 @@ def fill_batch(spark, sf):
 
 
 @query(f"""SELECT batch_id, count(*) AS total_records, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / CAST(count(*) AS DOUBLE) * 100, 1) AS success_rate,
-CASE WHEN batch_id <> 'MACHINERY' THEN 1.0::DOUBLE END AS avg_confidence, 0 AS cache_hits FROM (SELECT batch_id, batch_id <> 'MACHINERY' AND benefit IS DISTINCT FROM 'bogus' AS ok FROM ({RAW})) GROUP BY batch_id""")
+any_value(c) AS avg_confidence, 0 AS cache_hits FROM (SELECT batch_id, batch_id <> 'MACHINERY' AND benefit IS DISTINCT FROM 'bogus' AS ok FROM ({RAW}))
+LEFT JOIN (SELECT batch_id, {AVG.format(c="c")} AS c FROM (SELECT batch_id, idx, {FILLED_AVG} AS c FROM ({FILLED}) WHERE value IS NOT NULL GROUP BY batch_id, idx) GROUP BY batch_id) USING (batch_id) GROUP BY batch_id""")
 def fill_summary(spark, sf):
     return _fill(spark, sf)["summary"]
 

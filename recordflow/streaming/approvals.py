@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from recordflow.streaming.state import in_order
+
 DEFAULT_HOURS, LEAST_HOURS = 168, 1
 
 
@@ -74,8 +76,8 @@ class ApprovalProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         token, expires, status = self.state.get() if self.state.exists() else (None, None, None)
         out = []
-        for pdf in rows:
-            for e in pdf.sort_values("seq").itertuples():
+        for pdf in in_order(rows):
+            for e in pdf.itertuples():
                 at = int(pd.Timestamp(e.ts).value // 1_000_000)
                 if e.action == "create":
                     hours = DEFAULT_HOURS if pd.isna(e.expires_in_hours) else int(e.expires_in_hours)

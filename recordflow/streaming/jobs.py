@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from recordflow.operators.jobs import fold_jobs
+from recordflow.streaming.state import in_order
 
 __all__ = ["fold_jobs", "fold_tiers", "stream_jobs", "stream_tiers"]
 
@@ -22,8 +23,8 @@ class JobProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status = self.state.get()[0] if self.state.exists() else None
         out = []
-        for pdf in rows:
-            for e in pdf.sort_values("seq").itertuples():
+        for pdf in in_order(rows):
+            for e in pdf.itertuples():
                 if e.action == "create" and status is None:
                     status = e.status or "queued"
                 elif status in (None, "deleted"):
@@ -71,8 +72,8 @@ class TierProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for pdf in rows:
-            for e in pdf.sort_values("seq").itertuples():
+        for pdf in in_order(rows):
+            for e in pdf.itertuples():
                 if e.type == "checkout.session.completed" and e.key_id:
                     self.keys.updateValue((e.key_id,), (e.target_tier or "pro",))
                     out.append((e.key_id, key[0], int(e.seq), e.target_tier or "pro"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from recordflow.operators.ordered import CHUNK, Window, with_chunks
+from recordflow.streaming.state import in_order
 
 MAX_SIGNERS = 10
 HOT_EVENTS = 200_000
@@ -133,9 +134,9 @@ class SigningProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         turn, n, cancelled = self.state.get() if self.state.exists() else (0, None, False)
-        for pdf in rows:
+        for pdf in in_order(rows):
             out = []
-            for e in pdf.sort_values("seq").itertuples():
+            for e in pdf.itertuples():
                 if e.action == "create":
                     n = int(e.signers)
                 elif e.action == "cancel":
