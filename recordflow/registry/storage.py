@@ -179,8 +179,9 @@ def stream_tiers(spark, sf):
     return run_stream(spark, e, SJ.stream_tiers).groupBy("key_id", "customer_id").agg(F.max_by("tier", "seq").alias("tier"))
 
 
-@query(SQL["limit_breaches"].replace("SELECT caller, tier, period, strftime", "SELECT caller, tier, period, strftime") + " AND start < TIMESTAMP '2024-01-01'")
+@query(SQL["limit_breaches"] + " AND date_trunc('day', start) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_breaches(spark, sf):
-    """Windows of a stream closed by its watermark; one availableNow run leaves the last batch's windows open."""
-    out = run_stream(spark, bind(spark, sf, USAGE).withColumn("ts", F.col("ts").cast("timestamp")), lambda s: U.limit_breaches(s, SMALL_LIMITS))
-    return out.where("period_start < '2024-01-01'").withColumn("period_start", F.date_format("period_start", "yyyy-MM-dd HH:mm"))
+    """Breaches of the days that the watermark, an hour behind the last event, has closed."""
+    e = bind(spark, sf, USAGE).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = run_stream(spark, e, lambda s: U.limit_breaches(s, SMALL_LIMITS))
+    return out.withColumn("period_start", F.date_format("period_start", "yyyy-MM-dd HH:mm"))
