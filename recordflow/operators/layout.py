@@ -16,6 +16,7 @@ from recordflow.functions.geometry import band, box_to_pct
 from recordflow.functions.responses import parse_zone_response
 from recordflow.functions.scalars import field_kind, slug
 from recordflow.operators.ordered import last_wins, running
+from recordflow.operators.records import stage
 
 CELL_X = 220
 
@@ -199,5 +200,6 @@ def detect_zones(fields: DataFrame, fallback: DataFrame | None = None) -> DataFr
         return zones
     # Documents with a zone, before keys are made unique: a cheaper side for the anti join.
     other = fallback.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(
-        "doc_id", F.explode(parse_zone_response("response", "page")).alias("z")).select("doc_id", "z.*")
+        "doc_id", "page", "response")
+    other = stage(other, _zones=parse_zone_response("response", "page")).select("doc_id", F.explode("_zones").alias("z")).select("doc_id", "z.*")
     return zones.unionByName(other.select(*zones.columns))

@@ -129,7 +129,7 @@ def reading_order(fields: DataFrame) -> DataFrame:
 
 def parse_ranges(spec: Column) -> Column:
     """'1-3,4-7,8' to an array of (label, first, last, error)."""
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def one(p: Column) -> Column:
         pair = F.split(p, "-", 2)

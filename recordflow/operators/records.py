@@ -18,6 +18,18 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def stage(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A plain projection lets the optimizer push a later filter (also one it infers
+    from an explode) below it by repeating its expressions at every mention.
+    Where these are costly (a JSON parse, resolved entries, a key derivation) they pass
+    through a one-row generator, which filters are not pushed below.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(row)).alias("_stage")).select("*", "_stage.*").drop("_stage")
+
+
 def entries_of_json(text) -> Column:
     """Entries of a JSON object text."""
     return F.map_entries(F.from_json(_col(text), "map<string,variant>"))

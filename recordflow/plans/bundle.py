@@ -89,7 +89,7 @@ def flatten(df: DataFrame, column: str = "canonical", out: str = "flat") -> Data
     present = F.filter(F.expr(emissions(column)), lambda e: F.coalesce(e["value"] != "", F.lit(False)))
     kept = F.filter(F.transform(present, normalise), lambda e: F.coalesce(e["value"] != "", F.lit(False)))
     pairs = F.flatten(F.transform(kept, lambda e: F.transform(e["keys"], lambda k: F.struct(k.alias("key"), e["value"].alias("value")))))
-    return C.stage(df, **{out: F.when(F.col(column).isNotNull(), F.map_from_entries(pairs))})
+    return R.stage(df, **{out: F.when(F.col(column).isNotNull(), F.map_from_entries(pairs))})
 
 
 def _without_defaults(v: str, spec, depth: int = 0) -> str:
@@ -121,7 +121,7 @@ def to_bundle(records: DataFrame, base: DataFrame | None = None, on: str = "prof
     shuffle; the rest is one projection.
     """
     merged = records if base is None else R.overlay(records, base, on)
-    done = flatten(C.gate_questions(C.derive(C.parse(merged, keep_unknown, shape=shape))))
+    done = flatten(C.derive_and_gate(C.parse(merged, keep_unknown, shape=shape)))
     if with_structured:
         done = structured(done)
     return done.drop("canonical")

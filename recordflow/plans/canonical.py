@@ -267,7 +267,7 @@ def leftovers(flat: str) -> str:
 
 def split_entries(df: DataFrame, entries: str = "entries") -> DataFrame:
     """Split resolved entries into placed, question and custom ones."""
-    flat = stage(df, _flat=R.as_map(R.resolve_keys(entries)))
+    flat = R.stage(df, _flat=R.as_map(R.resolve_keys(entries)))
     return flat.select(
         *df.columns, F.expr(f"map_filter(_flat, (k, v) -> k IN {PLACED})").alias("placed"),
         F.expr(f"map_filter(_flat, (k, v) -> k NOT IN {PLACED} AND {QUESTION_KEY.format(k='k')})").alias("questions"),
@@ -283,18 +283,6 @@ def flat_violations(flat: str, text: str) -> str:
             f"'questions.' || get(transform({bad}, e -> {QUESTION_NAME.format(k='e.key')}), 0))")
 
 
-def stage(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once per row.
-
-    A plain projection lets the optimizer push a later filter below it by
-    repeating its expressions at every mention. These are large and mentioned
-    often (a JSON parse, the resolved entries), so they pass through a one-row
-    generator, which filters are not pushed below.
-    """
-    row = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.explode(F.array(row)).alias("_stage")).select("*", "_stage.*").drop("_stage")
-
-
 def parse(records: DataFrame, keep_unknown: bool = False, entries: str = "entries", shape: str = "auto") -> DataFrame:
     """Add ``canonical`` and ``error``.
 
@@ -311,8 +299,8 @@ def parse(records: DataFrame, keep_unknown: bool = False, entries: str = "entrie
     texts = F.expr(f"transform_values(_flat, (k, v) -> trim({text_of('v')}))")
     flat_error, promoted = F.expr(flat_violations("_flat", "_text")), F.expr(promote_flat("_flat", "_text"))
     if shape == "flat":
-        read = stage(stage(stage(records, _flat=resolved), _text=texts), error=flat_error)
-        return stage(read, canonical=F.when(F.col("error").isNull(), promoted)).drop("_flat", "_text")
+        read = R.stage(R.stage(R.stage(records, _flat=resolved), _text=texts), error=flat_error)
+        return R.stage(read, canonical=F.when(F.col("error").isNull(), promoted)).drop("_flat", "_text")
     keys = F.transform(entries, lambda e: e["key"])
     raw_type = T.StructType([*spark_type(RECORD, raw=True).fields, T.StructField("_corrupt", T.StringType())])
     nested_json = F.when(S.has_any_key(keys, fixed.NESTED_KEYS), F.to_json(R.as_map(entries)))
@@ -320,16 +308,16 @@ def parse(records: DataFrame, keep_unknown: bool = False, entries: str = "entrie
     wrong = F.expr(
         "CASE WHEN _json IS NOT NULL THEN CASE WHEN _raw IS NULL OR _raw._corrupt IS NOT NULL THEN 'not readable' "
         f"ELSE {violations('_raw', RECORD, '')[0]} END END")
-    staged = stage(stage(records, _json=nested_json), _raw=raw)
-    staged = stage(staged, _is_nested=F.col("_json").isNotNull() & wrong.isNull()).drop("_raw")
-    staged = stage(staged, _flat=F.when(~F.col("_is_nested"), resolved), _typed=F.when(F.col("_is_nested"), F.from_json("_json", CANONICAL)))
-    staged = stage(stage(staged, _text=texts), error=F.when(~F.col("_is_nested"), flat_error))
+    staged = R.stage(R.stage(records, _json=nested_json), _raw=raw)
+    staged = R.stage(staged, _is_nested=F.col("_json").isNotNull() & wrong.isNull()).drop("_raw")
+    staged = R.stage(staged, _flat=F.when(~F.col("_is_nested"), resolved), _typed=F.when(F.col("_is_nested"), F.from_json("_json", CANONICAL)))
+    staged = R.stage(R.stage(staged, _text=texts), error=F.when(~F.col("_is_nested"), flat_error))
     nested = F.expr(_with_defaults("_typed", RECORD))
     if keep_unknown:
         extra = F.map_filter(R.as_map(entries), lambda k, _: ~k.isin(list(RECORD)))
         nested = nested.withField("custom", F.map_concat(extra, nested["custom"]))
     canonical = F.when(F.col("_is_nested"), nested).when(F.col("error").isNull(), promoted)
-    return stage(staged, canonical=canonical).drop("_json", "_is_nested", "_flat", "_text", "_typed")
+    return R.stage(staged, canonical=canonical).drop("_json", "_is_nested", "_flat", "_text", "_typed")
 
 
 def validate(records: DataFrame, keep_unknown: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -348,10 +336,7 @@ def _put(custom: Column, *pairs: tuple[str, Column]) -> Column:
     return F.map_concat(custom, F.transform_values(added, lambda _, v: v.cast("variant")))
 
 
-def derive(df: DataFrame, column: str = "canonical") -> DataFrame:
-    """Add the shortcuts: city/state/zip, primary diagnosis, first medication, dates, signature date."""
-    c = F.col("_before")
-
+def _derived(c: Column) -> Column:
     def with_csz(person: Column, role: str) -> Column:
         a = person["address"]
         csz = S.city_state_zip(a["city"], a["state"], a["postal_code"])
@@ -365,13 +350,28 @@ def derive(df: DataFrame, column: str = "canonical") -> DataFrame:
         ("primary_drug_name", drug["name"]), ("primary_drug_sig", S.blank_to_null(drug["sig"])),
         ("service_dates_display", S.date_range_display(med["service_dates"]["start"], med["service_dates"]["end"])))
     signed = S.blank_to_null(F.get(c["signatures"], F.lit(0))["date"])
-    new = (
+    return (
         c.withField("primary", with_csz(c["primary"], "primary"))
         .withField("provider", with_csz(c["provider"], "provider"))
         .withField("medical", F.when(med.isNotNull(), med.withField("custom", shortcuts)))
         .withField("custom", _put(c["custom"], ("signature_date", signed)))
     )
-    return stage(df.withColumnRenamed(column, "_before"), **{column: F.when(F.col("_before").isNotNull(), new)}).drop("_before")
+
+
+def _gated(c: Column) -> Column:
+    indication = F.coalesce(S.blank_to_null(c["form_context"]["indication"]), S.blank_to_null(c["medical"]["indication"]))
+    return gate(c["questions"], indication)
+
+
+def _replace(df: DataFrame, column: str, new) -> DataFrame:
+    """Replace the canonical column, computing it once per row."""
+    c = F.col("_before")
+    return R.stage(df.withColumnRenamed(column, "_before"), **{column: F.when(c.isNotNull(), new(c))}).drop("_before")
+
+
+def derive(df: DataFrame, column: str = "canonical") -> DataFrame:
+    """Add the shortcuts: city/state/zip, primary diagnosis, first medication, dates, signature date."""
+    return _replace(df, column, _derived)
 
 
 def gate(questions: Column, indication: Column) -> Column:
@@ -389,7 +389,9 @@ def gate(questions: Column, indication: Column) -> Column:
 
 def gate_questions(df: DataFrame, column: str = "canonical") -> DataFrame:
     """Drop questions that do not apply; the form's indication goes before the medical one."""
-    c = F.col("_before")
-    indication = F.coalesce(S.blank_to_null(c["form_context"]["indication"]), S.blank_to_null(c["medical"]["indication"]))
-    gated = F.when(c.isNotNull(), c.withField("questions", gate(c["questions"], indication)))
-    return stage(df.withColumnRenamed(column, "_before"), **{column: gated}).drop("_before")
+    return _replace(df, column, lambda c: c.withField("questions", _gated(c)))
+
+
+def derive_and_gate(df: DataFrame, column: str = "canonical") -> DataFrame:
+    """Both in one pass over the record."""
+    return _replace(df, column, lambda c: _derived(c).withField("questions", _gated(c)))

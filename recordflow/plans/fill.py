@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from recordflow.functions import fixed, scalars as S
 from recordflow.functions.responses import parse_mapping_response
 from recordflow.operators import cache as K, matching, reports
+from recordflow.operators.records import stage
 from recordflow.plans.bundle import to_bundle
 from recordflow.session import materialize
 
@@ -52,7 +53,8 @@ def map_misses(misses: DataFrame, labeled: DataFrame, mapper: DataFrame | Pandas
         return _match(misses, labeled, form)
     if isinstance(mapper, DataFrame):
         answers = misses.select("fingerprint").join(mapper.select("fingerprint", "response"), "fingerprint")
-        return answers.select("fingerprint", F.explode(parse_mapping_response("response")).alias("m")).select("fingerprint", "m.*")
+        parsed = stage(answers, _parsed=parse_mapping_response("response"))
+        return parsed.select("fingerprint", F.explode("_parsed").alias("m")).select("fingerprint", "m.*")
     return misses.select("fingerprint", form, "flat").mapInPandas(mapper, MAPPED)
 
 

@@ -209,7 +209,7 @@ def _responses(spark, sf):
 SELECT id, 'F1' AS field_name, event_type AS value, round((user_id % 10) / 10.0, 1)::DOUBLE AS confidence FROM e
 UNION ALL SELECT id, 'F2', CAST(user_id AS VARCHAR), 1.0::DOUBLE FROM e UNION ALL SELECT id, 'F4', event_type, 1.0::DOUBLE FROM e""", "parse_mapping_response")
 def mapping_response(spark, sf):
-    return _responses(spark, sf).select("id", F.explode(parse_mapping_response("response")).alias("m")).select("id", "m.*")
+    return R.stage(_responses(spark, sf), m=parse_mapping_response("response")).select("id", F.explode("m").alias("m")).select("id", "m.*")
 
 
 @query("""WITH e AS (SELECT event_id AS id, event_type, user_id FROM {events})
@@ -220,7 +220,8 @@ def zone_response(spark, sf):
     e = table(spark, sf, "events")
     text = F.concat(F.lit('[{"label": "Sign '), "event_type", F.lit('", "x_pct": 10, "y_pct": '), (F.col("user_id") % 100).cast("string"),
                     F.lit('}, {"label": "bad", "x_pct": "left"}, {"label": "", "kind": "date", "width_pct": 2, "height_pct": 1}, 7]'))
-    return e.select(F.col("event_id").alias("id"), F.explode(parse_zone_response(text, F.col("user_id") % 3)).alias("z")).select("id", "z.*")
+    parsed = R.stage(e.select(F.col("event_id").alias("id"), text.alias("response"), (F.col("user_id") % 3).alias("page")), z=parse_zone_response("response", "page"))
+    return parsed.select("id", F.explode("z").alias("z")).select("id", "z.*")
 
 
 project("normalise_profile_type", "SELECT p_partkey AS id, ' ' || p_name || CASE WHEN p_size > 25 THEN ' ' || p_type ELSE '' END AS s FROM {part}",

@@ -46,8 +46,7 @@ def _require_rows(df: DataFrame, path: str) -> DataFrame:
 
 
 def _csv(spark: SparkSession, path: str, encoding: str, multiline: bool) -> tuple[DataFrame, list[str]]:
-    # An empty cell is '', a missing one null; hence a null marker no file holds.
-    df = spark.read.csv(path, header=True, multiLine=multiline, encoding=encoding, nullValue="\u0000", escape='"', mode="PERMISSIVE")
+    df = spark.read.csv(path, header=True, multiLine=multiline, encoding=encoding, escape='"', mode="PERMISSIVE")
     names = [c.lstrip("﻿") for c in df.columns]
     return _row_order(df).toDF(*names, "file", "_block", "_row"), names
 
@@ -63,8 +62,9 @@ def read_csv_records(spark: SparkSession, path: str, encoding: str = "UTF-8", mu
     file; set it to False for large files without them.
     """
     df, names = _csv(spark, path, encoding, multiline)
-    rows = _indexed(df.where(F.exists(F.array(*[F.col(f"`{n}`") for n in names]), lambda v: v.isNotNull())))
-    out = rows.select("file", "idx", entries_of({n: F.col(f"`{n}`") for n in names}).alias("entries"))
+    # The reader skips blank lines and gives empty cells as null; to a record they are ''.
+    cells = {n: F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names}
+    out = _indexed(df).select("file", "idx", entries_of(cells).alias("entries"))
     return _require_rows(out, path) if require_rows else out
 
 
@@ -72,7 +72,7 @@ def read_profile_import(spark: SparkSession, path: str, multiline: bool = True)
     """Import rows (import_id, row, data); blank rows are dropped, the first row is 2."""
     df, names = _csv(spark, path, "UTF-8", multiline)
     rows = _indexed(df.where(_filled(names)), "row")
-    data = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`") for n in names]))
+    data = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]))
     return rows.select(F.col("file").alias("import_id"), (F.col("row") + 1).alias("row"), data.alias("data"))
 
 
