@@ -52,24 +52,22 @@ def match_fields(fields: DataFrame, entries: DataFrame, record: str = "record_id
     texts = fields.select(form, "field_name", F.explode("candidates").alias("text")).where(
         F.coalesce(F.col("text"), F.lit("")) != "").select(form, "field_name", squash("text").alias("a"))
     keyed = entries.withColumn("b", squash("key"))
-    # Score of a field against a key text, once per form and key text.
+    # Score of a field against a key text, once per form and key text. A key of
+    # separators only is contained in every text.
     keys_of_form = keyed.select(form, "b").distinct()
+    in_all = texts.select(form, "field_name", F.lit("").alias("b"), F.when(F.col("a") == "", EXACT).otherwise(CONTAINED).alias("score"))
     per_form = (
-        texts.join(text_scores(texts, keyed), "a").join(keys_of_form, [form, "b"])
-        .groupBy(form, "field_name", "b").agg(F.max("score").alias("score"))
+        texts.join(text_scores(texts, keyed), "a").select(form, "field_name", "b", "score").unionByName(in_all)
+        .join(keys_of_form, [form, "b"]).groupBy(form, "field_name", "b").agg(F.max("score").alias("score"))
     )
     scored = keyed.join(per_form, [form, "b"]).select(record, form, "field_name", "pos", "key", "value", "score")
-    # A text or key of separators only is contained in everything, so there the
-    # earliest entry (of those with such a key) scores for the field.
-    named = texts.groupBy(form, "field_name").agg(F.bool_or(F.col("a") == "").alias("_blank"))
-    row = F.struct("pos", "key", "value")
-    first = keyed.groupBy(record, form).agg(F.min_by(F.struct(row.alias("e"), "b"), "pos").alias("f"))
-    first_empty = keyed.where("b = ''").groupBy(record, form).agg(F.min_by(row, "pos").alias("e"))
-    with_any = first.join(named.where("_blank"), form).select(
-        record, form, "field_name", "f.e.*", F.when(F.col("f.b") == "", EXACT).otherwise(CONTAINED).alias("score"))
-    with_empty = first_empty.join(named, form).select(
-        record, form, "field_name", "e.*", F.when(F.col("_blank"), EXACT).otherwise(CONTAINED).alias("score"))
-    every = scored.unionByName(with_any).unionByName(with_empty)
-    return every.groupBy(record, form, "field_name").agg(
+    # A text of separators only is contained in every key, so there the earliest
+    # entry scores; forms without such a text leave this branch empty.
+    blank = texts.where("a = ''").select(form, "field_name").distinct()
+    first = keyed.join(blank.select(form).distinct(), form, "left_semi").groupBy(record, form).agg(
+        F.min_by(F.struct("pos", "key", "value", "b"), "pos").alias("e"))
+    earliest = first.join(blank, form).select(
+        record, form, "field_name", "e.pos", "e.key", "e.value", F.when(F.col("e.b") == "", EXACT).otherwise(CONTAINED).alias("score"))
+    return scored.unionByName(earliest).groupBy(record, form, "field_name").agg(
         F.max_by(F.struct("key", "value", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("m")
     ).select(record, form, "field_name", "m.key", "m.value", "m.score")

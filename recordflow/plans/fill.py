@@ -35,12 +35,12 @@ def request_fingerprint(digest: str = "labels_digest", flat: str = "flat") -> Co
     return S.fingerprint(F.create_map(F.lit("labels"), F.col(digest)), flat)
 
 
-def _match(misses: DataFrame, labeled: DataFrame, form: str) -> DataFrame:
+def _match(requests: DataFrame, labeled: DataFrame, form: str, record: str = "fingerprint") -> DataFrame:
     """Default mapper: the best key by text, confidence = score / 100."""
     fields = labeled.select(F.col(form).alias("form_id"), "field_name", F.array("field_name", "label").alias("candidates"))
-    entries = misses.select("fingerprint", F.col(form).alias("form_id"), F.posexplode("flat").alias("pos", "key", "value"))
-    return matching.match_fields(fields, entries, record="fingerprint").select(
-        "fingerprint", "field_name", "value", (F.col("score") / 100).alias("confidence"))
+    entries = requests.select(record, F.col(form).alias("form_id"), F.posexplode("flat").alias("pos", "key", "value"))
+    return matching.match_fields(fields, entries, record=record).select(
+        record, "field_name", "value", (F.col("score") / 100).alias("confidence"))
 
 
 def map_misses(misses: DataFrame, labeled: DataFrame, mapper: DataFrame | PandasMapper | None = None, form: str = "doc_id") -> DataFrame:
@@ -73,6 +73,12 @@ def map_fields(bundles: DataFrame, labeled: DataFrame, mapper: DataFrame | Panda
     """
     requests = bundles.join(labels_digest(labeled, form), form).withColumn("fingerprint", request_fingerprint())
     keys = [*by, form, "fingerprint"]
+    if cache is None and mapper is None:
+        # Text matching costs less than finding equal requests, so records are matched as they are.
+        known = bundles.join(labeled.select(form).distinct(), form, "left_semi").withColumn("_record", F.struct(*by, form))
+        found = _match(known, labeled, form, "_record").select("_record.*", "field_name", "value", "confidence", F.lit(False).alias("cache_hit"))
+        fresh = found.join(requests.select(*keys), [*by, form]).select("fingerprint", "field_name", "value", "confidence")
+        return found, fresh.dropDuplicates(["fingerprint", "field_name"])
     if cache is None:
         misses = requests.select("fingerprint", form, "flat").dropDuplicates(["fingerprint"])
         mapped = map_misses(misses, labeled, mapper, form)

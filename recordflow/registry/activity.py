@@ -332,15 +332,16 @@ def notifications(spark, sf):
     return SG.notifications(SG.fold_signing(bind(spark, sf, SIGNS), people, hot_rows=30)[1], people)
 
 
-@query("""SELECT conv_id AS session_id, count(*) AS total_signers, CASE WHEN conv_id % 3 = 0 THEN arg_min(role, turn) END AS current_name,
-CASE WHEN conv_id % 4 > 0 THEN '/ui/multisign.html?session_id=s' || CAST(conv_id AS VARCHAR) END AS sign_url, CASE WHEN conv_id % 4 = 0 THEN '/api/v1/signing-sessions/s' || CAST(conv_id AS VARCHAR) || '/download' END AS download_url
-FROM {conversations} GROUP BY conv_id""")
+@query("""SELECT c_custkey AS id, c_custkey % 5 + 1 AS total_signers, CASE WHEN c_custkey % 3 = 0 THEN 'S0' || c_mktsegment END AS current_name,
+CASE WHEN c_custkey % 4 > 0 THEN '/ui/multisign.html?session_id=s' || CAST(c_custkey AS VARCHAR) END AS sign_url, CASE WHEN c_custkey % 4 = 0 THEN '/api/v1/signing-sessions/s' || CAST(c_custkey AS VARCHAR) || '/download' END AS download_url
+FROM {customer}""")
 def session_summary(spark, sf):
-    c = table(spark, sf, "conversations")
-    s = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("name")))).alias("signers")).select(
-        F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), "signers", F.when(F.col("conv_id") % 4 == 0, "complete").otherwise("pending").alias("status"),
-        F.when(F.col("conv_id") % 3 == 0, 0).otherwise(99).alias("current_signer_index"), F.when(F.col("conv_id") % 4 == 0, "f.pdf").alias("final_pdf_filename"))
-    return SG.session_summary(s).select(F.substring("session_id", 2, 20).cast("bigint").alias("session_id"), "total_signers", F.col("current_signer.name").alias("current_name"), "sign_url", "download_url")
+    k = F.col("c_custkey")
+    signers = F.transform(F.sequence(F.lit(0), (k % 5).cast("int")), lambda i: F.struct(i.alias("index"), F.concat(F.lit("S"), i.cast("string"), "c_mktsegment").alias("name")))
+    s = table(spark, sf, "customer").select(
+        k.alias("id"), F.concat(F.lit("s"), k.cast("string")).alias("session_id"), signers.alias("signers"), F.when(k % 4 == 0, "complete").otherwise("pending").alias("status"),
+        F.when(k % 3 == 0, 0).otherwise(99).alias("current_signer_index"), F.when(k % 4 == 0, "f.pdf").alias("final_pdf_filename"))
+    return SG.session_summary(s).select("id", "total_signers", F.col("current_signer.name").alias("current_name"), "sign_url", "download_url")
 
 
 # Approvals: one per user and day, decided by that day's events.
