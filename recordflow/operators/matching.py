@@ -57,7 +57,7 @@ def match_fields(fields: DataFrame, entries: DataFrame, record: str = "record_id
     keys_of_form = keyed.select(form, "b").distinct()
     in_all = texts.select(form, "field_name", F.lit("").alias("b"), F.when(F.col("a") == "", EXACT).otherwise(CONTAINED).alias("score"))
     per_form = (
-        texts.join(text_scores(texts, keyed), "a").select(form, "field_name", "b", "score").unionByName(in_all)
+        texts.join(text_scores(texts, keys_of_form), "a").select(form, "field_name", "b", "score").unionByName(in_all)
         .join(keys_of_form, [form, "b"]).groupBy(form, "field_name", "b").agg(F.max("score").alias("score"))
     )
     scored = keyed.join(per_form, [form, "b"]).select(record, form, "field_name", "pos", "key", "value", "score")

@@ -14,19 +14,35 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 2_000_000
 CHUNK = "_chunk"
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def _names(by: str | Sequence[str]) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def _hot_groups(df: DataFrame, by: Sequence[str], position: Column, hot_rows: int) -> DataFrame:
+def _numbers(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """The order columns that can cut a group: the first, and the second if the
+    first is whole numbers (its ties are then cut by the second)."""
+    types = dict(df.dtypes)
+
+    def number(c: str) -> Column | None:
+        if types[c].startswith("timestamp"):
+            return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+        return F.col(c).cast("double") if types[c].split("(")[0] in (*WHOLE, "float", "double", "decimal") else None
+
+    first = number(order[0])
+    if first is None:
+        raise TypeError(f"{order[0]} must be a number or timestamp")
+    whole = types[order[0]] in WHOLE or types[order[0]].startswith("timestamp")
+    second = number(order[1]) if whole and len(order) > 1 else None
+    return [first] if second is None else [first, second]
+
+
+def _hot_groups(df: DataFrame, by: Sequence[str], at: list[Column], hot_rows: int) -> DataFrame:
     """Groups above ``hot_rows``: at most rows / hot_rows of them."""
-    return (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-        .where(F.col("_n") > hot_rows)
-    )
+    ends = [f(c).alias(f"_{n}{i}") for i, c in enumerate(at) for n, f in (("lo", F.min), ("hi", F.max))]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *ends).where(F.col("_n") > hot_rows)
 
 
 def _same(by: Sequence[str], left: str, right: str) -> Column:
@@ -36,20 +52,20 @@ def _same(by: Sequence[str], left: str, right: str) -> Column:
     return condition
 
 
-def with_chunks(df: DataFrame, by: Sequence[str], position: str, hot_rows: int = HOT_ROWS,
+def with_chunks(df: DataFrame, by: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS,
                 only_hot: bool = False) -> DataFrame:
-    """Add ``_chunk``: 0 in small groups, rising with ``position`` in hot ones.
+    """Add ``_chunk``: 0 in small groups, rising with ``order`` in hot ones.
 
-    ``position`` is a number or timestamp. Nothing is broadcast by force: the
-    list of hot groups is short, and Spark goes by its size. Without hot groups
-    AQE drops the join, and with ``only_hot`` the whole branch.
+    Nothing is broadcast by force: the list of hot groups is short, and Spark goes
+    by its size. Without hot groups AQE drops the join, and with ``only_hot`` the
+    whole branch.
     """
-    at = F.col(position)
-    if dict(df.dtypes)[position].startswith("timestamp"):
-        at = at.cast("timestamp")
-    at = at.cast("double")
+    at = _numbers(df, order)
     hot = _hot_groups(df, by, at, hot_rows)
-    share = (at - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1e-6))
+    place = at[0] - F.col("_lo0")
+    if len(at) == 2:
+        place = place + F.coalesce((at[1] - F.col("_lo1")) / (F.col("_hi1") - F.col("_lo1") + 1), F.lit(0.0))
+    share = place / (F.col("_hi0") - F.col("_lo0") + 1)
     chunk = F.floor(share * F.ceil(F.col("_n") / F.lit(hot_rows))).cast("long")
     joined = df.alias("d").join(hot.alias("h"), _same(by, "d", "h"), "inner" if only_hot else "left")
     return joined.select("d.*", F.coalesce(chunk, F.lit(0).cast("long")).alias(CHUNK))
@@ -65,7 +81,7 @@ def running(df: DataFrame, by: str | Sequence[str], order: Sequence[str], index:
     parts = [f"_s{i}" for i in range(len(sums))]
     rows = df.select("*", *[c.alias(n) for n, c in zip(parts, sums.values())])
     # Totals of the chunks of hot groups, one row per chunk.
-    totals = with_chunks(rows.select(*by, order[0], *parts), by, order[0], hot_rows, only_hot=True).groupBy(*by, CHUNK).agg(
+    totals = with_chunks(rows.select(*by, *[c for c in order if c not in by], *parts), by, order, hot_rows, only_hot=True).groupBy(*by, CHUNK).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(n).alias(f"_t{n}") for n in parts])
     earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -73,7 +89,7 @@ def running(df: DataFrame, by: str | Sequence[str], order: Sequence[str], index:
         *[F.sum(f"_t{n}").over(earlier).alias(f"_b{n}") for n in parts])
     here = Window.partitionBy(*by, CHUNK).orderBy(*order)
     so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = with_chunks(rows, by, order[0], hot_rows).select(
+    numbered = with_chunks(rows, by, order, hot_rows).select(
         "*", F.row_number().over(here).cast("long").alias("_rn"), *[F.sum(n).over(so_far).alias(f"_r{n}") for n in parts])
     shifted = numbered.alias("c").join(
         offsets.alias("o"), _same(by, "c", "o") & (F.col(f"c.{CHUNK}") == F.col(f"o.{CHUNK}")), "left")

@@ -41,7 +41,7 @@ def _accepted(signs: DataFrame, hot_rows: int) -> DataFrame:
     are cut into stretches, each is folded on its own for all eleven turns, and the
     maps are chained, so no task holds a whole session.
     """
-    chunked = with_chunks(signs, ["session_id"], "seq", hot_rows)
+    chunked = with_chunks(signs, ["session_id"], ["seq"], hot_rows)
     stretches = chunked.groupBy("session_id", CHUNK).agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "signer_index"))).alias("events"))
     turns = F.sequence(F.lit(0), F.lit(MAX_SIGNERS))

@@ -25,6 +25,12 @@ def test_running_is_the_same_cut_or_whole(spark):
     assert rows(whole, "id", "n", "total") == rows(cut, "id", "n", "total") == sorted(want, key=repr)
 
 
+def test_ties_of_the_first_position_are_cut_by_the_second(spark):
+    d = spark.createDataFrame([("g", 5, i) for i in range(100)] + [("g", 6, None), ("h", 1, 1)], "g string, at int, id int")
+    chunks = O.with_chunks(d, ["g"], ["at", "id"], 10).groupBy("g", "at", O.CHUNK).count().collect()
+    assert sum(r["g"] == "g" and r["at"] == 5 for r in chunks) >= 5 and max(r["count"] for r in chunks) <= 25
+
+
 def test_running_with_one_position_and_null_group(spark):
     d = spark.createDataFrame([(None, 1, i) for i in range(30)], "g string, at int, id int")
     assert rows(O.with_index(d, "g", ["at", "id"], "n", hot_rows=5), "id", "n") == sorted([(i, i + 1) for i in range(30)], key=repr)
