@@ -50,15 +50,15 @@ PROFILE_SQL = "SELECT s_suppkey AS profile_id, s_name, '1' || lpad(CAST(s_suppke
 ALIAS_PAIRS = ", ".join(f"('{k}', '{n}')" for k, names in fixed.ALIASES.items() for n in dict.fromkeys([k, *names]))
 
 
-def puts_sql(row: str, name: str, extra: str = "") -> str:
-    """SQL of all emissions of the flat records in ``row``; ``name`` is the resolved patient name."""
+def puts_sql(row: str, provider: tuple[tuple[str, str], ...] = ()) -> str:
+    """SQL of all emissions of the flat records in ``row``; ``provider`` adds those of a provider."""
     csz = "nullif(concat_ws(', ', city, state, zip), '')"
     dates = "nullif(concat_ws(' – ', start_day, end_day), '')"
     wanted = "indication IS NULL"
     emitted = [
-        ("patient_name", name), ("patient_first_name", "first_name"), ("patient_last_name", "last_name"), ("patient_dob", "dob"),
+        ("patient_name", "patient_name"), ("patient_first_name", "first_name"), ("patient_last_name", "last_name"), ("patient_dob", "dob"),
         ("patient_member_id", "member_id"), ("patient_id", "member_id"), ("patient_phone", "phone"), ("patient_city", "city"), ("patient_state", "state"),
-        ("patient_zip", "zip"), ("patient_city_state_zip", csz), ("primary_city_state_zip", csz), *eval(extra or "[]"),
+        ("patient_zip", "zip"), ("patient_city_state_zip", csz), ("primary_city_state_zip", csz), *provider,
         ("benefit_type", "benefit"), ("indication", "indication"), ("dates_of_service", dates), ("icd_code", "icd"),
         ("diagnosis", "CASE WHEN icd IS NOT NULL THEN diagnosis END"), ("drug_name", "drug"), ("cpt_code_1", "cpt"),
         ("primary_icd_code", "icd"), ("primary_diagnosis", "CASE WHEN icd IS NOT NULL THEN diagnosis END"), ("primary_drug_name", "drug"),
@@ -81,8 +81,7 @@ WHERE p.value IS NOT NULL) GROUP BY id, key"""
 GOOD = f"(SELECT * FROM ({RAW}) WHERE benefit IS DISTINCT FROM 'bogus')"
 
 
-@query("""SELECT * FROM (SELECT id, unnest([{{'k': 'placed', 'n': n_placed}}, {{'k': 'question', 'n': 4}}, {{'k': 'custom', 'n': 1}}], recursive := true) FROM
-(SELECT id, 18 AS n_placed FROM ({RAW})))""".replace("{RAW}", RAW).replace("{{", "{").replace("}}", "}"))
+@query(f"SELECT id, k, n FROM ({RAW}), (VALUES ('placed', 18), ('question', 4), ('custom', 1)) t(k, n)")
 def split_entries(spark, sf):
     d = C.split_entries(records(spark, sf))
     kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.size(c).alias("n")) for k, c in (("placed", "placed"), ("question", "questions"), ("custom", "custom"))])
@@ -182,7 +181,7 @@ def gate_questions(spark, sf):
     return d.select("id", F.explode(F.map_keys("canonical.questions")).alias("question"))
 
 
-@query(flat_sql(puts_sql(GOOD, "patient_name")))
+@query(flat_sql(puts_sql(GOOD)))
 def flatten(spark, sf):
     d = B.flatten(C.gate_questions(C.derive(C.parse(records(spark, sf)).where("error IS NULL"))))
     return d.select("id", F.explode("flat"))
@@ -191,7 +190,7 @@ def flatten(spark, sf):
 BASED = f"(SELECT r.*, p.s_name, p.s_phone FROM {GOOD} r LEFT JOIN ({PROFILE_SQL}) p USING (profile_id))"
 
 
-@query(flat_sql(puts_sql(BASED, "patient_name", "[('physician_name', 's_name'), ('physician_phone', 's_phone')]").replace("'signature_date' AS key, signed", "'signature_date' AS key, signed")
+@query(flat_sql(puts_sql(BASED, (("physician_name", "s_name"), ("physician_phone", "s_phone")))
                 + f" UNION ALL SELECT id, 32 AS seq, 'prescriber_signature_name' AS key, CASE WHEN signed IS NOT NULL THEN s_name END AS value FROM {BASED}"))
 def to_bundle(spark, sf):
     """Records over profiles: a profile's own ``phone`` and ``name`` come first, the record's spellings of them later, so these win."""
@@ -199,10 +198,10 @@ def to_bundle(spark, sf):
     return d.select("id", F.explode("flat"))
 
 
-@query(f"""SELECT id, CAST(json_extract_string('{{{{}}}}', '$.x') AS VARCHAR) AS nothing, patient_name AS full_name, icd AS code FROM {GOOD}""".replace("{{}}", "{}"), "structured")
+@query(f"SELECT id, CAST(NULL AS VARCHAR) AS code_system, patient_name AS full_name, icd AS code FROM {GOOD}", "structured")
 def structured_json(spark, sf):
     d = B.to_bundle(records(spark, sf)).where("error IS NULL")
-    return d.select("id", F.get_json_object("structured", "$.medical.diagnoses[0].code_system").alias("nothing"),
+    return d.select("id", F.get_json_object("structured", "$.medical.diagnoses[0].code_system").alias("code_system"),
                     F.get_json_object("structured", "$.primary.full_name").alias("full_name"), F.get_json_object("structured", "$.medical.diagnoses[0].code").alias("code"))
 
 
