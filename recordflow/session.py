@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +31,22 @@ TUNING_CONF = {
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, which do not share the
+    driver's ``sys.path``: by path on this machine, as an archive on a cluster."""
+    context = spark.sparkContext
+    root = str(Path(__file__).resolve().parent.parent)
+    path = context.environment.get("PYTHONPATH", "")
+    if root in path.split(os.pathsep):
+        return
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, path) if p)
+    if not context.master.startswith("local"):
+        context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "recordflow"), "zip", root, "recordflow"))
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings above to a session made elsewhere."""
+    ship_package(spark)
     for key, value in SEMANTIC_CONF.items():
         spark.conf.set(key, value)
     given = {k for k, _ in spark.sparkContext.getConf().getAll()}
@@ -46,7 +62,9 @@ def build_session(app: str = "recordflow", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**SEMANTIC_CONF, **TUNING_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:

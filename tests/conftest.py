@@ -8,12 +8,12 @@ sys.path.insert(0, str(ROOT))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from recordflow import build_session
     from recordflow.session import STATE_STORE
     s = build_session("tests", "local[8]", **{
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
-        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.sql.streaming.stateStore.providerClass": STATE_STORE})
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
