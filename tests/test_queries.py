@@ -31,7 +31,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, db, name):
     got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)
