@@ -68,13 +68,17 @@ def build_session(app: str = "recordflow", master: str | None = None, **conf: st
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for streaming checkpoints.
+    """Shared folder for tables and checkpoints in between.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and recorded.
+    The cluster names it in ``spark.checkpoint.dir``. Only in local mode, where one machine
+    holds everything, an unset name is replaced by a temporary folder; a cluster
+    without a shared folder is an error, as its executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="recordflow-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", root)
     return root
