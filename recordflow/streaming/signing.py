@@ -35,16 +35,16 @@ def _advance(state: Column, e: Column, n: Column) -> Column:
 
 
 def _accepted(signs: DataFrame, hot_rows: int) -> DataFrame:
-    """(session_id, accepted ARRAY<seq>): which signatures count, at most ten per session.
+    """(session_id, accepted ARRAY<seq>): which signatures count, at most one per signer.
 
     A stretch of events maps each possible turn to the turn after it. Hot sessions
-    are cut into stretches, each is folded on its own for all eleven turns, and the
-    maps are chained, so no task holds a whole session.
+    are cut into stretches, each is folded on its own for every turn that its number of
+    signers allows, and the maps are chained, so no task holds a whole session.
     """
     chunked = with_chunks(signs, ["session_id"], ["seq"], hot_rows)
     stretches = chunked.groupBy("session_id", CHUNK).agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "signer_index"))).alias("events"))
-    turns = F.sequence(F.lit(0), F.lit(MAX_SIGNERS))
+    turns = F.sequence(F.lit(0), F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)))
     step = F.aggregate("events", turns, lambda acc, e: F.transform(acc, lambda s: _advance(s, e, F.col("n"))))
     earlier = Window.partitionBy("session_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     start = F.aggregate(F.collect_list(step).over(earlier), F.lit(0), lambda s, m: F.get(m, s))

@@ -42,6 +42,25 @@ def test_signing_batch_cut_or_whole_and_stream(spark):
     assert sorted(map(tuple, out.select("session_id", "seq", "accepted").collect())) == want
 
 
+def test_signing_does_not_depend_on_group_size(spark):
+    """Sessions of 1 to 30 signers, signed in order with noise, cut at several sizes."""
+    rnd = random.Random(7)
+    sizes = {f"s{n}": n for n in (1, 2, 9, 10, 11, 24, 30)}
+    signs, seq = [], 0
+    for s, n in sizes.items():
+        for i in range(n):
+            for who in [i] + [rnd.randrange(n)] * (i % 3 == 0):
+                signs.append((s, seq, "sign", who))
+                seq += 1
+    want = brute(signs, sizes)
+    ev = spark.createDataFrame(signs, "session_id string, seq bigint, action string, signer_index int")
+    sessions = spark.createDataFrame(list(sizes.items()), "session_id string, signers int")
+    for hot in (1, 3, 1_000_000):
+        states, judged = SG.fold_signing(ev, sessions, hot)
+        assert sorted(map(tuple, judged.select("session_id", "seq", "accepted").collect())) == want
+        assert {r["status"] for r in states.collect()} == {"complete"}
+
+
 def test_session_checks(spark):
     rows = [("a", []), ("b", [("", "")]), ("c", [("N", "")] * 11), ("d", [("", "m@example.com")])]
     d = spark.createDataFrame(rows, "session_id string, signers array<struct<name:string,email:string>>")
