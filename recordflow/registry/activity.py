@@ -53,7 +53,7 @@ def newest_per_key(spark, sf):
     return O.newest(table(spark, sf, "events"), "ts", 20, ["event_type"], "event_id").select("event_type", "event_id")
 
 
-@query("SELECT event_id FROM {events} ORDER BY event_id DESC LIMIT 500")
+@query("SELECT event_id FROM {events} ORDER BY event_id DESC LIMIT 9999")
 def tail(spark, sf):
     return O.tail(table(spark, sf, "events"), "event_id", 9999).select("event_id")
 
@@ -113,7 +113,7 @@ def jobs(spark, sf):
         F.expr(DAY_TEXT).alias("created_at"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("https://h.example/"), F.col("o_custkey").cast("string"))).alias("webhook_url"))
 
 
-@query(f"SELECT o_orderkey AS id, {DAY_TEXT} AS created_at FROM {{orders}} WHERE {STATUS} = 'done' AND {KIND} = 'batch_fill' ORDER BY created_at DESC, id DESC LIMIT 100")
+@query(f"SELECT o_orderkey AS id, {DAY_TEXT} AS created_at FROM {{orders}} WHERE {STATUS} = 'done' AND {KIND} = 'batch_fill' ORDER BY created_at DESC, id DESC LIMIT 500")
 def list_recent(spark, sf):
     return J.list_recent(jobs(spark, sf), "done", "batch_fill", 500).select("id", "created_at")
 
