@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# What counts as white space at the ends of a text.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 # Canonical key -> synonyms.
 ALIASES: dict[str, list[str]] = {
     # patient

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from recordflow.functions.scalars import _col, slug, variant_text
+from recordflow.functions.scalars import _col, slug, strip, variant_text
 from recordflow.functions.geometry import top_to_bottom_origin
 
 FENCE = "```"
@@ -12,10 +12,10 @@ FENCE = "```"
 
 def strip_fence(text) -> Column:
     """Trimmed text without a surrounding code fence and its json tag."""
-    text = F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+    text = strip(text)
     inner = F.get(F.split(text, FENCE), F.lit(1))
     inner = F.regexp_replace(inner, r"^json", "")
-    return F.when(text.startswith(FENCE), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(text)
+    return F.when(text.startswith(FENCE), strip(inner)).otherwise(text)
 
 
 def parse_mapping_response(text) -> Column:

@@ -13,6 +13,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Without white space of any kind (also tabs, line ends, wide blanks) at either end."""
+    return F.btrim(_col(c), F.lit(fixed.WHITE_SPACE))
+
+
+def sql_strip(text: str) -> str:
+    """SQL form of ``strip``, for generated expressions."""
+    blanks = "".join(f"\\u{ord(c):04x}" for c in fixed.WHITE_SPACE)
+    return f"btrim({text}, '{blanks}')"
+
+
 def blank_to_null(c) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
@@ -96,9 +107,9 @@ def normalise_phone(s) -> Column:
 
 def normalise_date(s) -> Column:
     """ISO and dd-mm-yyyy to mm/dd/yyyy, by text only."""
-    s = F.trim(_col(s))
-    iso = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$"
-    dmy = r"^([0-9]{2})-([0-9]{2})-([0-9]{4})$"
+    s = strip(_col(s))
+    iso = r"\A([0-9]{4})-([0-9]{2})-([0-9]{2})\z"
+    dmy = r"\A([0-9]{2})-([0-9]{2})-([0-9]{4})\z"
     return (
         F.when(s.rlike(iso), F.regexp_replace(s, iso, "$2/$3/$1"))
         .when(s.rlike(dmy), F.regexp_replace(s, dmy, "$2/$1/$3"))
@@ -108,7 +119,7 @@ def normalise_date(s) -> Column:
 
 def normalise_bool(s) -> Column:
     s = _col(s)
-    word = F.lower(F.trim(s))
+    word = F.lower(strip(s))
     return (
         F.when(word.isin(fixed.YES_WORDS), "Yes").when(word.isin(fixed.NO_WORDS), "No").otherwise(s)
     )
@@ -117,8 +128,8 @@ def normalise_bool(s) -> Column:
 def sql_bool(text: str) -> str:
     """SQL form of ``normalise_bool``, for generated expressions."""
     words = [", ".join(f"'{w}'" for w in ws) for ws in (fixed.YES_WORDS, fixed.NO_WORDS)]
-    return (f"CASE WHEN lower(trim({text})) IN ({words[0]}) THEN 'Yes' "
-            f"WHEN lower(trim({text})) IN ({words[1]}) THEN 'No' ELSE {text} END")
+    return (f"CASE WHEN lower({sql_strip(text)}) IN ({words[0]}) THEN 'Yes' "
+            f"WHEN lower({sql_strip(text)}) IN ({words[1]}) THEN 'No' ELSE {text} END")
 
 
 def normalise_value(key, value, is_bool=None) -> Column:
@@ -127,7 +138,7 @@ def normalise_value(key, value, is_bool=None) -> Column:
     ``key`` may be a Python string (decided at planning time) or a Column.
     ``is_bool`` marks values that were native booleans.
     """
-    text = blank_to_null(F.trim(_col(value)))
+    text = blank_to_null(strip(_col(value)))
     plain = text if is_bool is None else F.when(is_bool, normalise_bool(text)).otherwise(text)
     if isinstance(key, str):
         if any(h in key for h in fixed.PHONE_HINTS):
@@ -181,7 +192,7 @@ def cell_to_text(c, kind: str = "string") -> Column:
     elif kind == "double":
         text = F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
     else:
-        text = F.trim(c.cast("string"))
+        text = strip(c.cast("string"))
     return F.when(c.isNull(), "").otherwise(text)
 
 
@@ -212,7 +223,7 @@ def leaf_name(name) -> Column:
 
 
 def checkbox_state(value) -> Column:
-    return F.when(F.lower(F.trim(_col(value))).isin("yes", "true", "1", "on"), "/Yes").otherwise("/Off")
+    return F.when(F.lower(strip(_col(value))).isin("yes", "true", "1", "on"), "/Yes").otherwise("/Off")
 
 
 def slug(name, fallback="signature") -> Column:
@@ -229,12 +240,12 @@ def safe_name(s, default: str = "merged") -> Column:
 
 
 def normalise_profile_type(s) -> Column:
-    return F.replace(F.lower(F.trim(_col(s))), F.lit(" "), F.lit("_"))
+    return F.replace(F.lower(strip(_col(s))), F.lit(" "), F.lit("_"))
 
 
 def safe_request_id(s) -> Column:
-    s = F.trim(_col(s))
-    return F.when(s.rlike(r"^[A-Za-z0-9_-]{8,128}$"), s)
+    s = strip(_col(s))
+    return F.when(s.rlike(r"\A[A-Za-z0-9_-]{8,128}\z"), s)
 
 
 def host_class(url) -> Column:

@@ -10,25 +10,26 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from recordflow.functions import fixed, secrets
-from recordflow.functions.scalars import sql_bool
+from recordflow.functions.scalars import sql_bool, sql_strip
 
 DIGITS = "regexp_replace(s, '[^0-9]', '')"
 LAST_TEN = f"right({DIGITS}, 10)"
+BARE = sql_strip("s")
 D2, D4 = "[0-9]" * 2, "[0-9]" * 4
 
 FUNCTIONS = {
     "to_snake": "lower(regexp_replace(regexp_replace(s, '(.)([A-Z][a-z]+)', '$1_$2'), '([a-z0-9])([A-Z])', '$1_$2'))",
     "normalise_phone": (f"CASE WHEN length({DIGITS}) = 10 OR (length({DIGITS}) = 11 AND startswith({DIGITS}, '1')) "
                         f"THEN concat('(', substr({LAST_TEN}, 1, 3), ') ', substr({LAST_TEN}, 4, 3), '-', substr({LAST_TEN}, 7, 4)) ELSE s END"),
-    "normalise_date": (f"CASE WHEN trim(s) RLIKE '^{D4}-{D2}-{D2}$' THEN regexp_replace(trim(s), '^(....)-(..)-(..)$', '$2/$3/$1') "
-                       f"WHEN trim(s) RLIKE '^{D2}-{D2}-{D4}$' THEN regexp_replace(trim(s), '^(..)-(..)-(....)$', '$2/$1/$3') ELSE trim(s) END"),
+    "normalise_date": (f"CASE WHEN {BARE} RLIKE '^{D4}-{D2}-{D2}$' THEN regexp_replace({BARE}, '^(....)-(..)-(..)$', '$2/$3/$1') "
+                       f"WHEN {BARE} RLIKE '^{D2}-{D2}-{D4}$' THEN regexp_replace({BARE}, '^(..)-(..)-(....)$', '$2/$1/$3') ELSE {BARE} END"),
     "normalise_bool": sql_bool("s"),
     "is_sensitive": f"lower(s) RLIKE '{'|'.join(fixed.SENSITIVE_PARTS)}'",
     "leaf_name": "substring_index(s, '.', -1)",
-    "checkbox_state": "CASE WHEN lower(trim(s)) IN ('yes', 'true', '1', 'on') THEN '/Yes' ELSE '/Off' END",
+    "checkbox_state": f"CASE WHEN lower({BARE}) IN ('yes', 'true', '1', 'on') THEN '/Yes' ELSE '/Off' END",
     "field_kind": "CASE WHEN contains(s, '/Tx') THEN 'text' WHEN contains(s, '/Btn') THEN 'checkbox' ELSE 'other' END",
-    "normalise_profile_type": "replace(lower(trim(s)), ' ', '_')",
-    "safe_request_id": "CASE WHEN trim(s) RLIKE '^[A-Za-z0-9_-]{8,128}$' THEN trim(s) END",
+    "normalise_profile_type": f"replace(lower({BARE}), ' ', '_')",
+    "safe_request_id": f"CASE WHEN {BARE} RLIKE '^[A-Za-z0-9_-]{{8,128}}$' THEN {BARE} END",
     "content_hash": "sha2(s, 256)",
 }
 BOOLEAN = {"is_sensitive"}

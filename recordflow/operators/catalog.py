@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recordflow.functions.scalars import host_class
+from recordflow.functions.scalars import host_class, strip
 
 SIGNATURE_FIELD = ("struct<key:string,label:string,page_index:int,x_pct:double,y_pct:double,"
                    "width_pct:double,height_pct:double,required:boolean,description:string>")
@@ -165,11 +165,11 @@ def route(records: DataFrame, local_categories: list[str], force_local: bool = T
     ``records``: provider_hint, category, local_reachable, local_url, cloud_url.
     An explicit hint wins; else listed categories go local where that endpoint answers.
     """
-    hinted = F.coalesce(F.trim("provider_hint"), F.lit("")) != ""
+    hinted = F.coalesce(strip("provider_hint"), F.lit("")) != ""
     listed = F.lit(force_local) & F.coalesce(F.col("category").isin(local_categories), F.lit(False))
     hint = F.when(hinted, F.col("provider_hint")).when(
         listed, F.when(F.col("local_reachable"), "local")).otherwise(F.col("provider_hint"))
-    provider = F.lower(F.coalesce(F.nullif(F.trim(hint), F.lit("")), F.lit(default_provider)))
+    provider = F.lower(F.coalesce(F.nullif(strip(hint), F.lit("")), F.lit(default_provider)))
     url = F.when(F.col("provider") == "local", F.col("local_url")).otherwise(F.col("cloud_url"))
     return (
         records.withColumn("provider", provider).withColumn("base_url", url)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from recordflow.functions import fixed
 from recordflow.functions.geometry import band, box_to_pct
 from recordflow.functions.responses import parse_zone_response
-from recordflow.functions.scalars import field_kind, slug
+from recordflow.functions.scalars import field_kind, slug, strip
 from recordflow.operators.ordered import last_wins, running
 from recordflow.operators.records import stage
 
@@ -89,7 +89,7 @@ def nearest_label(candidates: DataFrame) -> DataFrame:
     )
     words = F.array_sort(F.collect_list(F.struct("wx0", "word_no", "text")))
     return top.groupBy(*probe).agg(
-        F.trim(F.array_join(F.transform(words, lambda x: x["text"]), " ")).alias("label"))
+        strip(F.array_join(F.transform(words, lambda x: x["text"]), " ")).alias("label"))
 
 
 def field_labels(fields: DataFrame, words: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def detect_signature_fields(fields: DataFrame) -> DataFrame:
     is_sig = F.coalesce(F.col("type") == "/Sig", F.lit(False))
     signs, dates = says(fixed.SIGN_WORDS), says(fixed.DATE_WORDS)
     kind = F.when(dates & ~is_sig & ~signs, "date").otherwise("signature")
-    label = F.coalesce(F.nullif(F.trim("tooltip"), F.lit("")), F.nullif(F.trim("name"), F.lit("")), F.initcap("kind"))
+    label = F.coalesce(F.nullif(strip("tooltip"), F.lit("")), F.nullif(strip("name"), F.lit("")), F.initcap("kind"))
     return fields.where(is_sig | signs | dates).withColumn("kind", kind).withColumn("label", label)
 
 

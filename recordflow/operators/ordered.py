@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from recordflow.functions.scalars import strip
+
 HOT_ROWS = 2_000_000
 CHUNK = "_chunk"
 WHOLE = ("tinyint", "smallint", "int", "bigint")
@@ -133,8 +135,8 @@ def newest(df: DataFrame, ts: str, n: int, by: Sequence[str] | None = None, tie:
 
 
 def tail(df: DataFrame, position: str, n: int) -> DataFrame:
-    """The last n rows of a log, newest first; n is held within 1 and 500."""
-    return df.orderBy(F.col(position).desc()).limit(max(1, min(n, 500)))
+    """The last n rows of a log, newest first. Callers that must hold n within bounds do so themselves."""
+    return df.orderBy(F.col(position).desc()).limit(max(1, n))
 
 
 def reading_order(fields: DataFrame) -> DataFrame:
@@ -145,12 +147,12 @@ def reading_order(fields: DataFrame) -> DataFrame:
 
 def parse_ranges(spec: Column) -> Column:
     """'1-3,4-7,8' to an array of (label, first, last, error)."""
-    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: strip(p)), lambda p: p != "")
 
     def one(p: Column) -> Column:
         pair = F.split(p, "-", 2)
-        first = F.trim(F.get(pair, F.lit(0))).try_cast("int")
-        last = F.when(F.size(pair) == 2, F.trim(F.get(pair, F.lit(1))).try_cast("int")).otherwise(first)
+        first = strip(F.get(pair, F.lit(0))).try_cast("int")
+        last = F.when(F.size(pair) == 2, strip(F.get(pair, F.lit(1))).try_cast("int")).otherwise(first)
         label = F.when(F.size(pair) == 2, F.concat(F.lit("pages_"), first, F.lit("-"), last)) \
             .otherwise(F.concat(F.lit("page_"), F.lpad(first.cast("string"), F.greatest(F.lit(3), F.length(first.cast("string"))), F.lit("0"))))
         error = F.when(first.isNull() | last.isNull(), F.concat(F.lit("invalid range "), p))

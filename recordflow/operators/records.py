@@ -147,7 +147,7 @@ def flatten_nested(raw: DataFrame, ids: list[str], value: str = "raw", depth: in
 def drop_blank_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with at least one value that is not blank."""
     return df.where(F.exists(F.array(*[F.col(c).cast("string") for c in columns]),
-                             lambda v: F.coalesce(F.trim(v), F.lit("")) != ""))
+                             lambda v: F.coalesce(S.strip(v), F.lit("")) != ""))
 
 
 def non_empty(data) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recordflow.functions import fixed
+from recordflow.functions.scalars import strip
 from recordflow.operators.ordered import running
 
 
@@ -125,7 +126,7 @@ def rows_to_map(df: DataFrame, key: str, value: str, by: Sequence[str]) -> DataF
 def extract_summary(fields: DataFrame, docs: DataFrame, by: str = "doc_id") -> DataFrame:
     """Detected and filled fields per document; ``hint`` where there is nothing to read."""
     counted = fields.groupBy(by).agg(
-        F.count(F.lit(1)).alias("fields_detected"), F.count_if(F.coalesce(F.trim("value"), F.lit("")) != "").alias("non_empty_fields"))
+        F.count(F.lit(1)).alias("fields_detected"), F.count_if(F.coalesce(strip("value"), F.lit("")) != "").alias("non_empty_fields"))
     n, filled = [F.coalesce(c, F.lit(0)) for c in ("fields_detected", "non_empty_fields")]
     return docs.select(by).distinct().join(counted, by, "left").select(
         by, n.alias("fields_detected"), filled.alias("non_empty_fields"),

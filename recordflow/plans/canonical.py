@@ -296,7 +296,7 @@ def parse(records: DataFrame, keep_unknown: bool = False, entries: str = "entrie
     if shape not in ("auto", "flat"):
         raise ValueError("shape must be 'auto' or 'flat'")
     resolved = R.as_map(R.resolve_keys(entries))
-    texts = F.expr(f"transform_values(_flat, (k, v) -> trim({text_of('v')}))")
+    texts = F.expr(f"transform_values(_flat, (k, v) -> {S.sql_strip(text_of('v'))})")
     flat_error, promoted = F.expr(flat_violations("_flat", "_text")), F.expr(promote_flat("_flat", "_text"))
     if shape == "flat":
         read = R.stage(R.stage(R.stage(records, _flat=resolved), _text=texts), error=flat_error)

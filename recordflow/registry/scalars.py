@@ -30,35 +30,45 @@ def phone_sql(s: str) -> str:
             f"THEN '(' || substr({last}, 1, 3) || ') ' || substr({last}, 4, 3) || '-' || substr({last}, 7, 4) ELSE {s} END")
 
 
+# ``trim`` with these blanks, as both engines read them.
+BLANKS = " || ".join(f"chr({ord(c)})" for c in fixed.WHITE_SPACE)
+TAB, END = "chr(9)", "chr(10)"
+
+
+def strip_sql(s: str) -> str:
+    return f"trim({s}, {BLANKS})"
+
+
 def date_sql(s: str) -> str:
+    s = strip_sql(s)
     d2, d4 = "[0-9]" * 2, "[0-9]" * 4
-    return (rf"CASE WHEN regexp_full_match(trim({s}), '{d4}-{d2}-{d2}') THEN regexp_replace(trim({s}), '(....)-(..)-(..)', '\2/\3/\1') "
-            rf"WHEN regexp_full_match(trim({s}), '{d2}-{d2}-{d4}') THEN regexp_replace(trim({s}), '(..)-(..)-(....)', '\2/\1/\3') "
-            f"ELSE trim({s}) END")
+    return (rf"CASE WHEN regexp_full_match({s}, '{d4}-{d2}-{d2}') THEN regexp_replace({s}, '(....)-(..)-(..)', '\2/\3/\1') "
+            rf"WHEN regexp_full_match({s}, '{d2}-{d2}-{d4}') THEN regexp_replace({s}, '(..)-(..)-(....)', '\2/\1/\3') "
+            f"ELSE {s} END")
 
 
 def bool_sql(s: str) -> str:
-    return (f"CASE WHEN lower(trim({s})) IN ({quoted(fixed.YES_WORDS)}) THEN 'Yes' "
-            f"WHEN lower(trim({s})) IN ({quoted(fixed.NO_WORDS)}) THEN 'No' ELSE {s} END")
+    return (f"CASE WHEN lower({strip_sql(s)}) IN ({quoted(fixed.YES_WORDS)}) THEN 'Yes' "
+            f"WHEN lower({strip_sql(s)}) IN ({quoted(fixed.NO_WORDS)}) THEN 'No' ELSE {s} END")
 
 
 def value_sql(k: str, s: str) -> str:
     def has(words) -> str:
         return "(" + " OR ".join(f"contains({k}, '{w}')" for w in words) + ")"
-    t = f"nullif(trim({s}), '')"
+    t = f"nullif({strip_sql(s)}, '')"
     return f"CASE WHEN {has(fixed.PHONE_HINTS)} THEN {phone_sql(t)} WHEN {has(fixed.DATE_HINTS)} THEN {date_sql(t)} ELSE {t} END"
 
 
 project("normalise_phone", f"SELECT c_custkey AS id, {PHONE} AS s FROM {{customer}}", lambda: S.normalise_phone("s"), phone_sql("s"))
 DAY = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
-DATE = (f"CASE o_orderkey % 5 WHEN 0 THEN {DAY} WHEN 1 THEN ' ' || {DAY} || ' ' WHEN 2 THEN substr({DAY}, 9, 2) || '-' || substr({DAY}, 6, 2) || '-' || substr({DAY}, 1, 4) "
+DATE = (f"CASE o_orderkey % 5 WHEN 0 THEN {DAY} WHEN 1 THEN {TAB} || {DAY} || {END} WHEN 2 THEN substr({DAY}, 9, 2) || '-' || substr({DAY}, 6, 2) || '-' || substr({DAY}, 1, 4) "
         f"WHEN 3 THEN '3/9/' || substr({DAY}, 1, 4) ELSE 'on ' || {DAY} END")
 project("normalise_date", f"SELECT o_orderkey AS id, {DATE} AS s FROM {{orders}}", lambda: S.normalise_date("s"), date_sql("s"))
-WORDS = [" TRUE ", "yes", "Y", "1", "x", "False", "no", " n", "0", "Maybe", "", " on "]
+WORDS = [" TRUE ", "\tyes\n", "Y", "1\r\n", "x", "False", "\u00a0no", " n", "0", "Maybe", "", " on\t"]
 project("normalise_bool", f"SELECT event_id AS id, {pick(WORDS, 'event_id')} AS s FROM {{events}}", lambda: S.normalise_bool("s"), bool_sql("s"))
 VALUE_KEYS = ["phone", "hotel", "update", "patient_dob", "fax_date", "name", "start_date", "note"]
 project("normalise_value", f"SELECT o_orderkey AS id, {pick(VALUE_KEYS, 'o_orderkey')} AS k, CASE o_orderkey % 7 WHEN 0 THEN lpad(CAST(o_orderkey AS STRING), 10, '4') "
-        f"WHEN 1 THEN '  ' WHEN 2 THEN ' ' || o_orderpriority ELSE {DAY} END AS s FROM {{orders}}", lambda: S.normalise_value(F.col("k"), "s"), value_sql("k", "s"))
+        f"WHEN 1 THEN ' ' || {TAB} WHEN 2 THEN {END} || o_orderpriority ELSE {DAY} END AS s FROM {{orders}}", lambda: S.normalise_value(F.col("k"), "s"), value_sql("k", "s"))
 
 NAMES = ("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 9 = 1 THEN 'Given Name' END AS given, CASE WHEN c_custkey % 3 = 0 THEN 'Dr.' END AS title, "
          "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS first, CASE WHEN c_custkey % 7 > 2 THEN c_mktsegment END AS last, CASE WHEN c_nationkey > 12 THEN 'Jr.' ELSE '' END AS suffix FROM {customer}")
@@ -156,7 +166,7 @@ project("field_kind", f"SELECT p_partkey AS id, {pick(TYPES, 'p_partkey')} AS t
         "CASE t WHEN '/Tx' THEN 'text' WHEN '/Btn' THEN 'checkbox' ELSE 'other' END")
 project("leaf_name", "SELECT page_id AS id, url AS s FROM {pages}", lambda: S.leaf_name("s"), "list_extract(string_split(s, '.'), -1)")
 project("checkbox_state", f"SELECT event_id AS id, {pick(WORDS, 'event_id')} AS s FROM {{events}}", lambda: S.checkbox_state("s"),
-        "CASE WHEN lower(trim(s)) IN ('yes', 'true', '1', 'on') THEN '/Yes' ELSE '/Off' END")
+        f"CASE WHEN lower({strip_sql('s')}) IN ('yes', 'true', '1', 'on') THEN '/Yes' ELSE '/Off' END")
 
 BOXES = ("SELECT p_partkey AS id, CAST(p_size * 12 AS DOUBLE) AS x0, CAST(p_partkey % 700 AS DOUBLE) AS y0, CAST(300 - p_size AS DOUBLE) AS x1, CAST(p_partkey % 701 + p_size / 3 AS INT) * 1.0 AS y1, "
          "612.0 AS w, CASE WHEN p_partkey % 50 = 0 THEN 0.0 ELSE 792.0 END AS h FROM {part}")
@@ -224,10 +234,10 @@ def zone_response(spark, sf):
     return parsed.select("id", F.explode("z").alias("z")).select("id", "z.*")
 
 
-project("normalise_profile_type", "SELECT p_partkey AS id, ' ' || p_name || CASE WHEN p_size > 25 THEN ' ' || p_type ELSE '' END AS s FROM {part}",
-        lambda: S.normalise_profile_type("s"), "replace(lower(trim(s)), ' ', '_')")
-project("safe_request_id", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN ' req-' || CAST(1000 + c_custkey AS STRING) || '_x ' WHEN 1 THEN c_name WHEN 2 THEN 'short' ELSE CAST(123456789 + c_custkey AS STRING) END AS s FROM {customer}",
-        lambda: S.safe_request_id("s"), "CASE WHEN regexp_full_match(trim(s), '[A-Za-z0-9_-]+') AND length(trim(s)) BETWEEN 8 AND 128 THEN trim(s) END")
+project("normalise_profile_type", f"SELECT p_partkey AS id, {END} || p_name || CASE WHEN p_size > 25 THEN ' ' || p_type ELSE '' END AS s FROM {{part}}",
+        lambda: S.normalise_profile_type("s"), f"replace(lower({strip_sql('s')}), ' ', '_')")
+project("safe_request_id", f"SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN ' req-' || CAST(1000 + c_custkey AS STRING) || '_x' || {END} WHEN 1 THEN c_name WHEN 2 THEN 'short' ELSE CAST(123456789 + c_custkey AS STRING) END AS s FROM {{customer}}",
+        lambda: S.safe_request_id("s"), "CASE WHEN regexp_full_match({0}, '[A-Za-z0-9_-]+') AND length({0}) BETWEEN 8 AND 128 THEN {0} END".format(strip_sql("s")))
 HOSTS = ["localhost", "10.1.2.3", "172.16.0.9", "172.32.0.9", "192.168.1.1", "[::1]", "[fd12::1]", "8.8.8.8", "box.local", "api.example.com", "10.example.com", "printer.LAN", "127.9.9.9"]
 PRIVATE = ["localhost", "10.1.2.3", "172.16.0.9", "192.168.1.1", "[::1]", "[fd12::1]", "box.local", "printer.LAN", "127.9.9.9"]
 URLS = f"SELECT page_id AS id, CASE WHEN page_id % 14 = 13 THEN url ELSE 'http://' || {pick(HOSTS, 'page_id % 14')} || ':8080/' || CAST(page_id AS STRING) END AS u FROM {{pages}}"

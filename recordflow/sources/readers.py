@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from recordflow.functions.scalars import strip
 from recordflow.operators.catalog import MANIFEST
 from recordflow.operators.ordered import with_index
 from recordflow.operators.records import entries_of, entries_of_json
@@ -52,7 +53,7 @@ def _csv(spark: SparkSession, path: str, encoding: str, multiline: bool) -> tupl
 
 
 def _filled(names: list[str]) -> Column:
-    return F.exists(F.array(*[F.col(f"`{n}`") for n in names]), lambda v: F.coalesce(F.trim(v), F.lit("")) != "")
+    return F.exists(F.array(*[F.col(f"`{n}`") for n in names]), lambda v: F.coalesce(strip(v), F.lit("")) != "")
 
 
 def read_csv_records(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = True, require_rows: bool = True) -> DataFrame:
@@ -82,7 +83,7 @@ def read_json_records(spark: SparkSession, path: str, lines: bool = False, requi
     An array file is read by one task; large inputs should be lines.
     """
     if lines:
-        rows = _indexed(_row_order(spark.read.text(path)).where(F.trim("value") != ""))
+        rows = _indexed(_row_order(spark.read.text(path)).where(strip("value") != ""))
         out = rows.select("file", "idx", entries_of_json("value").alias("entries"))
     else:
         text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from recordflow.functions.scalars import strip
 from recordflow.streaming.state import in_order
 
 DEFAULT_HOURS, LEAST_HOURS = 168, 1
@@ -29,11 +30,11 @@ def is_expired(expires, now) -> Column:
 def prepare_approvals(requests: DataFrame) -> DataFrame:
     """New approvals with defaults, expiry and ``error`` where something is missing."""
     error = (
-        F.when(F.trim(F.coalesce("pdf_filename", F.lit(""))) == "", "pdf_filename is required.")
+        F.when(strip(F.coalesce("pdf_filename", F.lit(""))) == "", "pdf_filename is required.")
         .when((F.coalesce("reviewer_email", F.lit("")) == "") & (F.coalesce("reviewer_name", F.lit("")) == ""),
               "At least reviewer_email or reviewer_name is required."))
     return requests.withColumn("error", error).withColumn(
-        "title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled"))).withColumn(
+        "title", F.coalesce(F.nullif(strip("title"), F.lit("")), F.lit("Untitled"))).withColumn(
         "expires_at", expires_at("created_at", "expires_in_hours"))
 
 
@@ -52,7 +53,7 @@ def fold_approvals(approvals: DataFrame, decisions: DataFrame, as_of: Column) ->
         F.min_by(F.struct("seq", "ts", "decision", "comment"), "seq").alias("w"))
     states = approvals.join(first, "approval_id", "left").select(
         "approval_id", F.coalesce("w.decision", F.when(as_of >= F.col("expires_at"), "expired").otherwise("pending")).alias("status"),
-        F.col("w.ts").alias("decided_at"), F.nullif(F.trim("w.comment"), F.lit("")).alias("comment"))
+        F.col("w.ts").alias("decided_at"), F.nullif(strip("w.comment"), F.lit("")).alias("comment"))
     reason = (
         F.when(~F.col("_known"), "approval not found").when(~F.col("_token"), "invalid token")
         .when(F.col("seq") > F.col("w.seq"), F.concat(F.lit("already decided: "), F.col("w.decision")))

@@ -97,3 +97,12 @@ def test_signed_events(spark):
                     secrets.verify_event("ts", "body", "sig", F.lit(1000), "other")).collect()
     assert rows[0][0] == "v1=" + hmac.new(b"k", b"1000.body", hashlib.sha256).hexdigest()
     assert list(rows[0])[1:] == [True, False, False] and list(rows[1])[1:] == [False, False, False]
+
+
+def test_white_space_of_any_kind(one):
+    pad = ["\t{}\n", "\r\n{} ", " {} ", " {}\x0b"]
+    assert one(S.strip, [p.format("a b") for p in pad]) == ["a b"] * 4
+    assert one(S.normalise_date, [p.format("1978-03-14") for p in pad]) == ["03/14/1978"] * 4
+    assert one(S.normalise_bool, [p.format("yes") for p in pad]) == ["Yes"] * 4
+    assert one(S.safe_request_id, [p.format("abcdefgh") for p in pad]) == ["abcdefgh"] * 4
+    assert one(S.checkbox_state, [p.format("On") for p in pad]) == ["/Yes"] * 4
