@@ -7,6 +7,9 @@ first position and the last value.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordflow.functions import scalars as S
@@ -113,35 +116,51 @@ def emit_aliases(entries) -> Column:
         S.alias_keys(e["key"]), lambda k: F.struct(k.alias("key"), e["value"].alias("value")))))
 
 
-def flatten_nested(raw: DataFrame, ids: list[str], value: str = "raw", depth: int = 8) -> DataFrame:
-    """Leaves of a VARIANT as rows (ids, key, value).
+class _Number(str):
+    """A number as it was written."""
+
+
+def _json_of(v) -> str:
+    if isinstance(v, _Number):
+        return str(v)
+    if isinstance(v, list):
+        return "[" + ",".join(map(_json_of, v)) + "]"
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json_of(x)}" for k, x in v.items()) + "}"
+    return json.dumps(v, ensure_ascii=False)
+
+
+def _walk(text: str) -> list[dict]:
+    """Leaves of a JSON text as (key, json), depth first."""
+    out, stack = [], [("", json.loads(text, parse_int=_Number, parse_float=_Number), False)]
+    while stack:
+        key, v, in_list = stack.pop()
+        if isinstance(v, dict):
+            stack += [(f"{key}__{k}" if key else k, x, False) for k, x in reversed(v.items())]
+        elif isinstance(v, list) and not in_list:
+            stack += [(f"{key}_{i}", x, True) for i, x in reversed(list(enumerate(v, 1)))]
+        elif v is not None and key:
+            out.append({"key": key, "json": _json_of(v)})
+    return out
+
+
+def _leaves(text: Column) -> Column:
+    @F.arrow_udf("array<struct<key: string, json: string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("key", pa.string()), ("json", pa.string())]))
+        return pa.array([None if t is None else _walk(t) for t in texts.to_pylist()], kind)
+
+    return run(text)
+
+
+def flatten_nested(raw: DataFrame, ids: list[str], value: str = "raw") -> DataFrame:
+    """Leaves of a VARIANT as rows (ids, key, value), at any depth, in one pass.
 
-    Object keys are joined by ``__``, list items numbered ``_1``, ``_2`` …;
-    nulls are dropped and a list inside a list is kept as its JSON text. One
-    pass per level, down to ``depth``; what is deeper is kept as JSON text.
+    Object keys are joined by ``__``, list items numbered ``_1``, ``_2`` …; nulls
+    are dropped and a list inside a list is kept as its JSON text.
     """
-    level = raw.select(*ids, F.lit("").alias("key"), F.col(value).alias("v"), F.lit(False).alias("_in_list"))
-    leaves = None
-    for step in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        is_object = kind.startswith("OBJECT")
-        is_list = kind.startswith("ARRAY") & ~F.col("_in_list")
-        last = F.lit(step == depth)
-        done = level.where((~is_object & ~is_list | last) & (kind != "VOID") & (F.col("key") != "")).select(
-            *ids, "key", S.variant_text("v").alias("value"))
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if step == depth:
-            break
-        objects = level.where(is_object).select(
-            *ids, F.col("key").alias("_k"), F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("_name", "v")
-        ).select(*ids, F.concat(F.col("_k"), F.when(F.col("_k") == "", "").otherwise("__"), F.col("_name")).alias("key"),
-                 "v", F.lit(False).alias("_in_list"))
-        lists = level.where(is_list).select(
-            *ids, F.col("key").alias("_k"), F.posexplode(F.from_json(F.to_json("v"), "array<variant>")).alias("_i", "v")
-        ).select(*ids, F.concat(F.col("_k"), F.lit("_"), (F.col("_i") + 1).cast("string")).alias("key"),
-                 "v", F.lit(True).alias("_in_list"))
-        level = objects.unionByName(lists)
-    return leaves
+    leaves = raw.select(*ids, F.explode(_leaves(F.to_json(value))).alias("_leaf"))
+    return leaves.select(*ids, F.col("_leaf.key").alias("key"), S.variant_text(F.parse_json("_leaf.json")).alias("value"))
 
 
 def drop_blank_rows(df: DataFrame, columns: list[str]) -> DataFrame:

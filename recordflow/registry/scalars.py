@@ -87,7 +87,7 @@ UNION ALL SELECT id, 'l_2__m', event_type FROM e UNION ALL SELECT id, 'l_4', '[1
 def flatten_nested(spark, sf):
     e = table(spark, sf, "events")
     doc = F.concat(F.lit('{"a":'), "props", F.lit(',"l":['), F.col("user_id").cast("string"), F.lit(',{"m":"'), "event_type", F.lit('","z":null},null,[1]],"t":true}'))
-    return R.flatten_nested(e.select(F.col("event_id").alias("id"), F.parse_json(doc).alias("raw")), ["id"], depth=4)
+    return R.flatten_nested(e.select(F.col("event_id").alias("id"), F.parse_json(doc).alias("raw")), ["id"])
 
 
 FLAT = ("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE '' END AS first_name, CASE WHEN c_custkey % 4 > 1 THEN c_mktsegment || ' é/' || n_name END AS last_name, "
