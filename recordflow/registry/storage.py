@@ -38,6 +38,39 @@ def read_csv_records(spark, sf):
     return _by_part(R.read_csv_records(spark, path))
 
 
+@query("SELECT part, key, value FROM (" + RECORD_ROWS + """) UNION ALL SELECT CAST(p_partkey AS BIGINT), 'brand', p_brand FROM {part} WHERE p_partkey % 3 = 0""")
+def read_csv_headers(spark, sf):
+    """Files with columns in another order and one more column."""
+    path = work_folder(spark, "csv")
+    parts = _part_texts(spark, sf)
+    third = F.col("partKey").cast("long") % 3 == 0
+    brand = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("partKey"), F.col("p_brand").alias("brand"))
+    parts.where(~third).write.csv(f"{path}/a", header=True, escape='"', emptyValue="")
+    parts.where(third).join(brand, "partKey").select("kind", "brand", "partKey", "partName").write.csv(f"{path}/b", header=True, escape='"', emptyValue="")
+    rows = R.read_csv_records(spark, f"{path}/*").select(F.filter("entries", lambda e: e["key"] == "partKey")[0]["value"].cast("string").cast("bigint").alias("part"), F.explode("entries").alias("e"))
+    return rows.select("part", "e.key", F.coalesce(F.col("e.value").cast("string"), F.lit("")).alias("value"))
+
+
+@query("SELECT part, key, value FROM (" + RECORD_ROWS + ")")
+def read_profile_import(spark, sf):
+    path = work_folder(spark, "import")
+    _part_texts(spark, sf).write.csv(path, header=True, escape='"', emptyValue="")
+    return R.read_profile_import(spark, path).select(F.col("data")["partKey"].cast("bigint").alias("part"), F.explode("data").alias("key", "value"))
+
+
+@query("SELECT part, key, value, NULL AS error FROM (" + RECORD_ROWS + ") UNION ALL SELECT NULL, NULL, NULL, 'not a JSON array' FROM {part} WHERE p_partkey <= 2")
+def read_json_array(spark, sf):
+    """One array per file; two more files are cut off or hold no array."""
+    path = work_folder(spark, "json-array")
+    rows = _part_texts(spark, sf).withColumn("k", F.col("partKey").cast("long") % 20)
+    arrays = rows.groupBy("k").agg(F.to_json(F.collect_list(F.struct("partKey", "partName", "kind"))).alias("value"))
+    bad = table(spark, sf, "part").where("p_partkey <= 2").select((F.col("p_partkey") + 100).alias("k"), F.when(F.col("p_partkey") == 1, '[{"partKey": 1').otherwise('{"partKey": 2}').alias("value"))
+    arrays.unionByName(bad).write.partitionBy("k").text(path)
+    got = R.read_json_records(spark, f"{path}/*")
+    rows = got.select(F.filter("entries", lambda e: e["key"] == "partKey")[0]["value"].cast("string").cast("bigint").alias("part"), F.explode_outer("entries").alias("e"), "error")
+    return rows.select("part", "e.key", F.when(F.col("error").isNull(), F.coalesce(F.col("e.value").cast("string"), F.lit(""))).alias("value"), "error")
+
+
 @query(RECORD_ROWS)
 def read_json_records(spark, sf):
     path = work_folder(spark, "json")

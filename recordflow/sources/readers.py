@@ -6,12 +6,14 @@ block, then by row within it, as splits of a file may be planned in any order.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recordflow.functions.scalars import strip
 from recordflow.operators.catalog import MANIFEST
 from recordflow.operators.ordered import with_index
-from recordflow.operators.records import entries_of, entries_of_json
+from recordflow.operators.records import ENTRIES, entries_of, entries_of_json
 
 JOB = ("id string, status string, kind string, template_id string, record_count int, "
        "progress struct<total:int,completed:int,successful:int,failed:int>, created_at string, started_at string, completed_at string, "
@@ -40,56 +42,93 @@ def _indexed(df: DataFrame, name: str = "idx") -> DataFrame:
     return with_index(df, "file", ["_block", "_row"], name).drop("_block", "_row")
 
 
-def _require_rows(df: DataFrame, path: str) -> DataFrame:
+def _require_rows(df: DataFrame, path: str) -> None:
+    """Looks at the bare scan, so that the check stops at the first row."""
     if df.isEmpty():
         raise ValueError(f"no data rows in {path}")
-    return df
 
 
-def _csv(spark: SparkSession, path: str, encoding: str, multiline: bool) -> tuple[DataFrame, list[str]]:
-    df = spark.read.csv(path, header=True, multiLine=multiline, encoding=encoding, escape='"', mode="PERMISSIVE")
-    names = [c.lstrip("﻿") for c in df.columns]
-    return _row_order(df).toDF(*names, "file", "_block", "_row"), names
+def csv_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a path by what a reader must know of them: (header, utf8, breaks, files).
+
+    One light pass over lines, without parsing: the first line of each file, whether all its lines
+    are valid UTF-8, and whether a quoted cell holds a line break (a line with an odd
+    number of quotes).
+    """
+    lines = spark.read.text(path).select(
+        F.ltrim("value", F.lit("\ufeff")).alias("value"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at")).where(strip("value") != "")
+    by_file = lines.groupBy("file").agg(
+        F.min_by("value", "at").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("breaks"))
+    return by_file.groupBy("header", "utf8", "breaks").agg(F.array_sort(F.collect_list("file")).alias("files"))
+
+
+def _csv_scans(spark: SparkSession, path: str) -> list[tuple[DataFrame, list[str]]]:
+    """One scan, with its column names, for each kind of file. Files are read by their own
+    header; what is not UTF-8 is read as Latin-1; only files with line breaks in cells are not split."""
+    out = []
+    for kind in csv_kinds(spark, path).orderBy("files").collect():  # one row per distinct header
+        df = spark.read.csv([unquote(f) for f in kind["files"]], header=True, multiLine=kind["breaks"], encoding="UTF-8" if kind["utf8"] else "ISO-8859-1", escape='"', mode="PERMISSIVE")
+        names = [c.lstrip("\ufeff").removeprefix("ï»¿") for c in df.columns]
+        out.append((_row_order(df).toDF(*names, "file", "_block", "_row"), names))
+    return out
 
 
 def _filled(names: list[str]) -> Column:
     return F.exists(F.array(*[F.col(f"`{n}`") for n in names]), lambda v: F.coalesce(strip(v), F.lit("")) != "")
 
 
-def read_csv_records(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = True, require_rows: bool = True) -> DataFrame:
-    """Records (file, idx, entries) of CSV files with a header; all values are text.
+def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
-    ``multiline`` allows line breaks in quoted cells, at the price of one task per
-    file; set it to False for large files without them.
-    """
-    df, names = _csv(spark, path, encoding, multiline)
+
+def read_csv_records(spark: SparkSession, path: str, require_rows: bool = True) -> DataFrame:
+    """Records (file, idx, entries) of CSV files, each read by its own header; all values are text."""
+    scans = _csv_scans(spark, path)
     # The reader skips blank lines and gives empty cells as null; to a record they are ''.
-    cells = {n: F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names}
-    out = _indexed(df).select("file", "idx", entries_of(cells).alias("entries"))
-    return _require_rows(out, path) if require_rows else out
+    rows = [df.select("file", "_block", "_row", entries_of({n: F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names}).alias("entries")) for df, names in scans]
+    out = _union(rows, spark, f"file string, _block bigint, _row bigint, entries {ENTRIES}")
+    if require_rows:
+        _require_rows(out, path)
+    return _indexed(out).select("file", "idx", "entries")
 
 
-def read_profile_import(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_profile_import(spark: SparkSession, path: str) -> DataFrame:
     """Import rows (import_id, row, data); blank rows are dropped, the first row is 2."""
-    df, names = _csv(spark, path, "UTF-8", multiline)
-    rows = _indexed(df.where(_filled(names)), "row")
-    data = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]))
-    return rows.select(F.col("file").alias("import_id"), (F.col("row") + 1).alias("row"), data.alias("data"))
+    rows = []
+    for df, names in _csv_scans(spark, path):
+        data = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]))
+        rows.append(df.where(_filled(names)).select("file", "_block", "_row", data.alias("data")))
+    out = _indexed(_union(rows, spark, "file string, _block bigint, _row bigint, data map<string,string>"), "row")
+    return out.select(F.col("file").alias("import_id"), (F.col("row") + 1).alias("row"), "data")
 
 
 def read_json_records(spark: SparkSession, path: str, lines: bool = False, require_rows: bool = True) -> DataFrame:
-    """Records (file, idx, entries) of JSON arrays, one array per file, or of JSON lines.
+    """Records (file, idx, entries, error) of JSON arrays, one array per file, or of JSON lines.
 
-    An array file is read by one task; large inputs should be lines.
+    An array file is read by one task; large inputs should be lines. A file that is no
+    array, or is cut off, gives one row with ``error`` and neither idx nor entries; a line that is no object
+    gives a row with its idx and ``error``.
     """
     if lines:
-        rows = _indexed(_row_order(spark.read.text(path)).where(strip("value") != ""))
-        out = rows.select("file", "idx", entries_of_json("value").alias("entries"))
-    else:
-        text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-        items = text.select("file", F.posexplode(F.from_json("value", "array<variant>")).alias("pos", "v"))
-        out = items.select("file", (F.col("pos") + 1).cast("long").alias("idx"), entries_of_json(F.to_json("v")).alias("entries"))
-    return _require_rows(out, path) if require_rows else out
+        raw = _row_order(spark.read.text(path)).where(strip("value") != "")
+        if require_rows:
+            _require_rows(raw, path)
+        out = _indexed(raw).select("file", "idx", entries_of_json("value").alias("entries"))
+        return out.withColumn("error", F.when(F.col("entries").isNull(), "not a JSON object"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    if require_rows:
+        _require_rows(text.where(strip("value") != "[]"), path)
+    doc = text.select("file", F.try_parse_json("value").alias("doc"))
+    is_list = F.coalesce(F.schema_of_variant("doc").startswith("ARRAY"), F.lit(False))
+    items = doc.where(is_list).select("file", F.posexplode(F.col("doc").cast("array<variant>")).alias("pos", "v"))
+    good = items.select("file", (F.col("pos") + 1).cast("long").alias("idx"), entries_of_json(F.to_json("v")).alias("entries"))
+    good = good.withColumn("error", F.when(F.col("entries").isNull(), "not a JSON object"))
+    bad = doc.where(~is_list).select("file", F.lit(None).cast("long").alias("idx"), F.lit(None).cast(ENTRIES).alias("entries"), F.lit("not a JSON array").alias("error"))
+    return good.unionByName(bad)
 
 
 def read_documents(spark: SparkSession, path: str, schema: str, glob: str | None = None) -> DataFrame:

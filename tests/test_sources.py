@@ -22,6 +22,16 @@ def test_csv(spark, tmp_path):
         R.read_csv_records(spark, str(tmp_path / "empty"))
 
 
+def test_csv_by_own_header_and_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,zip\nAnn,1\n")
+    (tmp_path / "b.csv").write_text("zip,name,extra\n2,Bob,E\n")
+    (tmp_path / "c d.csv").write_bytes("name,zip\nZoé,3\n".encode("latin-1"))
+    assert sorted(e for _, e in entries(R.read_csv_records(spark, str(tmp_path)))) == [
+        [("name", "Ann"), ("zip", "1")], [("name", "Zoé"), ("zip", "3")], [("zip", "2"), ("name", "Bob"), ("extra", "E")]]
+    kinds = R.csv_kinds(spark, str(tmp_path)).collect()
+    assert len(kinds) == 3 and not any(k["breaks"] for k in kinds)
+
+
 def test_profile_import(spark, tmp_path):
     (tmp_path / "p.csv").write_text("name,profile_type,npi,phone\nDr. Alice,Care Provider,12,(555) 1\n , ,,\n,patient,,1\nJohn,,,2\n")
     got = import_profiles(R.read_profile_import(spark, str(tmp_path)), "provider").orderBy("row").select("row", "name", "profile_type", F.to_json("data"), "error").collect()
@@ -34,6 +44,14 @@ def test_json_array(spark, tmp_path):
     assert entries(R.read_json_records(spark, str(tmp_path))) == [(1, [("a", "1"), ("b", '{"c":true}')]), (2, [("a", None)])]
 
 
+def test_bad_json_files_are_reported(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}, 5]')
+    (tmp_path / "b.json").write_text('[{"a": 2}, {"a"')
+    (tmp_path / "c.json").write_text('{"a": 3}')
+    got = sorted((r["file"][-6:], r["idx"], r["error"]) for r in R.read_json_records(spark, str(tmp_path)).select("file", "idx", "error").collect())
+    assert got == [("a.json", 1, None), ("a.json", 2, "not a JSON object"), ("b.json", None, "not a JSON array"), ("c.json", None, "not a JSON array")]
+
+
 def workbook(path, rows, active=0):
     """A small workbook; cells are str, int, float, bool or None."""
     def cell(r, c, v):
