@@ -11,6 +11,7 @@ from recordflow.registry.forms import CACHE_ROWS, _cache
 from recordflow.session import STATE_STORE, work_folder
 from recordflow.sources import readers as R, sinks as W
 from recordflow.streaming import approvals as AP, ingest as I, jobs as SJ, signing as SG, usage as U
+from recordflow.streaming.state import settled
 
 
 def _entries(d: DataFrame) -> DataFrame:
@@ -167,12 +168,18 @@ def incremental_cache(spark, sf):
     return K.read_cache(spark, cache).select("fingerprint", F.explode("mappings").alias("field_name", "m")).select("fingerprint", "field_name", "m.value", "m.confidence")
 
 
-def run_stream(spark: SparkSession, events: DataFrame, build, mode: str = "append") -> DataFrame:
-    """Write events to a folder, stream them through and read the output table."""
+def run_stream(spark: SparkSession, events: DataFrame, build, mode: str = "append", batches: int = 0) -> DataFrame:
+    """Write events to a folder, stream them through and read the output table.
+
+    With ``batches`` the events are shuffled over that many files, one per micro-batch.
+    """
+    if batches:
+        events = events.repartition(batches, F.xxhash64(*[c for c in events.columns if c == "seq"], F.lit(7)))
     source, sink = work_folder(spark, "in"), work_folder(spark, "out")
     events.write.parquet(source)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    out = build(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source))
+    reader = spark.readStream.schema(spark.read.parquet(source).schema)
+    out = build((reader.option("maxFilesPerTrigger", 1) if batches else reader).parquet(source))
     writer = out.writeStream.option("checkpointLocation", f"{sink}-state").outputMode(mode).trigger(availableNow=True)
     writer.format("parquet").option("path", sink).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
@@ -183,7 +190,8 @@ def stream_signing(spark, sf):
     signs = bind(spark, sf, SIGNS).withColumn("session_id", F.col("session_id").cast("string")).withColumn("signers", F.lit(None).cast("int"))
     n = (F.col("session_id").cast("int") % 4 + 1).cast("int")
     created = signs.select("session_id").distinct().select("session_id", F.lit(-1).cast("bigint").alias("seq"), F.lit("create").alias("action"), F.lit(-1).alias("signer_index"), n.alias("signers"))
-    return run_stream(spark, signs.unionByName(created), SG.stream_signing).select("session_id", "seq", "accepted")
+    out = run_stream(spark, signs.unionByName(created), SG.stream_signing, batches=5)
+    return settled(out, "session_id", "seq").select("session_id", "seq", "accepted")
 
 
 @query(SQL["judge_decisions"])
@@ -191,25 +199,24 @@ def stream_approvals(spark, sf):
     d = bind(spark, sf, APPROVALS).select("approval_id", "seq", F.col("ts").cast("timestamp").alias("ts"), F.col("decision").alias("action"), "token", F.lit(None).cast("int").alias("expires_in_hours"))
     created = d.groupBy("approval_id").agg(F.min(F.date_trunc("day", "ts")).alias("ts")).select(
         "approval_id", F.lit(-1).cast("bigint").alias("seq"), "ts", F.lit("create").alias("action"), F.lit("tok").alias("token"), F.lit(18).alias("expires_in_hours"))
-    out = run_stream(spark, d.unionByName(created), AP.stream_approvals)
+    out = settled(run_stream(spark, d.unionByName(created), lambda s: AP.stream_approvals(s, "100 days"), batches=5), "approval_id", "seq")
     return out.where("seq >= 0").select("approval_id", "seq", "accepted", "reason")
 
 
-@query(SQL["fold_jobs"].replace("SELECT job_id, CASE", "SELECT CAST(job_id AS VARCHAR) AS job_id, CASE", 1).replace(
-    "arg_max(error, seq) FILTER (error IS NOT NULL) AS error, arg_max(progress_completed, seq) FILTER (progress_completed IS NOT NULL) AS progress_completed", "1 AS one"))
+@query(SQL["fold_jobs"].replace("SELECT job_id, CASE", "SELECT CAST(job_id AS VARCHAR) AS job_id, CASE", 1))
 def stream_jobs(spark, sf):
-    """Last status of each job that a stream of its events leaves."""
-    e = bind(spark, sf, JOB_EVENTS).select(F.col("job_id").cast("string").alias("job_id"), "seq", "action", "status")
-    out = run_stream(spark, e, SJ.stream_jobs).groupBy("job_id").agg(F.max_by("status", "seq").alias("status"))
-    return out.where("status <> 'deleted'").select("job_id", "status", F.lit(1).alias("one"))
+    """Jobs as a stream of their events, shuffled over micro-batches, leaves them."""
+    e = bind(spark, sf, JOB_EVENTS)
+    e = e.select(F.col("job_id").cast("string").alias("job_id"), *[c for c in e.columns if c != "job_id"])
+    out = run_stream(spark, e, SJ.stream_jobs, batches=5)
+    return SJ.latest_jobs(out)
 
 
-@query("""WITH b AS (""" + BILLING + """) SELECT key_id, customer_id, CASE WHEN (SELECT max(seq) FROM b d WHERE d.type LIKE '%deleted' AND d.customer_id = k.customer_id) > max(seq) THEN 'free' ELSE arg_max(coalesce(target_tier, 'pro'), seq) END AS tier
-FROM (SELECT CAST(key_id AS VARCHAR) AS key_id, customer_id, target_tier, seq FROM b WHERE key_id IS NOT NULL AND customer_id IS NOT NULL) k GROUP BY key_id, customer_id""")
+@query(SQL["fold_tiers"].replace("SELECT key_id,", "SELECT CAST(key_id AS VARCHAR) AS key_id,", 1))
 def stream_tiers(spark, sf):
-    """Last tier per key and customer."""
-    e = bind(spark, sf, BILLING).withColumn("key_id", F.col("key_id").cast("string")).where("customer_id IS NOT NULL")
-    return run_stream(spark, e, SJ.stream_tiers).groupBy("key_id", "customer_id").agg(F.max_by("tier", "seq").alias("tier"))
+    """Tier and customer per key as a stream of billing events, shuffled over micro-batches, leaves them."""
+    e = bind(spark, sf, BILLING).withColumn("key_id", F.col("key_id").cast("string"))
+    return SJ.latest_tiers(run_stream(spark, e, SJ.stream_tiers, batches=5))
 
 
 @query(SQL["limit_breaches"] + " AND date_trunc('day', start) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")

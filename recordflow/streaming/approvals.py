@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from recordflow.functions.scalars import strip
-from recordflow.streaming.state import in_order
+from recordflow.streaming.state import OrderedProcessor
 
 DEFAULT_HOURS, LEAST_HOURS = 168, 1
 
@@ -63,62 +62,52 @@ def fold_approvals(approvals: DataFrame, decisions: DataFrame, as_of: Column) ->
     return states, judged
 
 
-class ApprovalProcessor(StatefulProcessor):
+class ApprovalProcessor(OrderedProcessor):
     """State per approval: token, expiry and status; an event-time timer marks expiry."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("approval", "token string, expires_ms bigint, status string")
-
-    @staticmethod
-    def _rows(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["approval_id", "seq", "status", "accepted", "reason"])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        token, expires, status = self.state.get() if self.state.exists() else (None, None, None)
-        out = []
-        for pdf in in_order(rows):
-            for e in pdf.itertuples():
-                at = int(pd.Timestamp(e.ts).value // 1_000_000)
-                if e.action == "create":
-                    hours = DEFAULT_HOURS if pd.isna(e.expires_in_hours) else int(e.expires_in_hours)
-                    token, expires, status = e.token, at + max(LEAST_HOURS, hours) * 3_600_000, "pending"
-                    self.handle.registerTimer(expires)
-                    continue
-                reason = None
-                if status is None:
-                    reason = "approval not found"
-                elif not e.token or e.token != token:
-                    reason = "invalid token"
-                elif status in ("approved", "rejected"):
-                    reason = f"already decided: {status}"
-                elif at >= expires:
-                    reason = "expired"
-                else:
-                    status = e.action
-                out.append((key[0], int(e.seq), status, reason is None, reason))
-        if status is not None:
-            self.state.update((token, expires, status))
-        if out:
-            yield self._rows(out)
+    EVENT = "seq bigint, ts timestamp, action string, token string, expires_in_hours int"
+    OUT = ("approval_id", "seq", "status", "accepted", "reason")
+
+    def start(self):
+        return None, None, None
+
+    def fold(self, key, state, event):
+        token, expires, status = state
+        seq, ts, action, given, hours = event
+        at = int(pd.Timestamp(ts).value // 1_000_000)
+        if action == "create":
+            return (given, at + max(LEAST_HOURS, DEFAULT_HOURS if hours is None else int(hours)) * 3_600_000, "pending"), []
+        reason = None
+        if status is None:
+            reason = "approval not found"
+        elif not given or given != token:
+            reason = "invalid token"
+        elif status in ("approved", "rejected"):
+            reason = f"already decided: {status}"
+        elif at >= expires:
+            reason = "expired"
+        else:
+            status = action
+        return (token, expires, status), [(key[0], seq, status, reason is None, reason)]
+
+    def folded(self, state) -> None:
+        if state[2] == "pending":
+            self.handle.registerTimer(state[1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            token, expires, status = self.state.get()
-            if status == "pending":
-                self.state.update((token, expires, "expired"))
-                yield self._rows([(key[0], -1, "expired", True, None)])
-
-    def close(self) -> None:
-        pass
+        last, known, state = self._load()
+        if state[2] == "pending" and state[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            yield pd.DataFrame([(key[0], -1, "expired", True, None, known)], columns=[*self.OUT, "known"])
 
 
 def stream_approvals(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Stream twin: events approval_id, seq, ts, action (create / approved / rejected), token, expires_in_hours.
 
-    Emits judged decisions, and one ``expired`` row when the watermark passes the expiry.
+    Emits judged decisions, and an ``expired`` row (seq -1) when the watermark passes the expiry of a
+    pending approval. Events may arrive in any order within ``delay``; ``state.settled`` reads the rows
+    that stand, by approval and seq.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return timed.groupBy("approval_id").transformWithStateInPandas(
-        statefulProcessor=ApprovalProcessor(), outputStructType="approval_id string, seq bigint, status string, accepted boolean, reason string",
+        statefulProcessor=ApprovalProcessor(), outputStructType="approval_id string, seq bigint, status string, accepted boolean, reason string, known bigint",
         outputMode="append", timeMode="eventtime")

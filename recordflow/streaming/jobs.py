@@ -2,51 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from recordflow.operators.jobs import fold_jobs
-from recordflow.streaming.state import in_order
+from recordflow.operators.jobs import PATCHED, fold_jobs
+from recordflow.streaming.state import OrderedProcessor, time_mode
+
+__all__ = ["fold_jobs", "fold_tiers", "latest_jobs", "latest_tiers", "stream_jobs", "stream_tiers"]
 
-__all__ = ["fold_jobs", "fold_tiers", "stream_jobs", "stream_tiers"]
 
+class JobProcessor(OrderedProcessor):
+    """State per job as ``fold_jobs`` has it; emits the job as it stands after each event."""
 
-class JobProcessor(StatefulProcessor):
-    """State per job: its status; emits one row per change."""
+    OUT = ("job_id", "seq", "status")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", "status string")
+    def __init__(self, fields: dict[str, str], ttl_ms: int | None = None):
+        super().__init__(ttl_ms)
+        self.fields = list(fields)
+        self.EVENT = ", ".join(["seq bigint", "action string", "status string", *(f"{n} {t}" for n, t in fields.items())])
+        self.OUT = ("job_id", "seq", "status", *fields)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status = self.state.get()[0] if self.state.exists() else None
-        out = []
-        for pdf in in_order(rows):
-            for e in pdf.itertuples():
-                if e.action == "create" and status is None:
-                    status = e.status or "queued"
-                elif status in (None, "deleted"):
-                    continue
-                elif e.action == "cancel":
-                    status = "cancelled" if status == "queued" else "deleted"
-                elif e.status:
-                    status = e.status
-                out.append((key[0], int(e.seq), status))
-        if status is not None:
-            self.state.update((status,))
-        if out:
-            yield pd.DataFrame(out, columns=["job_id", "seq", "status"])
+    def start(self):
+        return {"created": False, "cancels": 0, "before": None, "status": None, "after": False, "set": {}}
 
-    def close(self) -> None:
-        pass
+    def fold(self, key, state, event):
+        seq, action, status, *values = event
+        s = dict(state, set={**state["set"], **{n: v for n, v in zip(self.fields, values) if v is not None}})
+        if action == "cancel":
+            if not s["cancels"]:
+                s["before"] = s["status"]
+            s["cancels"] += 1
+            s["after"] = False if s["cancels"] == 1 else s["after"]
+        else:
+            s["created"] |= action == "create"
+            s["status"] = status if status is not None else s["status"]
+            s["after"] = True
+        gone = s["cancels"] > 1 or s["cancels"] and (s["before"] or "queued") != "queued"
+        if not s["created"]:
+            return s, []
+        now = "deleted" if gone else s["status"] if not s["cancels"] or s["after"] else "cancelled"
+        return s, [(key[0], seq, now, *[s["set"].get(n) for n in self.fields])]
 
 
-def stream_jobs(events: DataFrame) -> DataFrame:
-    """Status changes of jobs; ``deleted`` marks a job cancelled after it had started."""
+def stream_jobs(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Stream twin of ``fold_jobs``: a job's status and fields after each of its events.
+
+    ``deleted`` marks a job cancelled after it had started. Events may arrive in any order
+    and any batches; ``latest_jobs`` reads the jobs as they stand. ``ttl_ms`` forgets jobs that have been still
+    for so long.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in events.schema.fields if f.name in PATCHED}
+    kinds = ", ".join(f"{n} {t}" for n, t in fields.items())
     return events.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobProcessor(), outputStructType="job_id string, seq bigint, status string", outputMode="append", timeMode="none")
+        statefulProcessor=JobProcessor(fields, ttl_ms), outputStructType=f"job_id string, seq bigint, status string{', ' if kinds else ''}{kinds}, known bigint",
+        outputMode="append", timeMode=time_mode(ttl_ms))
+
+
+def latest_jobs(rows: DataFrame) -> DataFrame:
+    """Jobs as they stand, from the output of ``stream_jobs``; deleted ones are left out."""
+    rest = [c for c in rows.columns if c not in ("job_id", "seq", "known")]
+    last = rows.groupBy("job_id").agg(F.max_by(F.struct(*rest), F.struct("seq", "known")).alias("w"))
+    return last.select("job_id", "w.*").where("status <> 'deleted'")
 
 
 def fold_tiers(events: DataFrame) -> DataFrame:
@@ -64,32 +79,40 @@ def fold_tiers(events: DataFrame) -> DataFrame:
         "key_id", "customer_id", F.when(F.col("_deleted_at") > F.col("_at"), "free").otherwise(F.col("_tier")).alias("tier"))
 
 
-class TierProcessor(StatefulProcessor):
-    """State per customer: the key it belongs to and its tier; emits one row per change."""
+class TierProcessor(OrderedProcessor):
+    """State per customer: its keys; emits one row per checkout, and per key and deletion."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.keys = handle.getMapState("keys", "key_id string", "tier string")
+    EVENT = "seq bigint, type string, key_id string, target_tier string"
+    OUT = ("key_id", "customer_id", "seq", "tier", "checkout")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for pdf in in_order(rows):
-            for e in pdf.itertuples():
-                if e.type == "checkout.session.completed" and e.key_id:
-                    self.keys.updateValue((e.key_id,), (e.target_tier or "pro",))
-                    out.append((e.key_id, key[0], int(e.seq), e.target_tier or "pro"))
-                elif e.type == "customer.subscription.deleted":
-                    for (k,) in list(self.keys.keys()):
-                        self.keys.updateValue((k,), ("free",))
-                        out.append((k, key[0], int(e.seq), "free"))
-        if out:
-            yield pd.DataFrame(out, columns=["key_id", "customer_id", "seq", "tier"])
+    def start(self):
+        return frozenset()
 
-    def close(self) -> None:
-        pass
+    def fold(self, key, state, event):
+        seq, kind, key_id, tier = event
+        if kind == "checkout.session.completed" and key_id:
+            return state | {key_id}, [(key_id, key[0], seq, tier or "pro", True)]
+        if kind == "customer.subscription.deleted" and key[0] is not None:
+            return state, [(k, key[0], seq, "free", False) for k in sorted(state)]
+        return state, []
 
 
-def stream_tiers(events: DataFrame) -> DataFrame:
-    """Tier changes by customer, as billing events arrive."""
+def stream_tiers(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Tier changes by customer, as billing events arrive in any order; ``latest_tiers`` reads the tiers that stand.
+
+    A deletion gives a row for every key that the customer had until then. That a key has
+    moved to another customer since is known only over all rows, so it is resolved on reading.
+    """
     return events.groupBy("customer_id").transformWithStateInPandas(
-        statefulProcessor=TierProcessor(), outputStructType="key_id string, customer_id string, seq bigint, tier string",
-        outputMode="append", timeMode="none")
+        statefulProcessor=TierProcessor(ttl_ms), outputStructType="key_id string, customer_id string, seq bigint, tier string, checkout boolean, known bigint",
+        outputMode="append", timeMode=time_mode(ttl_ms))
+
+
+def latest_tiers(rows: DataFrame) -> DataFrame:
+    """(key_id, customer_id, tier) from the output of ``stream_tiers``, as ``fold_tiers`` gives them."""
+    bought, at = F.col("checkout"), F.col("seq")
+    keys = rows.where(bought).groupBy("key_id").agg(
+        F.max("seq").alias("_at"), F.max_by("tier", "seq").alias("_tier"), F.max_by("customer_id", F.when(F.col("customer_id").isNotNull(), at)).alias("_customer"))
+    ended = rows.where(~bought).groupBy("key_id", "customer_id").agg(F.max("seq").alias("_deleted_at")).withColumnsRenamed({"key_id": "_key", "customer_id": "_of"})
+    joined = keys.join(ended, (F.col("key_id") == F.col("_key")) & (F.col("_customer") == F.col("_of")), "left")
+    return joined.select("key_id", F.col("_customer").alias("customer_id"), F.when(F.col("_deleted_at") > F.col("_at"), "free").otherwise(F.col("_tier")).alias("tier"))

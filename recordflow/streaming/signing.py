@@ -7,14 +7,10 @@ if it is the turn of its signer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from recordflow.operators.ordered import CHUNK, Window, with_chunks
-from recordflow.streaming.state import in_order
+from recordflow.streaming.state import OrderedProcessor, time_mode
 
 MAX_SIGNERS = 10
 HOT_EVENTS = 200_000
@@ -126,46 +122,44 @@ def decision_notices(approvals: DataFrame) -> DataFrame:
         "approval_id", F.col("requester_email").alias("to_email"), "title", F.col("status").alias("decision"), "comment")
 
 
-class SigningProcessor(StatefulProcessor):
+class SigningProcessor(OrderedProcessor):
     """State per session: turn, number of signers, cancelled. Emits every judged signature."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "turn int, n int, cancelled boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turn, n, cancelled = self.state.get() if self.state.exists() else (0, None, False)
-        for pdf in in_order(rows):
-            out = []
-            for e in pdf.itertuples():
-                if e.action == "create":
-                    n = int(e.signers)
-                elif e.action == "cancel":
-                    cancelled = True
-                else:
-                    reason = None
-                    if n is None:
-                        reason = "session not found"
-                    elif cancelled:
-                        reason = "session cancelled"
-                    elif turn >= n:
-                        reason = "session complete"
-                    elif e.signer_index != turn:
-                        reason = f"out of order: expected {turn}, got {int(e.signer_index)}"
-                    else:
-                        turn += 1
-                    status = "cancelled" if cancelled else "complete" if n and turn >= n else "in_progress" if turn else "pending"
-                    out.append((key[0], int(e.seq), int(e.signer_index), reason is None, reason, status, turn))
-            if out:
-                yield pd.DataFrame(out, columns=["session_id", "seq", "signer_index", "accepted", "reason", "status", "current_signer_index"])
-        self.state.update((turn, n, cancelled))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_signing(events: DataFrame) -> DataFrame:
-    """Stream twin of ``fold_signing``: events carry ``create`` rows with the number of ``signers``."""
+    EVENT = "seq bigint, action string, signer_index int, signers int"
+    OUT = ("session_id", "seq", "signer_index", "accepted", "reason", "status", "current_signer_index")
+
+    def start(self):
+        return 0, None, False
+
+    def fold(self, key, state, event):
+        turn, n, cancelled = state
+        seq, action, signer, signers = event
+        if action == "create":
+            return (turn, int(signers), cancelled), []
+        if action == "cancel":
+            return (turn, n, True), []
+        reason = None
+        if n is None:
+            reason = "session not found"
+        elif cancelled:
+            reason = "session cancelled"
+        elif turn >= n:
+            reason = "session complete"
+        elif signer != turn:
+            reason = f"out of order: expected {turn}, got {signer}"
+        else:
+            turn += 1
+        status = "cancelled" if cancelled else "complete" if n and turn >= n else "in_progress" if turn else "pending"
+        return (turn, n, cancelled), [(key[0], seq, signer, reason is None, reason, status, turn)]
+
+
+def stream_signing(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Stream twin of ``fold_signing``: events carry ``create`` rows with the number of ``signers``.
+
+    Events may arrive in any order and any batches; ``state.settled`` reads the rows that
+    stand, by session and seq. ``ttl_ms`` forgets sessions that have been still for so long.
+    """
     return events.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SigningProcessor(),
-        outputStructType="session_id string, seq bigint, signer_index int, accepted boolean, reason string, status string, current_signer_index int",
-        outputMode="append", timeMode="none")
+        statefulProcessor=SigningProcessor(ttl_ms),
+        outputStructType="session_id string, seq bigint, signer_index int, accepted boolean, reason string, status string, current_signer_index int, known bigint",
+        outputMode="append", timeMode=time_mode(ttl_ms))

@@ -1,14 +1,111 @@
-"""Helpers of the stateful processors."""
+"""A stateful processor whose answers do not hang on how a stream is cut into batches."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def in_order(rows: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
-    """A key's rows of one micro-batch by ``seq``. Arrow may cut them into several
-    frames in any order; the trigger (files or offsets per batch) bounds their number."""
-    frames = list(rows)
-    return [pd.concat(frames).sort_values("seq", kind="stable")] if frames else []
+PLAIN = {"bigint": int, "int": int, "double": float, "string": str, "boolean": bool, "timestamp": lambda v: pd.Timestamp(v).to_pydatetime()}
+
+
+class OrderedProcessor(StatefulProcessor):
+    """Folds a key's events in the order of ``seq``, whatever the order in which they arrive.
+
+    The state holds a snapshot of the fold and the events it rests on. Events behind all
+    known ones go on from the snapshot. When one arrives late, the key is folded anew, and
+    the rows whose answer has changed are given out again. ``known``, the last column of every row, is
+    the number of events it rests on: of rows with the same seq those with the largest count.
+
+    Subclasses name ``EVENT`` (the columns kept, seq first, as DDL), ``OUT`` (columns given out,
+    without ``known``; ``seq`` is one of them), ``start`` and ``fold``.
+    """
+
+    EVENT = ""
+    OUT: tuple[str, ...] = ()
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def start(self):
+        """State before any event."""
+        raise NotImplementedError
+
+    def fold(self, key, state, event) -> tuple[object, list[tuple]]:
+        """State after an event, and the rows that the event gives."""
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", self.EVENT, self.ttl_ms)
+        self.snapshot = handle.getValueState("snapshot", "last bigint, known bigint, state binary", self.ttl_ms)
+
+    def _replay(self, key, events: list[tuple]) -> tuple[object, dict[tuple, list[tuple]]]:
+        state, out = self.start(), {}
+        for e in sorted(events, key=self.order):
+            state, rows = self.fold(key, state, e)
+            out.setdefault(self.order(e), []).extend(rows)
+        return state, out
+
+    @staticmethod
+    def order(event: tuple) -> tuple:
+        """Events with one seq follow by their other values, so that ties do not hang on arrival."""
+        return (event[0], *[(v is not None, str(v)) for v in event[1:]])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names, kinds = zip(*[c.split() for c in self.EVENT.split(", ")])
+        # pandas has made floats of whole numbers beside nulls; the store takes the declared kinds only.
+        new = [tuple(None if pd.isna(v) else PLAIN[k](v) for k, v in zip(kinds, e)) for pdf in rows for e in pdf[list(names)].itertuples(index=False, name=None)]
+        if not new:
+            return
+        last, known, state = self._load()
+        known += len(new)
+        if last is None or min(e[0] for e in new) > last:
+            out = []
+            for e in sorted(new, key=self.order):
+                state, found = self.fold(key, state, e)
+                out += found
+        else:
+            old = [tuple(e) for e in self.events.get()]
+            _, before = self._replay(key, old)
+            state, after = self._replay(key, old + new)
+            out = [r for at, found in after.items() if before.get(at) != found for r in found]
+        self.events.appendList(new)
+        self._keep(max(last if last is not None else new[0][0], *(e[0] for e in new)), known, state)
+        self.folded(state)
+        if out:
+            yield pd.DataFrame([(*r, known) for r in out], columns=[*self.OUT, "known"])
+
+    def _load(self):
+        import pickle
+        if not self.snapshot.exists():
+            return None, 0, self.start()
+        last, known, raw = self.snapshot.get()
+        return last, known, pickle.loads(bytes(raw))
+
+    def _keep(self, last: int, known: int, state) -> None:
+        import pickle
+        self.snapshot.update((last, known, pickle.dumps(state)))
+
+    def folded(self, state) -> None:
+        """Called with the state after each batch."""
+
+    def close(self) -> None:
+        pass
+
+
+def time_mode(ttl_ms: int | None) -> str:
+    return "none" if ttl_ms is None else "processingtime"
+
+
+def settled(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows of a stream's output table that stand: per ``by`` those that rest on the most events."""
+    best = rows.groupBy(*by).agg(F.max("known").alias("_known"))
+    same = [rows[c].eqNullSafe(best[c]) for c in by]
+    condition = rows["known"] == best["_known"]
+    for s in same:
+        condition = condition & s
+    return rows.join(best, condition, "left_semi").drop("known")

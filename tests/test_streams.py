@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from recordflow.operators import jobs as J
 from recordflow.registry.storage import run_stream
 from recordflow.streaming import approvals as AP, jobs as SJ, signing as SG, usage as U
+from recordflow.streaming.state import settled
 
 
 def signing_events(spark):
@@ -61,6 +63,33 @@ def test_signing_does_not_depend_on_group_size(spark):
         assert {r["status"] for r in states.collect()} == {"complete"}
 
 
+def test_signing_stream_in_any_order_and_batches(spark):
+    """Files that arrive last-first, one per micro-batch, give what the whole gives."""
+    signs, sizes = signing_events(spark)
+    want = brute(signs, sizes)
+    rows = [(s, i, a, w, None) for s, i, a, w in signs] + [(s, -1, "create", -1, n) for s, n in sizes.items()]
+    ev = spark.createDataFrame(rows, "session_id string, seq bigint, action string, signer_index int, signers int")
+    for batches in (1, 6):
+        out = settled(run_stream(spark, ev, SG.stream_signing, batches=batches), "session_id", "seq")
+        assert sorted(map(tuple, out.select("session_id", "seq", "accepted").collect())) == want
+
+
+def test_job_and_tier_streams_equal_their_batch_twins(spark):
+    rnd = random.Random(5)
+    jobs = [(f"j{rnd.randrange(12)}", i, rnd.choice(["create", "update", "update", "update", "cancel"]) if i > 11 else "update", rnd.choice([None, "queued", "running", "done"]),
+             rnd.choice([None, "e1", "e2"]), rnd.choice([None, i])) for i in range(160)]
+    d = spark.createDataFrame([(j, i, a, s if a != "cancel" else None, e, p) for j, i, a, s, e, p in jobs], "job_id string, seq bigint, action string, status string, error string, progress_completed int")
+    want = sorted(map(str, J.fold_jobs(d).collect()))
+    assert sorted(map(str, SJ.latest_jobs(run_stream(spark, d, SJ.stream_jobs, batches=6)).collect())) == want
+    co, de = "checkout.session.completed", "customer.subscription.deleted"
+    moved = [(1, co, "k1", "business", "A"), (2, co, "k1", "business", "B"), (3, de, None, None, "A"), (4, co, "k2", None, "A"), (5, de, None, None, "A"), (6, co, "k3", "pro", None)]
+    moved += [(10 + i, rnd.choice([co, co, de]), f"m{rnd.randrange(6)}", rnd.choice([None, "business"]), rnd.choice(["X", "Y", "Z", None])) for i in range(80)]
+    t = spark.createDataFrame([(i, k, key if k == co else None, tier, c) for i, k, key, tier, c in moved], "seq bigint, type string, key_id string, target_tier string, customer_id string")
+    want = sorted(map(str, SJ.fold_tiers(t).select("key_id", "customer_id", "tier").collect()))
+    for batches in (1, 5):
+        assert sorted(map(str, SJ.latest_tiers(run_stream(spark, t, SJ.stream_tiers, batches=batches)).collect())) == want
+
+
 def test_session_checks(spark):
     rows = [("a", []), ("b", [("", "")]), ("c", [("N", "")] * 11), ("d", [("", "m@example.com")])]
     d = spark.createDataFrame(rows, "session_id string, signers array<struct<name:string,email:string>>")
