@@ -89,10 +89,10 @@ def attach_template(records: DataFrame, catalog: DataFrame) -> tuple[DataFrame,
 
 def zone_for(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Signature zone of (template_id, field_key), or an error text."""
-    zones = catalog.select(F.col("id").alias("template_id"), F.explode("signature_fields").alias("zone")).withColumn(
+    zones = catalog.select(F.col("id").alias("template_id"), F.posexplode("signature_fields").alias("_at", "zone")).withColumn(
         "field_key", F.col("zone.key"))
-    # A template may list a key twice; the first one counts. Few fields per template.
-    first = zones.groupBy("template_id", "field_key").agg(F.first("zone").alias("zone"))
+    # A template may list a key twice; the first one counts.
+    first = zones.groupBy("template_id", "field_key").agg(F.min_by("zone", "_at").alias("zone"))
     return requests.join(first, ["template_id", "field_key"], "left").withColumn(
         "error", F.when(F.col("zone").isNull(), F.concat(F.lit("no signature field "), "field_key")))
 
@@ -101,7 +101,7 @@ def missing_templates(existing: DataFrame, drugs: list[tuple[str, str]], payers:
                       states: list[str], target: int) -> DataFrame:
     """New stub templates, cycling through the lists, until the catalogue has ``target`` ids.
 
-    The reference list of proposals is never longer than ``target`` + the existing
+    The list of proposals is never longer than ``target`` + the existing
     ids, as at most every existing id can be skipped once.
     """
     spark = existing.sparkSession

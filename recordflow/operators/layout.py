@@ -150,13 +150,14 @@ def dedupe_keys(df: DataFrame, by: str, key: str, order: list[str], out: str = "
     """Make keys unique per group: the first keeps its base, later ones take the
     lowest free ``_1``, ``_2`` …
 
-    Repeats of a base are numbered by ``running``. Only where one base looks like
-    another with a suffix (``sign`` and ``sign_1``) can names collide; the rows of such
+    Repeats of a base are numbered by ``running``. Names can collide only where a base
+    repeats and another looks like it with a suffix (``sign`` twice and ``sign_1``); the rows of such
     a family are streamed in order through one task, which keeps the names alone.
+    Families without a repeat (``field_1``, ``field_2`` …) keep their names.
     """
     columns = [*df.columns, out]
     marked = running(df, [by, key], order, index="_n").withColumn("_root", F.regexp_replace(key, r"(_[0-9]+)+$", ""))
-    mixed = marked.groupBy(by, "_root").agg((F.min(key) != F.max(key)).alias("_mixed")).where("_mixed").select(by, "_root")
+    mixed = marked.groupBy(by, "_root").agg(((F.min(key) != F.max(key)) & (F.max("_n") > 1)).alias("_mixed")).where("_mixed").select(by, "_root")
     plain = marked.join(mixed, [by, "_root"], "left_anti").withColumn(
         out, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.concat(key, F.lit("_"), (F.col("_n") - 1).cast("string"))))
 
