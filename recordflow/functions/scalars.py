@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -31,29 +32,40 @@ def blank_to_null(c) -> Column:
 # --- keys -------------------------------------------------------------------
 
 def to_snake(key) -> Column:
-    """camelCase and PascalCase to snake_case."""
-    words = F.regexp_replace(_col(key), r"(.)([A-Z][a-z]+)", "$1_$2")
-    return F.lower(F.regexp_replace(words, r"([a-z0-9])([A-Z])", "$1_$2"))
+    """camelCase and PascalCase to snake_case. Keys without capitals, most of them, skip the patterns."""
+    key = _col(key)
+    words = F.regexp_replace(key, r"(.)([A-Z][a-z]+)", "$1_$2")
+    return F.when(key == F.lower(key), key).otherwise(F.lower(F.regexp_replace(words, r"([a-z0-9])([A-Z])", "$1_$2")))
+
+
+BUCKETS = 256
 
 
-def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+def _lookup(table: dict[str, str], kind: str, key: Column) -> Column:
+    """Value of a key in a fixed table, written as SQL literals of ``kind``.
+
+    A literal map is searched from its start. The table is therefore dealt into an array of
+    small maps by the key's checksum, of which one is looked at.
+    """
+    dealt: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for k, value in table.items():
+        dealt[zlib.crc32(k.encode()) % BUCKETS] += [f"'{k}'", value]
+    maps = ", ".join(f"map({', '.join(m)})" if m else f"CAST(map() AS MAP<STRING,{kind}>)" for m in dealt)
+    at = F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")
+    return F.get(F.expr(f"array({maps})"), at)[key]
 
 
 def canonical_key(key) -> Column:
     """The canonical key of a synonym, other keys unchanged."""
     key = _col(key)
-    return F.coalesce(_literal_map(fixed.CANONICAL_OF)[key], key)
+    return F.coalesce(_lookup({k: f"'{v}'" for k, v in fixed.CANONICAL_OF.items()}, "STRING", key), key)
 
 
 def alias_keys(key) -> Column:
     """A key with all its synonyms, itself first."""
     key = _col(key)
-    table = F.create_map(*[
-        x for k, names in fixed.ALIASES.items()
-        for x in (F.lit(k), F.array(*[F.lit(n) for n in [k, *names]]))
-    ])
-    return F.coalesce(table[key], F.array(key))
+    names = {k: "array(" + ", ".join(f"'{n}'" for n in [k, *also]) + ")" for k, also in fixed.ALIASES.items()}
+    return F.coalesce(_lookup(names, "ARRAY<STRING>", key), F.array(key))
 
 
 def is_question(key) -> Column:

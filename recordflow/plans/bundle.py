@@ -114,13 +114,18 @@ def structured(df: DataFrame, column: str = "canonical", out: str = "structured"
 
 
 def to_bundle(records: DataFrame, base: DataFrame | None = None, on: str = "profile_id", keep_unknown: bool = False,
-              with_structured: bool = True, shape: str = "auto") -> DataFrame:
+              with_structured: bool = True, shape: str = "auto", with_flat: bool = True) -> DataFrame:
     """Records to bundles: overlay, parse, derive, gate, flatten.
 
-    Adds ``flat``, ``structured`` and ``error``. Only the join with ``base`` can
-    shuffle; the rest is one projection.
+    Adds ``flat``, ``structured`` and ``error``, the first two only where asked for: what is costly
+    is not computed to be dropped. Only the join with ``base`` can shuffle; the rest
+    is one projection.
     """
     merged = records if base is None else R.overlay(records, base, on)
+    if not with_flat and not with_structured:
+        return C.parse(merged, keep_unknown, shape=shape, error_only=True)
+    if not with_flat:
+        return structured(C.derive_and_gate(C.parse(merged, keep_unknown, shape=shape))).drop("canonical")
     done = flatten(C.derive_and_gate(C.parse(merged, keep_unknown, shape=shape)))
     if with_structured:
         done = structured(done)

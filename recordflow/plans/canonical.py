@@ -283,8 +283,8 @@ def flat_violations(flat: str, text: str) -> str:
             f"'questions.' || get(transform({bad}, e -> {QUESTION_NAME.format(k='e.key')}), 0))")
 
 
-def parse(records: DataFrame, keep_unknown: bool = False, entries: str = "entries", shape: str = "auto") -> DataFrame:
-    """Add ``canonical`` and ``error``.
+def parse(records: DataFrame, keep_unknown: bool = False, entries: str = "entries", shape: str = "auto", error_only: bool = False) -> DataFrame:
+    """Add ``canonical`` and ``error``; with ``error_only`` no canonical record is made.
 
     A record with a nested key is read as nested; where that does not validate,
     it is read as flat like any other. ``error`` names the member that made a flat record
@@ -300,6 +300,8 @@ def parse(records: DataFrame, keep_unknown: bool = False, entries: str = "entrie
     flat_error, promoted = F.expr(flat_violations("_flat", "_text")), F.expr(promote_flat("_flat", "_text"))
     if shape == "flat":
         read = R.stage(R.stage(R.stage(records, _flat=resolved), _text=texts), error=flat_error)
+        if error_only:
+            return read.drop("_flat", "_text")
         return R.stage(read, canonical=F.when(F.col("error").isNull(), promoted)).drop("_flat", "_text")
     keys = F.transform(entries, lambda e: e["key"])
     raw_type = T.StructType([*spark_type(RECORD, raw=True).fields, T.StructField("_corrupt", T.StringType())])
@@ -312,6 +314,8 @@ def parse(records: DataFrame, keep_unknown: bool = False, entries: str = "entrie
     staged = R.stage(staged, _is_nested=F.col("_json").isNotNull() & wrong.isNull()).drop("_raw")
     staged = R.stage(staged, _flat=F.when(~F.col("_is_nested"), resolved), _typed=F.when(F.col("_is_nested"), F.from_json("_json", CANONICAL)))
     staged = R.stage(R.stage(staged, _text=texts), error=F.when(~F.col("_is_nested"), flat_error))
+    if error_only:
+        return staged.drop("_json", "_is_nested", "_flat", "_text", "_typed")
     nested = F.expr(_with_defaults("_typed", RECORD))
     if keep_unknown:
         extra = F.map_filter(R.as_map(entries), lambda k, _: ~k.isin(list(RECORD)))

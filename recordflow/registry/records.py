@@ -216,7 +216,7 @@ def number_items(spark, sf):
 round(count(*) FILTER (benefit IS DISTINCT FROM 'bogus') / CAST(count(*) AS DOUBLE) * 100, 1) AS success_rate FROM ({RAW}) GROUP BY batch_id""")
 def segment_summary(spark, sf):
     """Flagship: records over profiles to bundles, and the outcome per market segment."""
-    d = B.to_bundle(records(spark, sf), profiles(spark, sf), with_structured=False, shape="flat")
+    d = B.to_bundle(records(spark, sf), profiles(spark, sf), with_structured=False, shape="flat", with_flat=False)
     return batch_summary(d.select("batch_id", F.col("error").isNull().alias("success")))
 
 
