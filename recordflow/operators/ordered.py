@@ -1,9 +1,9 @@
 """Ordered work inside groups: numbering, running sums, top-n, segments.
 
 A group may hold a large share of all rows, so nothing here sorts a whole group
-in one task. Groups above ``HOT_ROWS`` are cut into chunks by their own order
-value; each chunk is numbered alone and shifted by the totals of the chunks
-before it. Small groups form one chunk, so they cost no more than a window.
+in one task. Groups above ``HOT_ROWS`` are cut into chunks at quantiles of their own order
+values; each chunk is numbered alone and shifted by the totals of the chunks
+before it. Without such groups a plain window does.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordflow.functions.scalars import strip
+from recordflow.session import materialize
 
 HOT_ROWS = 2_000_000
+# Most chunks of one group.
+QUANTILES = 1024
 CHUNK = "_chunk"
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
@@ -41,12 +44,6 @@ def _numbers(df: DataFrame, order: Sequence[str]) -> list[Column]:
     return [first] if second is None else [first, second]
 
 
-def _hot_groups(df: DataFrame, by: Sequence[str], at: list[Column], hot_rows: int) -> DataFrame:
-    """Groups above ``hot_rows``: at most rows / hot_rows of them."""
-    ends = [f(c).alias(f"_{n}{i}") for i, c in enumerate(at) for n, f in (("lo", F.min), ("hi", F.max))]
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *ends).where(F.col("_n") > hot_rows)
-
-
 def _same(by: Sequence[str], left: str, right: str) -> Column:
     condition = F.lit(True)
     for c in by:
@@ -54,23 +51,48 @@ def _same(by: Sequence[str], left: str, right: str) -> Column:
     return condition
 
 
-def with_chunks(df: DataFrame, by: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS,
-                only_hot: bool = False) -> DataFrame:
-    """Add ``_chunk``: 0 in small groups, rising with ``order`` in hot ones.
-
-    Nothing is broadcast by force: the list of hot groups is short, and Spark goes
-    by its size. Without hot groups AQE drops the join, and with ``only_hot`` the
-    whole branch.
-    """
-    at = _numbers(df, order)
-    hot = _hot_groups(df, by, at, hot_rows)
+def _place(at: list[Column]) -> Column:
+    """Where a row stands in its group, by the first order column, ties by the second."""
     place = at[0] - F.col("_lo0")
     if len(at) == 2:
         place = place + F.coalesce((at[1] - F.col("_lo1")) / (F.col("_hi1") - F.col("_lo1") + 1), F.lit(0.0))
-    share = place / (F.col("_hi0") - F.col("_lo0") + 1)
-    chunk = F.floor(share * F.ceil(F.col("_n") / F.lit(hot_rows))).cast("long")
-    joined = df.alias("d").join(hot.alias("h"), _same(by, "d", "h"), "inner" if only_hot else "left")
-    return joined.select("d.*", F.coalesce(chunk, F.lit(0).cast("long")).alias(CHUNK))
+    return place
+
+
+def hot_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Places at which groups above ``hot_rows`` are cut; None if there is no such group.
+
+    The cuts are quantiles of the order values, so that chunks hold about as many rows however
+    the values are spread; rows with equal values stay together. They are approximate, so the table (at most
+    rows / hot_rows groups) is written once and shared by all that must cut alike.
+    """
+    at = _numbers(df, order)
+    ends = [f(c).alias(f"_{n}{i}") for i, c in enumerate(at) for n, f in (("lo", F.min), ("hi", F.max))]
+    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *ends).where(F.col("_n") > hot_rows)
+    hot = materialize(hot, "hot-groups")
+    if hot.isEmpty():
+        return None
+    rows = df.select(*by, *[c for c in order if c not in by]).alias("d").join(hot.alias("h"), _same(by, "d", "h")).select("d.*", *[f"h.{c}" for c in hot.columns if c not in by])
+    grid = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(_place(_numbers(df, order)), grid, 10 * QUANTILES).alias("_grid"), F.first("_n").alias("_n"),
+                                 *[F.first(f"_{n}{i}").alias(f"_{n}{i}") for i in range(len(at)) for n in ("lo", "hi")])
+    parts = F.least(F.lit(QUANTILES), F.ceil(2 * F.col("_n") / F.lit(hot_rows))).cast("int")
+    chosen = F.array_distinct(F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_grid", F.floor(i * QUANTILES / parts).cast("int") - 1)))
+    return materialize(cuts.withColumn("_cuts", F.when(parts > 1, chosen).otherwise(F.array().cast("array<double>"))).drop("_grid", "_n"), "hot-cuts")
+
+
+def with_chunks(df: DataFrame, by: Sequence[str], order: Sequence[str], cuts: DataFrame | None, only_hot: bool = False) -> DataFrame:
+    """Add ``_chunk`` by the cuts of ``hot_cuts``: 0 in small groups, rising with ``order`` in hot ones.
+
+    Nothing is broadcast by force: the list of hot groups is short, and Spark goes
+    by its size.
+    """
+    if cuts is None:
+        return df.withColumn(CHUNK, F.lit(0).cast("long")).where(F.lit(not only_hot))
+    place = _place(_numbers(df, order))
+    chunk = F.size(F.filter("_cuts", lambda c: c < place)).cast("long")
+    joined = df.alias("d").join(cuts.alias("h"), _same(by, "d", "h"), "inner" if only_hot else "left")
+    return joined.select("d.*", F.when(F.col("_cuts").isNull(), F.lit(0).cast("long")).otherwise(chunk).alias(CHUNK))
 
 
 def running(df: DataFrame, by: str | Sequence[str], order: Sequence[str], index: str | None = None,
@@ -82,16 +104,21 @@ def running(df: DataFrame, by: str | Sequence[str], order: Sequence[str], index:
     by, sums = _names(by), sums or {}
     parts = [f"_s{i}" for i in range(len(sums))]
     rows = df.select("*", *[c.alias(n) for n, c in zip(parts, sums.values())])
+    cuts = hot_cuts(rows, by, order, hot_rows)
+    here = (Window.partitionBy(*by) if cuts is None else Window.partitionBy(*by, CHUNK)).orderBy(*order)
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if cuts is None:
+        out = [F.col(c) for c in df.columns]
+        out += [F.row_number().over(here).cast("long").alias(index)] if index else []
+        return rows.select(*out, *[F.sum(n).over(so_far).alias(name) for name, n in zip(sums, parts)])
     # Totals of the chunks of hot groups, one row per chunk.
-    totals = with_chunks(rows.select(*by, *[c for c in order if c not in by], *parts), by, order, hot_rows, only_hot=True).groupBy(*by, CHUNK).agg(
+    totals = with_chunks(rows.select(*by, *[c for c in order if c not in by], *parts), by, order, cuts, only_hot=True).groupBy(*by, CHUNK).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(n).alias(f"_t{n}") for n in parts])
     earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by, CHUNK, F.sum("_rows").over(earlier).alias("_before"),
         *[F.sum(f"_t{n}").over(earlier).alias(f"_b{n}") for n in parts])
-    here = Window.partitionBy(*by, CHUNK).orderBy(*order)
-    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = with_chunks(rows, by, order, hot_rows).select(
+    numbered = with_chunks(rows, by, order, cuts).select(
         "*", F.row_number().over(here).cast("long").alias("_rn"), *[F.sum(n).over(so_far).alias(f"_r{n}") for n in parts])
     shifted = numbered.alias("c").join(
         offsets.alias("o"), _same(by, "c", "o") & (F.col(f"c.{CHUNK}") == F.col(f"o.{CHUNK}")), "left")
@@ -197,8 +224,8 @@ def concat_groups(inputs: DataFrame, by: str, input_pos: str, item_pos: str, hot
     """Items of several inputs as one sequence, inputs in their given order."""
     items = running(inputs, [by, input_pos], [item_pos], index="_in_input", hot_rows=hot_rows)
     sizes = inputs.groupBy(by, input_pos).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(by).orderBy(input_pos).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(by, input_pos, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    # One row per input, of which a group may have many: the same cuts.
+    offsets = running(sizes, by, [input_pos], sums={"_through": F.col("_size")}, hot_rows=hot_rows).select(by, input_pos, (F.col("_through") - F.col("_size")).alias("_before"))
     return items.join(offsets, [by, input_pos]).select(
         *inputs.columns, (F.col("_in_input") + F.col("_before")).alias("item"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordflow.operators.ordered import CHUNK, Window, with_chunks
+from recordflow.operators.ordered import CHUNK, Window, hot_cuts, with_chunks
 from recordflow.streaming.state import OrderedProcessor, time_mode
 
 MAX_SIGNERS = 10
@@ -37,7 +37,7 @@ def _accepted(signs: DataFrame, hot_rows: int) -> DataFrame:
     are cut into stretches, each is folded on its own for every turn that its number of
     signers allows, and the maps are chained, so no task holds a whole session.
     """
-    chunked = with_chunks(signs, ["session_id"], ["seq"], hot_rows)
+    chunked = with_chunks(signs, ["session_id"], ["seq"], hot_cuts(signs, ["session_id"], ["seq"], hot_rows))
     stretches = chunked.groupBy("session_id", CHUNK).agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "signer_index"))).alias("events"))
     turns = F.sequence(F.lit(0), F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)))

@@ -27,10 +27,26 @@ def test_running_is_the_same_cut_or_whole(spark):
 
 def test_ties_of_the_first_position_are_cut_by_the_second(spark):
     d = spark.createDataFrame([("g", 5, i) for i in range(100)] + [("g", 6, None), ("h", 1, 1)], "g string, at int, id int")
-    chunks = O.with_chunks(d, ["g"], ["at", "id"], 10).groupBy("g", "at", O.CHUNK).count().collect()
+    chunks = O.with_chunks(d, ["g"], ["at", "id"], O.hot_cuts(d, ["g"], ["at", "id"], 10)).groupBy("g", "at", O.CHUNK).count().collect()
     assert sum(r["g"] == "g" and r["at"] == 5 for r in chunks) >= 5 and max(r["count"] for r in chunks) <= 25
 
 
+def test_chunks_hold_as_many_rows_however_values_are_spread(spark):
+    d = spark.range(10_000).select(F.lit("g").alias("g"), F.when(F.col("id") == 9_999, 10 ** 15).when(F.col("id") < 5_000, F.col("id") % 50).otherwise(F.col("id")).alias("at"), "id")
+    for order in (["at", "id"], ["id"]):
+        cuts = O.hot_cuts(d, ["g"], order, 1_000)
+        sizes = [r["count"] for r in O.with_chunks(d, ["g"], order, cuts).groupBy(O.CHUNK).count().collect()]
+        assert max(sizes) <= 2_000 and len(sizes) >= 10
+    got = O.with_index(d, "g", ["at", "id"], "n", hot_rows=1_000).orderBy("n").select("at", "id", "n").collect()
+    assert [(r["at"], r["id"]) for r in got] == sorted((r["at"], r["id"]) for r in got) and [r["n"] for r in got] == list(range(1, 10_001))
+
+
+def test_concat_of_many_inputs_in_one_group(spark):
+    d = spark.range(3_000).select(F.lit("g").alias("g"), (F.col("id") % 700).alias("input"), F.col("id").alias("item_at"))
+    whole, cut = [sorted((r["input"], r["item_at"], r["item"]) for r in O.concat_groups(d, "g", "input", "item_at", hot_rows=h).collect()) for h in (10_000, 100)]
+    assert whole == cut and [r[2] for r in whole] == list(range(1, 3_001))
+
+
 def test_running_with_one_position_and_null_group(spark):
     d = spark.createDataFrame([(None, 1, i) for i in range(30)], "g string, at int, id int")
     assert rows(O.with_index(d, "g", ["at", "id"], "n", hot_rows=5), "id", "n") == sorted([(i, i + 1) for i in range(30)], key=repr)
