@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from recordflow.functions import fixed
 from recordflow.functions.scalars import strip
@@ -186,3 +186,10 @@ def entitlement(requests: DataFrame, existing: DataFrame, by: str = "owner", ord
     return numbered.join(existing, by, "left").withColumn(
         "error", F.when(over, F.concat(F.initcap("tier"), F.lit(" tier limit reached ("), limit.cast("string"), F.lit(")")))
     ).drop("_nth", "existing")
+
+
+def observed(results: DataFrame, metrics: Observation, ok: str = "success") -> DataFrame:
+    """The same rows; ``metrics`` gets completed, successful and failed while they pass, without
+    another pass over them."""
+    good = F.coalesce(F.col(ok), F.lit(False))
+    return results.observe(metrics, F.count(F.lit(1)).alias("completed"), F.count_if(good).alias("successful"), F.count_if(~good).alias("failed"))

@@ -168,6 +168,49 @@ def incremental_cache(spark, sf):
     return K.read_cache(spark, cache).select("fingerprint", F.explode("mappings").alias("field_name", "m")).select("fingerprint", "field_name", "m.value", "m.confidence")
 
 
+DOCUMENTS = "SELECT CAST(s_suppkey AS STRING) AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'done' ELSE 'queued' END AS status, CAST(s_nationkey AS INTEGER) AS record_count FROM {supplier}"
+
+
+@query(DOCUMENTS.replace("s_name AS name, ", ""))
+def read_jobs(spark, sf):
+    """One document per file; a payload beside them and a file that cannot be read are left out."""
+    path = work_folder(spark, "jobs")
+    d = bind(spark, sf, DOCUMENTS)
+    d.select("id", "status", "record_count", F.col("id").alias("k")).write.partitionBy("k").json(path)
+    spark.range(1).select(F.lit("{broken").alias("value")).write.text(f"{path}/k=broken")
+    return R.read_jobs(spark, path).select("id", "status", "record_count")
+
+
+@query(DOCUMENTS.replace(", CAST(s_nationkey AS INTEGER) AS record_count", "").replace("CASE WHEN s_suppkey % 3 = 0 THEN 'done' ELSE 'queued' END AS status", "s_suppkey % 7 AS used"))
+def read_profiles(spark, sf):
+    path = work_folder(spark, "profiles")
+    d = bind(spark, sf, DOCUMENTS)
+    data = F.create_map(F.lit("used"), (F.col("id").cast("long") % 7).cast("string"))
+    d.select("id", "name", data.alias("data"), F.col("id").alias("k")).write.partitionBy("k").json(path)
+    return R.read_profiles(spark, path).select("id", "name", F.col("data")["used"].cast("bigint").alias("used"))
+
+
+@query("SELECT count(*) AS completed, count(*) FILTER (o_orderstatus = 'F') AS successful, count(*) FILTER (o_orderstatus IS DISTINCT FROM 'F') AS failed FROM {orders}")
+def observed(spark, sf):
+    """Metrics gathered while the rows pass on to a sink."""
+    from pyspark.sql import Observation
+    from recordflow.operators.reports import observed
+    seen = Observation("progress")
+    o = table(spark, sf, "orders").select((F.col("o_orderstatus") == "F").alias("success"))
+    observed(o, seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([seen.get], "completed bigint, successful bigint, failed bigint")
+
+
+@query("""SELECT o_orderkey AS approval_id, 'r' || CAST(o_custkey AS VARCHAR) || '@example.com' AS to_email, o_orderpriority AS title, CASE o_orderstatus WHEN 'F' THEN 'approved' ELSE 'rejected' END AS decision
+FROM {orders} WHERE o_orderstatus IN ('F', 'O') AND o_custkey % 4 > 0""")
+def decision_notices(spark, sf):
+    o = table(spark, sf, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "rejected").otherwise("pending")
+    mail = F.when(F.col("o_custkey") % 4 > 0, F.concat(F.lit("r"), F.col("o_custkey").cast("string"), F.lit("@example.com"))).when(F.col("o_custkey") % 8 == 0, "")
+    a = o.select(F.col("o_orderkey").alias("approval_id"), status.alias("status"), mail.alias("requester_email"), F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("comment"))
+    return SG.decision_notices(a).select("approval_id", "to_email", "title", "decision")
+
+
 def run_stream(spark: SparkSession, events: DataFrame, build, mode: str = "append", batches: int = 0) -> DataFrame:
     """Write events to a folder, stream them through and read the output table.
 
@@ -203,6 +246,26 @@ def stream_approvals(spark, sf):
     return out.where("seq >= 0").select("approval_id", "seq", "accepted", "reason")
 
 
+EXPIRING = """SELECT s_suppkey AS id, TIMESTAMP '2024-01-01 00:00:00' + CAST(s_suppkey AS INT) * INTERVAL '1' HOUR AS created, 1 + CAST(s_nationkey AS INT) AS hours FROM {supplier}"""
+
+
+@query(f"""WITH a AS (SELECT id, created, hours, created + hours * INTERVAL 1 HOUR AS ends FROM ({EXPIRING})),
+e AS (SELECT created AS ts FROM a UNION ALL SELECT created + INTERVAL 1 MINUTE FROM a WHERE id % 3 = 0 UNION ALL SELECT ends + INTERVAL 10 MINUTE FROM a WHERE id % 3 = 2)
+SELECT CAST(id AS VARCHAR) AS approval_id FROM a WHERE id % 3 <> 0 AND ends <= (SELECT max(ts) - INTERVAL 90 MINUTE FROM e)""")
+def stream_expiry(spark, sf):
+    """Approvals that the watermark finds open at their end: never decided, or too late."""
+    a = bind(spark, sf, EXPIRING).withColumn("created", F.col("created").cast("timestamp"))
+    kind = F.col("id") % 3
+    named = [F.col("id").cast("string").alias("approval_id")]
+    none = F.lit(None).cast("int").alias("expires_in_hours")
+    ends = F.timestamp_micros(F.unix_micros("created") + F.col("hours").cast("long") * 3_600_000_000)
+    create = a.select(*named, F.lit(0).cast("long").alias("seq"), F.col("created").alias("ts"), F.lit("create").alias("action"), F.lit("tok").alias("token"), F.col("hours").cast("int").alias("expires_in_hours"))
+    early = a.where(kind == 0).select(*named, F.lit(1).cast("long").alias("seq"), (F.col("created") + F.expr("INTERVAL '1' MINUTE")).alias("ts"), F.lit("approved").alias("action"), F.lit("tok").alias("token"), none)
+    late = a.where(kind == 2).select(*named, F.lit(1).cast("long").alias("seq"), (ends + F.expr("INTERVAL '10' MINUTE")).alias("ts"), F.lit("approved").alias("action"), F.lit("tok").alias("token"), none)
+    out = run_stream(spark, create.unionByName(early).unionByName(late), lambda s: AP.stream_approvals(s, "90 minutes"))
+    return out.where("seq = -1 AND status = 'expired'").select("approval_id")
+
+
 @query(SQL["fold_jobs"].replace("SELECT job_id, CASE", "SELECT CAST(job_id AS VARCHAR) AS job_id, CASE", 1))
 def stream_jobs(spark, sf):
     """Jobs as a stream of their events, shuffled over micro-batches, leaves them."""
