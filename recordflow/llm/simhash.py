@@ -16,8 +16,8 @@ bits or fewer, and documents joined by links form a group.
    A bucket only emits links that span its groups, never all pairs.
 4. Buckets above ``MOST`` rows are set aside by the first pass and cut into cells of a
    triangle (part i against part j), which keeps every link with bounded memory.
-5. Groups are connected components by least label and pointer jumping, each round written
-   to the shared folder.
+5. Groups are connected components by contraction: nodes go to their least neighbour, each
+   round written to the shared folder.
 """
 
 from __future__ import annotations
@@ -294,17 +294,33 @@ def links(distinct: DataFrame, radius: int, words64: int = 1, bands: int | None
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Least member of each node's connected component: (node, label), for nodes that have an edge."""
-    both = saved(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = saved(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("near")), "v").groupBy(F.col("u").alias("node")).agg(F.min("near").alias("near"))
-        hooked = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        stepped = saved(hooked.join(up, "label").select("node", "was", F.least("label", "far").alias("label")), "labels")
-        if stepped.where("label <> was").isEmpty():
-            return stepped.select("node", "label")
-        labels = stepped.select("node", "label")
+    """Least member of each node's connected component: (node, label), for nodes that have an edge.
+
+    In each round every node goes to its least neighbour, or to where that one goes, and
+    the edges are contracted accordingly: those inside a group vanish, so that the next round sees few. The
+    rounds' maps are put together from the last, smallest one back.
+    """
+    e = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    maps = []
+    while not e.isEmpty():
+        near = e.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        up = near.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label"))
+        for _ in range(2):
+            far = up.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            up = saved(up.join(far, "label").select("node", F.col("far").alias("label")), "labels")
+        maps.append(up)
+        to_a = up.select(F.col("node").alias("a"), F.col("label").alias("a1"))
+        to_b = up.select(F.col("node").alias("b"), F.col("label").alias("b1"))
+        moved = e.join(to_a, "a").join(to_b, "b").where("a1 <> b1")
+        e = saved(moved.select(F.least("a1", "b1").alias("a"), F.greatest("a1", "b1").alias("b")).distinct(), "edges")
+    found = None
+    for up in reversed(maps):
+        if found is None:
+            found = up
+            continue
+        last = found.select(F.col("node").alias("label"), F.col("label").alias("final"))
+        found = up.join(last, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    return found if found is not None else e.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def groups(rows: DataFrame, radius: int, words64: int = 1, bands: int | None = None, width: int = 18, most: int = MOST) -> DataFrame:
