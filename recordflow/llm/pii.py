@@ -110,6 +110,11 @@ def _iban_valid(text: str) -> bool:
     return len(bare) == IBAN_LENGTH.get(bare[:2]) and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
 
 
+def _fits(day: datetime.date, month_digits: int, day_digits: int, day_first: bool) -> bool:
+    """Whether a date can be written with so many digits. With slashes a day first needs to be above 12 to be read so."""
+    return (month_digits == 2 or day.month < 10) and (day_digits == 2 or day.day < 10) and (not day_first or day.day > 12)
+
+
 class Pseudonyms:
     """Rewrites one text after the other with one key. ``back`` undoes it."""
 
@@ -211,30 +216,14 @@ class Pseudonyms:
             return None
         if not 0 <= day < DAYS:
             return None
-        padded = len(m) == 2 and len(d) == 2
-        # Dates of one way of writing are permuted among those of that way.
-        spans = self._dates(padded, month_first, sep, year_first)
-        x = day
-        while True:
-            x = self.step(x, DAYS, f"date {spans}")
-            new = datetime.date.fromordinal(DAY0 + x)
-            if self._written_alike(new, len(m), len(d), month_first, year_first, sep):
-                break
+        # Among the dates that this way of writing can hold and that read back in the same order.
+        kind = f"date {sep}{int(year_first)}{int(month_first)}"
+        day = self.step(day, DAYS, kind)
+        while not _fits(new := datetime.date.fromordinal(DAY0 + day), len(m), len(d), day_first=not year_first and sep == "/" and not month_first):
+            day = self.step(day, DAYS, kind)
         mm, dd = f"{new.month:0{len(m)}d}", f"{new.day:0{len(d)}d}"
         return sep.join((f"{new.year}", mm, dd) if year_first else (mm, dd, f"{new.year}") if month_first else (dd, mm, f"{new.year}"))
 
-    @staticmethod
-    def _dates(padded: bool, month_first: bool, sep: str, year_first: bool) -> str:
-        return f"{sep}{int(year_first)}{int(month_first)}{int(padded)}"
-
-    @staticmethod
-    def _written_alike(new: datetime.date, m: int, d: int, month_first: bool, year_first: bool, sep: str) -> bool:
-        """Whether a date can be written with m and d digits and would be read in the same order."""
-        fits = (m == 2 or new.month < 10) and (d == 2 or new.day < 10)
-        if not year_first and sep == "/" and not month_first:
-            return fits and new.day > 12
-        return fits
-
     def ssn(self, s: str) -> str | None:
         a, g, n = map(int, s.split("-"))
         if a in (0, 666) or a > 899 or not g or not n:
@@ -263,8 +252,8 @@ class Pseudonyms:
             nonlocal found
             kind = next(k for k in KINDS if m.group(k) is not None)
             new = getattr(self, kind)(m.group())
-            if new is None and kind != "number":
-                new = self._other(m.group())
+            if new is None and re.fullmatch(r"[0-9]{13,19}", m.group()):
+                new = self.number(m.group())  # what fails one format may hold an account number
             if new is None or new == m.group():
                 return m.group()
             found += 1
@@ -273,10 +262,6 @@ class Pseudonyms:
         out = PATTERN.sub(swap, text.decode("utf-8", "replace"))
         return (out.encode(), found) if found else (text, 0)
 
-    def _other(self, s: str) -> str | None:
-        """A value that fails one format may hold a card number in another."""
-        return self.number(s) if re.fullmatch(r"[0-9]{13,19}", s) else None
-
 
 def pseudonymise(text: Column, key: bytes = DEMO_KEY, back: bool = False) -> Column:
     """Struct (text, n_values) for a text column; a null text stays null with 0 values."""
