@@ -96,16 +96,6 @@ RULES = [
 ]
 # --- End of fixed values. ---
 
-# Words one of which stands in whatever a rule can match (fixed values).
-HINTS = [w.encode() for w in ("licen", "spdx", "permission", "redistribut", "warrant", "public domain", "all rights reserved", "gpl", "mozilla", "apache", "under cc", "under the mit", "bsd")]
-
-
-def hinted(text: bytes) -> bool:
-    """Whether a text holds a word without which no rule can match."""
-    low = text.lower()
-    return any(w in low for w in HINTS)
-
-
 _FILL = {"{v}": r"v?(?P<v>[0-9]+(?:\.[0-9]+)*)", "{x}": r"(?:.*?)"}
 
 
@@ -116,16 +106,18 @@ def _compiled(pattern: str) -> re.Pattern:
 
 
 PATTERNS = {k: _compiled(p) for k, p in SENTENCES.items()}
-# A word without which a sentence cannot match, to skip most patterns (fixed values).
+# Words one of which stands, in the normalised form, in whatever a sentence can match, to skip most patterns (fixed values).
 NEEDS = {
     "mit-named": " under ", "mit-title": "mit license", "mit-grant": "free of charge", "mit-notice": "permission notice", "as-is": " as is ", "no-liability": "in no event",
     "isc-grant": "permission to use", "isc-named": " isc", "bsd-grant": "binary forms", "bsd-source": "source code must", "bsd-binary": "binary form must", "bsd-endorse": "endorse or promote",
     "bsd-advert": "advertising materials", "bsd-named": "bsd", "apache-named": "apache", "apache-other": "apache", "apache-comply": "in compliance", "apache-copy": "you may obtain",
     "apache-asis": "unless required", "apache-see": "specific language", "gpl-named": " under ", "gpl-short": "gpl", "gpl-grant": "free software", "gpl-hope": "in the hope",
-    "gpl-see": "see the gnu", "gpl-copy": "should have received", "mpl-grant": "mozilla", "mpl-copy": "mpl was", "mpl-named": "mozilla", "cc-named": " under ", "cc0-named": "cc",
+    "gpl-see": "see the gnu", "gpl-copy": "should have received", "mpl-grant": "mozilla", "mpl-copy": "mpl was", "mpl-named": "mozilla", "cc-named": " under ", "cc0-named": "cc0|cc zero|creative commons zero",
     "public-domain": "unencumbered", "unlicense-named": "unlicense", "epl-named": "eclipse", "epl-short": "eclipse", "boost": "boost", "zlib-grant": "permission is granted",
     "zlib-named": "zlib", "wtfpl": "what the fuck", "proprietary": "all rights reserved",
 }
+_NEEDED = {k: words.split("|") for k, words in NEEDS.items()}
+_ANY = re.compile("|".join(re.escape(w) for w in sorted({w for words in _NEEDED.values() for w in words})))
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*\)?)")
 _BREAK = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=:)\s*\n|\n\s*\n|[  ]")
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|rem\b|dnl\b)[ \t]?|-->|\*/")
@@ -139,11 +131,16 @@ def normalise(sentence: str) -> str:
     return " ".join(s.split())
 
 
+def hinted(sentence: str) -> bool:
+    """Whether a normalised sentence holds a word without which no pattern can match."""
+    return _ANY.search(f" {sentence} ") is not None
+
+
 def known(sentence: str) -> list[tuple[str, dict]]:
     """Identifiers of the known sentences in a normalised one, in order, with the parts of their match."""
-    hits = []
+    hits, padded = [], f" {sentence} "
     for name, pattern in PATTERNS.items():
-        if NEEDS[name] in f" {sentence} ":
+        if any(w in padded for w in _NEEDED[name]):
             hits += [(m.start(), -m.end(), name, {k: v for k, v in m.groupdict().items() if v}) for m in pattern.finditer(sentence)]
     out, until = [], 0
     for start, end, name, parts in sorted(hits, key=lambda h: h[:3]):
@@ -168,8 +165,8 @@ def identifiers(text: str) -> list[tuple[int, str, dict]]:
     """(offset, identifier, parts) of the known sentences of a text, in order."""
     found = [(m.start(), "spdx", {"id": m[1].strip("()")}) for m in SPDX.finditer(text)]
     for at, sentence in sentences(text):
-        if hinted(sentence.encode("utf-8", "replace")) or any(n in sentence.lower() for n in ("in no event", "advertising", "you may", "should have")):
-            found += [(at, *hit) for hit in known(normalise(sentence))]
+        if hinted(plain := normalise(sentence)):
+            found += [(at, *hit) for hit in known(plain)]
     return sorted(found, key=lambda f: f[0])
 
 
@@ -224,7 +221,7 @@ def scan(text: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         rows = []
         for raw in texts.to_pylist():
-            found = identifiers(raw.decode("utf-8", "replace")) if hinted(raw) else []
+            found = identifiers(raw.decode("utf-8", "replace"))
             got = licences(found)
             rows.append({"licences": list(dict.fromkeys(n for _, n in got)), "sentences": [n for _, n, _ in found], "first_at": got[0][0] if got else None})
         return pa.array(rows, pa.struct([("licences", pa.list_(pa.string())), ("sentences", pa.list_(pa.string())), ("first_at", pa.int64())]))

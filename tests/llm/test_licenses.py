@@ -65,3 +65,53 @@ def test_rules_name_known_sentences():
     named = {s for _, must, may in L.RULES for s in must + may}
     assert named <= set(L.SENTENCES) | {"spdx"} and set(L.NEEDS) == set(L.SENTENCES)
     assert all(re.search(r"[a-z]", w) for w in L.NEEDS.values())
+
+
+def alternatives(node):
+    """Every choice of alternatives of a parsed pattern, as texts that it matches; optional parts are taken and left."""
+    from itertools import product
+    out = [""]
+    for op, arg in node:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "BRANCH":
+            more = [t for branch in arg[1] for t in alternatives(branch)]
+        elif name == "SUBPATTERN":
+            more = alternatives(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            one = ["any words"] if str(arg[2][0][0]) == "ANY" else alternatives(arg[2])
+            more = ([""] if arg[0] == 0 else []) + (one if arg[1] else [])
+        elif name == "IN":
+            more = ["2" if str(arg[0][0]) == "RANGE" else chr(arg[0][1])]
+        elif name in ("ASSERT", "ASSERT_NOT", "AT"):
+            more = [""]
+        else:
+            raise AssertionError(name)
+        out = list(dict.fromkeys(a + b for a, b in product(out, more)))
+        if len(out) > 400:  # enough of each kind: the first ones and an even share of the others
+            out = out[:100] + out[100::len(out) // 300]
+    return out
+
+
+@pytest.mark.parametrize("name", L.SENTENCES)
+def test_every_alternative_is_scanned(name):
+    """What a pattern can match passes the words looked for first, on one line and wrapped in a comment."""
+    texts = [t for t in alternatives(re._parser.parse(L.PATTERNS[name].pattern)) if L.PATTERNS[name].fullmatch(t)]
+    assert texts
+    for t in texts:
+        for lines in (t, t.replace(" ", "\n"), "// " + t.replace(" ", "\n// ")):
+            plain = L.normalise(lines)
+            assert plain == " ".join(t.split()) and L.hinted(plain)
+            if L.PATTERNS[name].search(plain):
+                assert name in [i for _, i, _ in L.identifiers(lines)] or L.known(plain)
+            assert any(w in f" {plain} " for w in L._NEEDED[name])
+
+
+HINTLESS = [("Released under MIT.", "MIT"), ("Distributed under ISC.", "ISC"), ("Available under the Expat", "MIT"), ("Published under Creative Commons Attribution 4.0.", "CC-BY-4.0"), ("CC0 1.0 Universal", "CC0-1.0"),
+            ("Released under\nCC BY 4.0.", "CC-BY-4.0"), ("// This is free and unencumbered software released into the public\n// domain.", "Unlicense"), ("Creative Commons Zero 1.0", "CC0-1.0")]
+
+
+def test_names_without_the_word_licence(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HINTLESS)], "doc_id long, text string")
+    assert [r["licences"] for r in L.licence_scan(docs).orderBy("doc_id").collect()] == [n for _, n in HINTLESS]
