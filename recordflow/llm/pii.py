@@ -110,6 +110,15 @@ def _iban_valid(text: str) -> bool:
     return len(bare) == IBAN_LENGTH.get(bare[:2]) and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
 
 
+def _iban_at(text: str) -> str | None:
+    """The account number of its country's length at the start of a longer match."""
+    places = [i for i, c in enumerate(text) if c != " "]
+    size = IBAN_LENGTH.get(text[:2], len(places))
+    if size >= len(places) or places[size] == places[size - 1] + 1:  # shorter, or cut inside a word
+        return None
+    return text[: places[size - 1] + 1]
+
+
 def _fits(day: datetime.date, month_digits: int, day_digits: int, day_first: bool) -> bool:
     """Whether a date can be written with so many digits. With slashes a day first needs to be above 12 to be read so."""
     return (month_digits == 2 or day.month < 10) and (day_digits == 2 or day.day < 10) and (not day_first or day.day > 12)
@@ -121,6 +130,7 @@ class Pseudonyms:
     def __init__(self, key: bytes, back: bool = False):
         p = Permuter(key)
         self.step = p.inverse if back else p.permute
+        self.back = back
 
     def _symbols(self, text: str, alphabet: str, kind: str) -> str:
         size, x = len(alphabet), 0
@@ -242,25 +252,83 @@ class Pseudonyms:
         new = self._symbols(digits[:-1], DIGITS, f"number {off}")
         return _in_places(s, new + str((luhn(new) + off) % 10), str.isdigit)
 
+    def _value(self, m: re.Match) -> tuple[str, int, str] | None:
+        """(kind, end, pseudonym) of the value at the start of a match; none if the match fails validation."""
+        kind, text = next(k for k in KINDS if m.group(k) is not None), m.group()
+        new = getattr(self, kind)(text)
+        if new is None and re.fullmatch(r"[0-9]{13,19}", text):
+            kind, new = "number", self.number(text)  # what fails one format may hold an account number
+        if new is None and kind == "iban":
+            text = _iban_at(text)  # the pattern runs on into the next group
+            new = text and self.iban(text)
+        return (kind, m.start() + len(text), new) if new else None
+
+    def _values(self, text: str, pos: int) -> tuple[list[tuple[str, int, int, str]], int | None]:
+        """(kind, start, end, pseudonym) of the values from ``pos`` on, and the start of the first
+        failed match that holds the start of a value. Behind a failed match's first character all is searched again."""
+        out, failed, inside = [], [], None
+        while m := PATTERN.search(text, pos):
+            if got := self._value(m):
+                failed = [f for f in failed if f[1] > m.start()]
+                if failed and inside is None:
+                    inside = failed[0][0]
+                out.append((got[0], m.start(), got[1], got[2]))
+                pos = got[1]
+            else:
+                failed.append(m.span())
+                pos = m.start() + 1
+        return out, inside
+
+    def _shape(self, text: str, pos: int) -> tuple:
+        """What stays of a line whose values are replaced: kinds and the text around them."""
+        found, inside = self._values(text, pos)
+        return inside, [v[0] for v in found], [text[a:b] for a, b in zip([0, *(v[2] for v in found)], [*(v[1] for v in found), len(text)])]
+
+    def _line(self, text: str, pos: int) -> tuple[str, int]:
+        """Rewrites a piece of a line with values inside failed matches. A pseudonym there may
+        make the failed match valid or move its end; it is then permuted on until the piece
+        reads as before, which keeps the whole one to one. The way back goes from right to left."""
+        shape, found = self._shape(text, pos), 0
+        count = len(shape[1])
+        for i in range(count)[::-1 if self.back else 1]:
+            kind, start, end, new = self._values(text, pos)[0][i]
+            old = text[start:end]
+            while self._shape(trial := text[:start] + new + text[end:], pos) != shape:
+                if (new := getattr(self, kind)(new)) in (None, old):
+                    new = old
+                    break
+            found += new != old
+            text = trial
+        return text, found
+
     def rewrite(self, text: bytes) -> tuple[bytes, int]:
         """The text with pseudonyms, and how many values were replaced."""
         if not PLAIN.search(text):
             return text, 0
-        found = 0
-
-        def swap(m: re.Match) -> str:
-            nonlocal found
-            kind = next(k for k in KINDS if m.group(k) is not None)
-            new = getattr(self, kind)(m.group())
-            if new is None and re.fullmatch(r"[0-9]{13,19}", m.group()):
-                new = self.number(m.group())  # what fails one format may hold an account number
-            if new is None or new == m.group():
-                return m.group()
-            found += 1
-            return new
-
-        out = PATTERN.sub(swap, text.decode("utf-8", "replace"))
-        return (out.encode(), found) if found else (text, 0)
+        whole = text.decode("utf-8", "replace")
+        out, found, done, pos, failed = [], 0, 0, 0, []
+        while m := PATTERN.search(whole, pos):
+            got = self._value(m)
+            if not got:
+                failed.append(m.span())
+                pos = m.start() + 1
+                continue
+            start, (_, end, new) = m.start(), got
+            failed = [f for f in failed if f[1] > start]
+            if failed:
+                # From the failed match to the end of the line; no pattern reaches over lines.
+                start = max(failed[0][0] - 1, done)
+                end = whole.find("\n", m.end())
+                end = len(whole) if end < 0 else end
+                new, n = self._line(whole[start:end], failed[0][0] - start)
+                failed = []
+            else:
+                n = new != whole[start:end]
+            out += whole[done:start], new
+            found += n
+            done = pos = end
+        out.append(whole[done:])
+        return ("".join(out).encode(), found) if found else (text, 0)
 
 
 def pseudonymise(text: Column, key: bytes = DEMO_KEY, back: bool = False) -> Column:
