@@ -44,7 +44,7 @@ SENTENCES = {
     "gpl-hope": r"is distributed in the hope that it will be useful but without any warranty {x}",
     "gpl-see": r"see the gnu (?:lesser |library |affero )?general public license for more details",
     "gpl-copy": r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license along with {x}",
-    "mpl-grant": r"this source code form is subject to the terms of the mozilla public license v {v}",
+    "mpl-grant": r"this source code form is subject to the terms of the mozilla public license(?: version)? {v}",
     "mpl-copy": r"if a copy of the mpl was not distributed with this file you can obtain one at {x}",
     "mpl-named": r"(?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of the )?mozilla public license(?: version| v)? {v}",
     "cc-named": r"(?:released|licensed|distributed|available|provided|published) under (?:a |the )?(?:terms of the )?(?:creative commons|cc) (?P<kind>by(?: nc)?(?: sa| nd)?|attribution(?: ?non ?commercial)?(?: ?share ?alike| ?no ?deriv(?:ative)?s)?)(?: {v})?(?: (?:international|unported|generic|deed))?(?: license)?",
@@ -96,7 +96,7 @@ RULES = [
 ]
 # --- End of fixed values. ---
 
-_FILL = {"{v}": r"v?(?P<v>[0-9]+(?:\.[0-9]+)*)", "{x}": r"(?:.*?)"}
+_FILL = {"{v}": r"(?:(?:v|vers?|version|no)[. ]?)?(?P<v>[0-9]+(?:\.[0-9]+)*)", "{x}": r"(?:.*?)"}
 
 
 def _compiled(pattern: str) -> re.Pattern:
@@ -119,7 +119,8 @@ NEEDS = {
 _NEEDED = {k: words.split("|") for k, words in NEEDS.items()}
 _ANY = re.compile("|".join(re.escape(w) for w in sorted({w for words in _NEEDED.values() for w in words})))
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*\)?)")
-_BREAK = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=:)\s*\n|\n\s*\n|[  ]")
+# A full stop ends no sentence behind v., ver., vers. or no. before a number, wherever the line is cut.
+_BREAK = re.compile(r"(?<=[.!?])(?!(?:(?<=\b[vV]\.)|(?<=\b[nN][oO]\.)|(?<=\b[vV][eE][rR]\.)|(?<=\b[vV][eE][rR][sS]\.))\s[\s*/#;%-]*[0-9])[\"')\]]*\s+|(?<=:)\s*\n|\n\s*\n|[  ]")
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|rem\b|dnl\b)[ \t]?|-->|\*/")
 _DROP = re.compile(r"[^a-z0-9.+\n]+")
 

@@ -115,3 +115,38 @@ HINTLESS = [("Released under MIT.", "MIT"), ("Distributed under ISC.", "ISC"), (
 def test_names_without_the_word_licence(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HINTLESS)], "doc_id long, text string")
     assert [r["licences"] for r in L.licence_scan(docs).orderBy("doc_id").collect()] == [n for _, n in HINTLESS]
+
+
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+GNU = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version."""
+HEADERS = [
+    (MPL, "MPL-2.0"), (MPL.replace("/*", "#").replace(" * ", "# ").replace("*/", ""), "MPL-2.0"), (MPL.replace(", v. 2.0", ",\n * v.\n * 2.0"), "MPL-2.0"), (MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"),
+    (BSD + "\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\nThis product includes software developed by the organization.", "BSD-4-Clause"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    (APACHE, "Apache-2.0"), (GNU.format("", 3), "GPL-3.0-or-later"), (GNU.format("Affero ", 3), "AGPL-3.0-or-later"), (GNU.format("Lesser ", 2.1), "LGPL-2.1-or-later"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "Zlib"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"), ("CC0 1.0 Universal", "CC0-1.0"),
+    ("This program and the accompanying materials\nare made available under the terms of the Eclipse Public License v1.0\nwhich accompanies this distribution, and is available at x", "EPL-1.0"),
+    ("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+    ("// Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt or copy at\n//          https://www.boost.org/LICENSE_1_0.txt)", "BSL-1.0"),
+    ("it under the terms of the Do What The Fuck You Want\nTo Public License, Version 2, as published by Sam Hocevar.", "WTFPL"),
+    ("Released under the Mozilla Public License, v. 2.0.", "MPL-2.0"), ("Made available under the terms of the Eclipse Public License, v. 1.0.", "EPL-1.0"), ("Licensed under the Apache License, v. 2.0.", "Apache-2.0"),
+    ("Licensed under the Apache License, ver. 2.0.", "Apache-2.0"), ("Released under the GPL v. 3.", "GPL-3.0-only"), ("Released under the GPL v.3.", "GPL-3.0-only"), ("Distributed under the LGPL v. 2.1 or later.", "LGPL-2.1-or-later"),
+    ("Licensed under CC BY v. 4.0.", "CC-BY-4.0"),
+]
+
+
+@pytest.mark.parametrize("text,want", HEADERS)
+def test_official_headers_and_short_versions(text, want):
+    assert [n for _, n in L.licences(L.identifiers(text))] == [want]
+    assert [n for _, n in L.licences(L.identifiers(f"Words before.\n\n{text}\n\nWords after."))] == [want]
+
+
+def test_sentences_end_behind_other_words():
+    assert [s for _, s in L.sentences("It is rev. 2 of it. See no. 3 there. No. It ended in v. The end.")] == ["It is rev.", "2 of it.", "See no. 3 there.", "No.", "It ended in v.", "The end."]
