@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
-Each page becomes a tree of its elements. What is boilerplate by its element or by the words
-of its class, id or role goes first. For every node that is left, the composite density is
+Each page becomes a tree of its elements. What is boilerplate by its element or role goes
+first. Blocks whose class or id has a word of boilerplate are set aside unless the article or
+most of the text is in them; those whose words also name parts of an article come back if
+they lie in the main text and are not mostly links. For every node that is left, the composite density is
 its characters per tag, adjusted by how much of them is linked; the densities of a node's
 children are added up, and the node with the largest sum holds the main text. The least
 density on the path from the body to that node is the threshold: parts of the page outside the
@@ -38,6 +40,12 @@ HEAD_ONLY = frozenset("meta link base title style script noscript template html
 HINTS = frozenset("""ad ads adv advert advertisement advertising adsense banner banners sponsor sponsored promo promotion sidebar side rail menu menus nav navbar navigation breadcrumb breadcrumbs
     pagination pager footer foot masthead header topbar toolbar comment comments commentlist respond replies disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal
     overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets form search skip hidden copyright legal disclaimer""".split())
+# Those that also name parts and topics of an article; and those of readers' words, whatever element has them.
+DOUBTFUL = frozenset("""promotion side menu header footer foot discussion notice notices notification alert share sharing social related recommended recommendations form search skip
+    copyright legal disclaimer subscription""".split())
+READERS = frozenset("comment comments commentlist respond replies disqus".split())
+MODIFIERS = frozenset("has no with without left right is layout".split())  # first words of class names that tell of something else
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = frozenset("html body main article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note status".split())
 # --- End of fixed values. ---
@@ -50,10 +58,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone")
+    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone", "hint")
 
     def __init__(self, name: str, parent: "Node | None", gone: bool):
         self.name, self.parent, self.gone = name, parent, gone
+        self.hint = 0  # 1 if a word of its class or id may mean boilerplate, 2 if it does
         self.parts: list = []  # texts and nodes, in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -70,11 +79,28 @@ def _boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id") and name in BLOCKS | {"span"} and not HINTS.isdisjoint(w.lower() for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-            return True
     return False
 
 
+def _hint(name: str, attributes: str) -> int:
+    """Whether a word of the class or id may mean boilerplate (1) or does (2). Ids of headings are slugs of their text; those of sections may be."""
+    if name not in BLOCKS and name != "span" or not attributes:
+        return 0
+    found = 0
+    for m in _ATTR.finditer(attributes):
+        key = m[1].lower()
+        if key not in ("class", "id") or key == "id" and name in HEADINGS:
+            continue
+        for one in (m[2] or m[3] or m[4] or "").split():
+            words = _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower())
+            if words[0] in MODIFIERS:
+                continue
+            if hits := HINTS.intersection(words):
+                sure = not hits <= DOUBTFUL and (hits & READERS or key == "class" or name != "section")
+                found = max(found, 2 if sure else 1)
+    return found
+
+
 def parse(html: str) -> Node:
     """Tree of a page. Missing and misplaced end tags are borne: paragraphs, list items and
     cells end where the next begins, and an end tag without its start is passed over."""
@@ -117,6 +143,7 @@ def parse(html: str) -> Node:
             here = stack[-1]
             inside = any(n.name in ("article", "main") for n in stack)
             node = Node(name, here, here.gone or _boilerplate(name, attributes, inside))
+            node.hint = _hint(name, attributes)
             here.parts.append(node)
             if name not in VOID and not attributes.endswith("/") or name in BLOCKS and name not in VOID:
                 stack.append(node)
@@ -160,6 +187,41 @@ def _iter_tags(html: str):
         yield m.start(), pos, name, True, attributes, raw
 
 
+def _length(text: str) -> int:
+    return len(_SPACE.sub(" ", unescape(text) if "&" in text else text).strip())
+
+
+def set_aside(root: Node) -> list[tuple[Node, list[Node]]]:
+    """Takes hinted blocks out, but for those around the article or most of the page's text.
+    Gives those that may come back, being doubtful and not made of links, with the nodes in them."""
+    nodes = _order(root)
+    if not any(n.hint for n in nodes):
+        return []
+    chars, links, holds = {}, {}, {}
+    for n in reversed(nodes):
+        kids = [p for p in n.parts if isinstance(p, Node) and not p.gone]
+        chars[id(n)] = sum(_length(p) for p in n.parts if isinstance(p, str)) + sum(chars[id(k)] for k in kids)
+        links[id(n)] = chars[id(n)] if n.name == "a" else sum(links[id(k)] for k in kids)
+        holds[id(n)] = not n.hint and n.name in ("article", "main", "h1") or any(holds[id(k)] for k in kids)
+    plain = chars[id(root)] - links[id(root)]
+    aside, inside = [], {}
+    for n in nodes:
+        if n.parent is not None and id(n.parent) in inside:
+            back = inside[id(n)] = inside[id(n.parent)]
+            if back is not None and n.hint and (n.hint == 2 or 2 * links[id(n)] > chars[id(n)]):
+                inside[id(n)] = None  # what means boilerplate stays out
+            elif back is not None:
+                back.append(n)
+        elif n.hint and n.name not in KEPT and not (n.name not in HEADINGS and holds[id(n)]) and not (n.hint == 1 and 2 * (chars[id(n)] - links[id(n)]) > plain):
+            inside[id(n)] = [n] if n.hint == 1 and 2 * links[id(n)] <= chars[id(n)] else None
+            if inside[id(n)] is not None:
+                aside.append((n, inside[id(n)]))
+        else:
+            continue
+        n.gone = True
+    return aside
+
+
 def _order(root: Node) -> list[Node]:
     """Nodes that are not boilerplate, parents before children."""
     out, stack = [], [root]
@@ -178,7 +240,7 @@ def score(root: Node) -> list[Node]:
     for node in reversed(nodes):
         for p in node.parts:
             if isinstance(p, str):
-                node.chars += len(_SPACE.sub(" ", unescape(p) if "&" in p else p).strip())
+                node.chars += _length(p)
             elif not p.gone:
                 node.chars += p.chars
                 node.tags += p.tags + 1
@@ -263,10 +325,20 @@ def _end(out: list[str], line: list[str]) -> None:
 def main_text(html: str) -> str:
     """Main text of a page: its blocks joined by line feeds; empty if there is none."""
     root = parse(html)
+    aside = set_aside(root)
     nodes = score(root)
     out: list[str] = []
     line: list[str] = []
-    for node in _chosen(nodes):
+    chosen = _chosen(nodes)
+    tops = {id(n) for n in chosen}
+    for node, within in aside:
+        up = node
+        while up is not None and id(up) not in tops:
+            up = up.parent
+        if up is not None:
+            for n in within:
+                n.gone = False
+    for node in chosen:
         _blocks(node, out, line)
         _end(out, line)
     return "\n".join(out)

@@ -70,3 +70,25 @@ def test_edges(spark):
     assert [r for r in got if r[0] is not None] == [(1, "u", "", 0), (2, None, "", 0), (3, "u", "a", 1), (3, "u", "a", 1)]
     assert [r[3] for r in got if r[0] is None] == [5 * 20_000 - 1]
     assert H.extract(pages.limit(0)).collect() == []
+
+
+LINKS = "<ul><li><a href=1>One link of many</a></li><li><a href=2>Another link</a></li></ul>"
+HINTED = {
+    "wrapper": (page(f"<div class='content has-sidebar'><h1>H</h1><p>{P}</p><p>{P}</p></div>"), f"H\n{P}\n{P}"),
+    "layout": (page(f"<div class='layout-right-sidebar'><article><h1>H</h1><p>{P}</p></article></div>"), f"H\n{P}"),
+    "wrapper by other words": (page(f"<div class='page widget sidebar'><article><p>{P}</p></article><div class=sidebar>{LINKS}</div></div>"), P),
+    "section ids": (page(f"<article><p>{P}</p><section id='discussion'><h2 id='discussion-1'>D</h2><p>{P}</p></section><section id='consent'><p>{P}</p></section></article>"), f"{P}\nD\n{P}\n{P}"),
+    "heading ids": (page(f"<article><h1>H</h1><p>{P}</p><h2 id='related-work'>Related</h2><h2 id='search'>Search</h2><h3 id='sharing-data'>Sharing</h3><p>{P}</p></article>"), f"H\n{P}\nRelated\nSearch\nSharing\n{P}"),
+    "entry header": (page(f"<article><div class='entry-header'><h1>Title</h1></div><p>{P}</p></article>"), f"Title\n{P}"),
+    "entry header without h1": (page(f"<div class=post><div class='entry-header'><h2>Title</h2></div><p>{P}</p><p>{P}</p></div>"), f"Title\n{P}\n{P}"),
+    "notice": (page(f"<article><p>{P}</p><p class='notice'>Mind the step.</p></article>"), f"{P}\nMind the step."),
+    "links go": (page(f"<article><p>{P}</p><div class='related'>{LINKS}</div><div class='ad'>Buy now</div><section id=comments><p>{P}</p></section></article>"), P),
+    "nested": (page(f"<article><p>{P}</p><section id='discussion'><p>{P}</p><div class=ad>Buy now</div><div class=share>{LINKS}</div></section></article>"), f"{P}\n{P}"),
+    "comments of articles": (page(f"<main><h1>H</h1><p>{P}</p><div id=comments><article class='comment'><p>{P}</p></article></div></main>"), f"H\n{P}"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HINTED))
+def test_hinted_blocks(name):
+    html, want = HINTED[name]
+    assert H.main_text(html) == want
