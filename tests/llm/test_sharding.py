@@ -69,3 +69,33 @@ def test_versions_and_rebalancing(spark):
 @pytest.mark.parametrize("n", [0, 1])
 def test_few(n):
     assert S.place({3: 5} if n else {}, 4) == ({3: 0} if n else {})
+
+
+def test_hot_ids_are_spread(spark):
+    """A third of the rows without id, and one id with many equal rows: the shards stay even."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "same" * 20 if i % 3 == 1 else f"text {i} " * 8) for i in range(18_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.shard(docs, work_folder(spark, "hot")).collect()
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=KEY) == sorted(((i, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows), key=KEY)
+    load, slots = [0] * 16, {}
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots[r["virtual_slot"]] = slots.get(r["virtual_slot"], 0) + 1
+    assert max(load) - min(load) < 0.02 * sum(load) / 16 and max(slots.values()) < 50
+    for s in range(16):
+        assert sorted(r["place"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_next_call_edits_the_map(spark):
+    folder = work_folder(spark, "again")
+    docs = spark.createDataFrame([(i, "x" * (50 + i % 7)) for i in range(3000)], "doc_id long, text string")
+    S.shard(docs, folder)
+    first = {r["slot"]: r["shard"] for r in S.read_version(spark, folder).collect()}
+    more = docs.unionByName(spark.createDataFrame([(10_000 + i, "y" * 90) for i in range(500)], docs.schema))
+    got = S.shard(more, folder).collect()
+    second = {r["slot"]: r["shard"] for r in S.read_version(spark, folder).collect()}
+    assert set(first) == set(second) == set(range(4096)) and {r["slot"]: r["shard"] for r in S.read_version(spark, folder, 1).collect()} == first
+    assert sum(first[s] != second[s] for s in first) < 400 and len(got) == 3500
+    assert all(r["shard"] == second[r["virtual_slot"]] for r in got)
+    load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
+    assert max(load) - min(load) < 0.02 * sum(load) / 16
