@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordflow.llm import ann, chat, html_text, licenses, mixing, packing, pii, quality, sharding, simhash
+from recordflow.llm import ann, chat, html_text, licenses, mixing, negatives, packing, pii, quality, sharding, simhash
 from recordflow.session import configure, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,20 @@ def op9_mixing(spark, sf_dir):
 @query()
 def op10_licenses(spark, sf_dir):
     return licenses.licence_scan(table(spark, sf_dir, "documents"))
+
+
+NEGATIVES_SQL = """WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 5"""
+
+
+@query(NEGATIVES_SQL)
+def op13_negatives(spark, sf_dir):
+    """Rows whose id 7 divides take the next label, so that labels and vectors disagree in places."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
