@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordflow.llm import ann, chat, html_text, licenses, mixing, negatives, packing, pii, quality, sharding, simhash
+from recordflow.llm import ann, chat, html_text, licenses, merkle, mixing, negatives, packing, pii, quality, sharding, simhash
 from recordflow.session import configure, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,34 @@ def op13_negatives(spark, sf_dir):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
     rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
     return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+MERKLE_SQL = """WITH RECURSIVE bytes AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t
+    FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered,
+    xor(4294967295, list_reduce([4294967295] || [ascii(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')], lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 3 = 0 AS tampered
+    FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+        || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM documents), bytes),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) AS n FROM d GROUP BY lang),
+l AS (SELECT doc_id, leaf, CASE WHEN tampered THEN lowered ELSE leaf END AS start, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+    FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+n AS (SELECT tree, 0 AS level, idx, leaf AS digest, n FROM l
+    UNION ALL SELECT tree, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM n WHERE n > 1 GROUP BY tree, level, idx // 8, n),
+s AS (SELECT tree, max(level) AS top, arg_max(digest, level) AS subroot FROM n GROUP BY tree),
+u AS (SELECT -1 AS tree, 0 AS level, tree AS idx, subroot AS digest, count(*) OVER () AS n FROM s
+    UNION ALL SELECT tree, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM u WHERE n > 1 GROUP BY tree, level, idx // 8, n),
+nodes AS (SELECT a.tree, a.level, a.idx, a.tree AS up_tree, a.level + 1 AS up_level, a.idx // 8 AS up_idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+    FROM (SELECT * FROM n UNION ALL SELECT * FROM u) a JOIN (SELECT * FROM n UNION ALL SELECT * FROM u) b ON a.tree = b.tree AND a.level = b.level AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY ALL
+    UNION ALL SELECT tree, top, 0, -1, 0, tree, '', '' FROM s),
+climb AS (SELECT doc_id, leaf, tree AS own, tree, 0 AS level, idx, start AS folded, '' AS siblings FROM l
+    UNION ALL SELECT doc_id, leaf, own, up_tree, up_level, up_idx, CASE WHEN up_level = 0 THEN folded ELSE sha256(before || folded || after) END, siblings || before || after
+    FROM climb c JOIN nodes n ON c.tree = n.tree AND c.level = n.level AND c.idx = n.idx)
+SELECT c.doc_id, c.leaf, s.subroot, r.root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = r.root AS verified
+FROM climb c JOIN s ON c.own = s.tree JOIN (SELECT max(level) AS level, arg_max(digest, level) AS root FROM u) r ON c.tree = -1 AND c.level = r.level"""
+
+
+@query(MERKLE_SQL)
+def op12_merkle(spark, sf_dir):
+    """Rows whose id's checksum 3 divides are tampered with."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
