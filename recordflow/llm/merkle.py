@@ -4,7 +4,8 @@ Rows become leaves: SHA-256 of their columns, each with its length in front. Lea
 (a language, say) stand in order; every ``FAN`` consecutive nodes become their parent, until one is left, the
 group's subroot; the subroots in order of their groups become the root in the same way. Built levels are stored as
 rows that carry their siblings and a link to their parent. A recursive query takes every leaf up along these links, level
-by level, adding siblings to its proof and folding its own, perhaps tampered, digest.
+by level, adding siblings to its proof and folding its own, perhaps tampered, digest. The leaves of one run share all siblings
+above them, so they climb in one row, each with its own digest; their siblings in the run are the run's other leaves.
 
 A place in its group is found without sorting a group in one task: rows are range-partitioned by group
 and order, and a row's place is its place in its partition and the rows of the group in the partitions before it.
@@ -21,16 +22,15 @@ from recordflow.llm.common import saved
 FAN = 8
 TOP = -1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NODE = ["tree", "level", "idx"]
 # The row limit of recursive queries is lifted while one runs: it counts the rows of all levels.
 ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 CLIMB = """WITH RECURSIVE climb AS (
-    SELECT id, leaf, subroot, tree, level, idx, folded, siblings FROM {leaves}
+    SELECT kids, subroot, tree, level, idx, siblings FROM {leaves}
     UNION ALL
-    SELECT c.id, c.leaf, coalesce(c.subroot, n.subroot), n.up_tree, n.up_level, n.up_idx,
-        unhex(sha2(concat(lower(hex(n.before)), lower(hex(c.folded)), lower(hex(n.after))), 256)), concat(c.siblings, n.before, n.after)
+    SELECT transform(c.kids, k -> named_struct('id', k.id, 'leaf', k.leaf, 'folded', unhex(sha2(concat(lower(hex(n.before)), lower(hex(k.folded)), lower(hex(n.after))), 256)))),
+        coalesce(c.subroot, n.subroot), n.up_tree, n.up_level, n.up_idx, concat(c.siblings, n.before, n.after)
     FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.idx = n.idx)
-SELECT id, leaf, subroot, folded, siblings FROM climb WHERE tree = {tree} AND level = {level}"""
+SELECT kids, subroot, siblings FROM climb WHERE tree = {tree} AND level = {level}"""
 OUT = "leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
@@ -80,33 +80,40 @@ def placed(rows: DataFrame) -> DataFrame:
 
 
 def levels(rows: DataFrame, payload: Sequence[str], name: str) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Nodes with siblings and parent, one table per level, and the topmost nodes of the trees, one table per level.
+    """Runs of nodes, one table (tree, up, m, kids) per level, and the topmost nodes of the trees, one table per level.
 
-    ``rows`` are (tree, idx, m, digest) and the payload of the lowest level. A node is (tree, level, idx,
-    before, after, up_tree, up_level, up_idx); before and after are the digests of its siblings.
+    ``rows`` are (tree, idx, m, digest) and the payload of the lowest level. ``up`` is the place of a run's parent in its
+    level, ``kids`` are the run's (idx, digest, payload) in order.
     """
-    nodes, tops, level = [], [], 0
+    runs, tops, level = [], [], 0
     m = rows.agg(F.max("m")).first()[0] or 0
     while m:
         tops.append(rows.where("m = 1").select("tree", F.lit(level).alias("level"), "digest", *payload))
         if m == 1:
             break
         kid = F.struct("idx", "digest", *payload)
-        up = F.expr(f"idx div {FAN}").alias("up")
-        families = saved(rows.where("m > 1").groupBy("tree", up, "m").agg(F.array_sort(F.collect_list(kid)).alias("kids")), f"{name}-{level}")
-
-        def joined(kids: Column) -> Column:
-            return F.aggregate(kids, F.lit(b""), lambda s, k: F.concat(s, k["digest"]))
-
-        each = families.select("tree", "up", "kids", F.posexplode("kids").alias("at", "kid"))
-        nodes.append(each.select(
-            "tree", F.lit(level).alias("level"), F.col("kid.idx").alias("idx"), joined(F.slice("kids", F.lit(1), F.col("at"))).alias("before"),
-            joined(F.slice("kids", F.col("at") + 2, F.lit(FAN))).alias("after"), F.col("tree").alias("up_tree"), F.lit(level + 1).alias("up_level"), F.col("up").alias("up_idx"), *[f"kid.{p}" for p in payload],
-            *(["kid.digest"] if payload else [])))
+        runs.append(saved(rows.where("m > 1").groupBy("tree", F.expr(f"idx div {FAN}").alias("up"), "m").agg(F.array_sort(F.collect_list(kid)).alias("kids")), f"{name}-{level}"))
         whole = F.array_join(F.transform("kids", lambda k: _hex(k["digest"])), "")
-        rows = families.select("tree", F.col("up").alias("idx"), F.ceil(F.col("m") / FAN).alias("m"), _sha(whole).alias("digest"))
+        rows = runs[-1].select("tree", F.col("up").alias("idx"), F.ceil(F.col("m") / FAN).alias("m"), _sha(whole).alias("digest"))
         payload, level, m = [], level + 1, -(-m // FAN)
-    return nodes, tops
+    return runs, tops
+
+
+def _joined(kids: Column, field: str) -> Column:
+    return F.aggregate(kids, F.lit(b""), lambda s, k: F.concat(s, k[field]))
+
+
+def _around(kids: str, at: Column, field: str) -> tuple[Column, Column]:
+    """Digests before and after the place ``at`` of a run."""
+    return _joined(F.slice(kids, F.lit(1), at), field), _joined(F.slice(kids, at + 2, F.lit(FAN)), field)
+
+
+def linked(runs: DataFrame, level: int, *payload: str) -> DataFrame:
+    """Nodes of a level with their siblings before and after them and the link to their parent."""
+    before, after = _around("kids", F.col("at"), "digest")
+    return runs.select("tree", "up", "kids", F.posexplode("kids").alias("at", "kid")).select(
+        "tree", F.lit(level).alias("level"), F.col("kid.idx").alias("idx"), before.alias("before"), after.alias("after"),
+        F.col("tree").alias("up_tree"), F.lit(level + 1).alias("up_level"), F.col("up").alias("up_idx"), *[f"kid.{p}" for p in payload])
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -129,32 +136,37 @@ def manifest(df: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang"
     original = _sha(record_text([F.col(c) for c in columns]))
     changed = _sha(record_text([lower_ascii(F.col(c)) if c == text_col else F.col(c) for c in columns]))
     start = F.when(tampered, changed) if tampered is not None else F.lit(None).cast("binary")
-    rows = placed(df.select(F.col(group_col).alias("group"), F.col(id_col).alias("id"), original.alias("digest"), start.alias("start")))
-    nodes, tops = levels(rows, ["id", "start"], "merkle")
+    given = df.select(F.col(group_col).alias("group"), F.col(id_col).alias("id"), original.alias("digest"), start.alias("start"))
+    # Written once: finding the ranges would read and hash all texts once more.
+    rows = placed(saved(given, "leaves"))
+    runs, tops = levels(rows, ["id", "start"], "merkle")
     if not tops:
         return spark.createDataFrame([], df.select(id_col).schema).select(id_col, *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in OUT.split(", ")])
-    lone = tops[0].withColumn("idx", F.lit(0).cast("long"))
-    first = lone.select("id", F.col("digest").alias("leaf"), *NODE, F.coalesce("start", "digest").alias("folded"), F.lit(b"").alias("siblings"))
-    if nodes:
-        folded = _sha(_hex(F.col("before")), _hex(F.coalesce("start", "digest")), _hex(F.col("after")))
-        deep = nodes[0].select("id", F.col("digest").alias("leaf"), F.col("up_tree").alias("tree"), F.col("up_level").alias("level"), F.col("up_idx").alias("idx"),
-                               folded.alias("folded"), F.concat("before", "after").alias("siblings"))
-        first = first.unionByName(deep)
-    leaves = first.withColumn("subroot", F.lit(None).cast("binary"))
+
+    def kid(k: Column, before: Column | None = None, after: Column | None = None) -> Column:
+        own = F.coalesce(k["start"], k["digest"])
+        folded = own if before is None else _sha(_hex(before), _hex(own), _hex(after))
+        return F.struct(k["id"].alias("id"), k["digest"].alias("leaf"), folded.alias("folded"))
+
+    lone = F.struct("id", "digest", "start")
+    first = tops[0].select(F.array(kid(lone)).alias("kids"), "tree", "level", F.lit(0).cast("long").alias("idx"))
+    if runs:
+        climbing = F.transform("kids", lambda k, i: kid(k, *_around("kids", i, "digest")))
+        first = first.unionByName(runs[0].select(climbing.alias("kids"), "tree", F.lit(1).alias("level"), F.col("up").alias("idx")))
+    leaves = first.withColumn("subroot", F.lit(None).cast("binary")).withColumn("siblings", F.lit(b""))
     # The subroots are the leaves of one more tree; where a group's tree ends, its link leads into that.
     subroots = saved(_union([t.select("tree", "level", "digest") for t in tops]), "subroots")
     n_trees = subroots.count()
-    links = nodes[1:]
+    links, summit = [linked(r, i) for i, r in enumerate(runs[1:], 1)], subroots
     if n_trees > 1:
         entered = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(n_trees).cast("long").alias("m"), "digest", F.col("level").alias("own"))
         upper, ends = levels(entered, ["own"], "merkle-top")
-        turn = upper[0].select(F.col("idx").alias("tree"), F.col("own").alias("level"), F.lit(0).cast("long").alias("idx"), "before", "after", "up_tree", "up_level", "up_idx", F.col("digest").alias("subroot"))
-        rest = [n.withColumn("subroot", F.lit(None).cast("binary")) for n in [*links, *upper[1:]]]
-        links, summit = [turn, *rest], ends[-1]
-    else:
-        links, summit = [n.withColumn("subroot", F.lit(None).cast("binary")) for n in links], subroots
+        turn = linked(upper[0], 0, "own", "digest").select(F.col("idx").alias("tree"), F.col("own").alias("level"), F.lit(0).cast("long").alias("idx"), "before", "after", "up_tree", "up_level", "up_idx", F.col("digest").alias("subroot"))
+        links, summit = [*links, *[linked(r, i) for i, r in enumerate(upper[1:], 1)]], ends[-1]
+    links = [n.withColumn("subroot", F.lit(None).cast("binary")) for n in links] + ([turn] if n_trees > 1 else [])
     top = summit.select("tree", "level", "digest").first()
     root = bytes(top["digest"]).hex()
+    done = leaves
     if links:
         limit = spark.conf.get(ROW_LIMIT)
         spark.conf.set(ROW_LIMIT, "-1")
@@ -162,8 +174,9 @@ def manifest(df: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang"
             done = saved(spark.sql(CLIMB, leaves=leaves, nodes=saved(_union(links), "merkle-nodes"), tree=top["tree"], level=top["level"]), "climbed")
         finally:
             spark.conf.set(ROW_LIMIT, limit)
-    else:
-        done = leaves
-    return done.select(
-        F.col("id").alias(id_col), _hex(F.col("leaf")).alias("leaf"), F.coalesce(_hex(F.col("subroot")), F.lit(root)).alias("subroot"), F.lit(root).alias("root"),
-        F.sha2(_hex(F.col("siblings")), 256).alias("proof_sha256"), _hex(F.col("folded")).alias("folded_root"), (_hex(F.col("folded")) == root).alias("verified"))
+    each = done.select("kids", "subroot", "siblings", F.posexplode("kids").alias("at", "kid"))
+    siblings = F.concat(*_around("kids", F.col("at"), "leaf"), F.col("siblings"))
+    folded = _hex(F.col("kid.folded"))
+    return each.select(
+        F.col("kid.id").alias(id_col), _hex(F.col("kid.leaf")).alias("leaf"), F.coalesce(_hex(F.col("subroot")), F.lit(root)).alias("subroot"), F.lit(root).alias("root"),
+        F.sha2(_hex(siblings), 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == root).alias("verified"))
