@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordflow.llm import ann, chat, html_text, licenses, merkle, mixing, negatives, packing, pii, quality, sharding, simhash
+from recordflow.llm import ann, chat, html_text, licenses, merkle, mixing, negatives, packing, pii, ppm, quality, sharding, simhash
 from recordflow.session import configure, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,11 @@ FROM climb c JOIN s ON c.own = s.tree JOIN (SELECT max(level) AS level, arg_max(
 def op12_merkle(spark, sf_dir):
     """Rows whose id's checksum 3 divides are tampered with."""
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+
+
+@query()
+def op11_language(spark, sf_dir):
+    """A quarter of the documents, by their ids' checksums, is held out of what is learned. Null ids are neither learned from nor held out."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+    return ppm.identify(docs, fold != 2, keep=("doc_id", "held_out"))
