@@ -7,9 +7,6 @@ first position and the last value.
 
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordflow.functions import scalars as S
@@ -116,51 +113,55 @@ def emit_aliases(entries) -> Column:
         S.alias_keys(e["key"]), lambda k: F.struct(k.alias("key"), e["value"].alias("value")))))
 
 
-class _Number(str):
-    """A number as it was written."""
+# Levels that one pass over the rows unpacks; rows still open after it go round once more.
+LEVELS_A_PASS = 4
 
 
-def _json_of(v) -> str:
-    if isinstance(v, _Number):
-        return str(v)
-    if isinstance(v, list):
-        return "[" + ",".join(map(_json_of, v)) + "]"
-    if isinstance(v, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json_of(x)}" for k, x in v.items()) + "}"
-    return json.dumps(v, ensure_ascii=False)
+def _opened(value: str, in_list: str) -> str:
+    """SQL: an object, or a list that is no item of a list, is unpacked."""
+    kind = f"schema_of_variant({value})"
+    return f"coalesce(startswith({kind}, 'OBJECT') OR (startswith({kind}, 'ARRAY') AND NOT {in_list}), false)"
 
 
-def _walk(text: str) -> list[dict]:
-    """Leaves of a JSON text as (key, json), depth first."""
-    out, stack = [], [("", json.loads(text, parse_int=_Number, parse_float=_Number), False)]
-    while stack:
-        key, v, in_list = stack.pop()
-        if isinstance(v, dict):
-            stack += [(f"{key}__{k}" if key else k, x, False) for k, x in reversed(v.items())]
-        elif isinstance(v, list) and not in_list:
-            stack += [(f"{key}_{i}", x, True) for i, x in reversed(list(enumerate(v, 1)))]
-        elif v is not None and key:
-            out.append({"key": key, "json": _json_of(v)})
-    return out
+def _unpacked(source: str, ids: str) -> str:
+    """SQL: rows (ids, key, value, in_list, open) with the open ones replaced by their parts. Empty ones leave a null."""
+    for _ in range(LEVELS_A_PASS):
+        parts = f"""SELECT {ids}, CASE WHEN NOT w.open OR e.pos IS NULL THEN w.key WHEN e.key IS NULL THEN concat(w.key, '_', e.pos + 1)
+            WHEN w.key = '' THEN e.key ELSE concat(w.key, '__', e.key) END AS key, CASE WHEN w.open THEN e.value ELSE w.value END AS value,
+            CASE WHEN w.open THEN e.key IS NULL ELSE w.in_list END AS in_list, w.open AS was_open
+            FROM {source} w, LATERAL variant_explode_outer(CASE WHEN w.open THEN w.value END) e"""
+        source = f"(SELECT {ids}, key, value, in_list, was_open AND {_opened('value', 'in_list')} AS open FROM ({parts}))"
+    return f"SELECT * FROM {source}"
 
 
-def _leaves(text: Column) -> Column:
-    @F.arrow_udf("array<struct<key: string, json: string>>")
-    def run(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("key", pa.string()), ("json", pa.string())]))
-        return pa.array([None if t is None else _walk(t) for t in texts.to_pylist()], kind)
+def flatten_nested(raw: DataFrame, ids: list[str], value: str = "raw") -> DataFrame:
+    """Leaves of a VARIANT as rows (ids, key, value), at any depth.
 
-    return run(text)
+    Object keys are joined by ``__``, list items numbered ``_1``, ``_2`` …; nulls
+    are dropped and a list inside a list is kept as its JSON text. Parts are unpacked level by level by lateral
+    joins, some levels per pass, and a recursive query repeats the pass for what is still open.
+    """
+    names = {c: f"_id{i}" for i, c in enumerate(ids)}
+    given = raw.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(value).alias("value"))
+    cols = ", ".join(names.values()) or "1 AS _none"
+    rows = given.sparkSession.sql(f"""WITH RECURSIVE walk AS (
+        {_unpacked(f"(SELECT {cols}, '' AS key, value, false AS in_list, {_opened('value', 'false')} AS open FROM {{given}})", cols.replace("1 AS ", ""))}
+        UNION ALL
+        {_unpacked("(SELECT * FROM walk WHERE open)", cols.replace("1 AS ", ""))})
+        SELECT * FROM walk WHERE NOT open AND key <> '' AND value IS NOT NULL AND NOT is_variant_null(value)""", given=given)
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()], "key", S.variant_text("value").alias("value"))
 
 
-def flatten_nested(raw: DataFrame, ids: list[str], value: str = "raw") -> DataFrame:
-    """Leaves of a VARIANT as rows (ids, key, value), at any depth, in one pass.
+def flatten_json(df: DataFrame, ids: list[str], text: str = "raw") -> DataFrame:
+    """Leaves of JSON texts as rows (ids, key, value, error); a text that cannot be parsed gives one row with an error.
 
-    Object keys are joined by ``__``, list items numbered ``_1``, ``_2`` …; nulls
-    are dropped and a list inside a list is kept as its JSON text.
+    A null text gives no row. The parser refuses more than 1000 levels, so deeper texts are errors.
     """
-    leaves = raw.select(*ids, F.explode(_leaves(F.to_json(value))).alias("_leaf"))
-    return leaves.select(*ids, F.col("_leaf.key").alias("key"), S.variant_text(F.parse_json("_leaf.json")).alias("value"))
+    parsed = df.select(*ids, F.col(text).isNotNull().alias("_given"), F.try_parse_json(text).alias("_raw"))
+    good = flatten_nested(parsed, ids, "_raw").withColumn("error", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    bad = parsed.where(F.col("_given") & F.col("_raw").isNull()).select(*ids, none.alias("key"), none.alias("value"), F.lit("Invalid JSON").alias("error"))
+    return good.unionByName(bad)
 
 
 def drop_blank_rows(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -90,6 +90,18 @@ def flatten_nested(spark, sf):
     return R.flatten_nested(e.select(F.col("event_id").alias("id"), F.parse_json(doc).alias("raw")), ["id"])
 
 
+@query("""WITH e AS (SELECT event_id AS id, user_id, event_type, event_id % 10 AS k FROM {events})
+SELECT id, key, value, CAST(NULL AS VARCHAR) AS error FROM e, LATERAL (VALUES ('u__id', CAST(user_id AS VARCHAR)), ('u__more_1__deep__er__still__on', event_type), ('u__more_2', 'é')) v(key, value) WHERE k > 1
+UNION ALL SELECT id, NULL, NULL, 'Invalid JSON' FROM e WHERE k = 0""")
+def flatten_json(spark, sf):
+    """A tenth of the texts cannot be parsed, another tenth is null."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", (F.col("event_id") % 10).alias("k"))
+    good = F.concat(F.lit('{"u":{"id":'), F.col("user_id").cast("string"), F.lit(',"more":[{"deep":{"er":{"still":{"on":"'), "event_type", F.lit('"}}}},"é",[]],"none":null}}'))
+    text = F.when(F.col("k") == 0, F.concat(F.lit("{"), "event_type")).when(F.col("k") > 1, F.regexp_replace(good, r",\[\]", ""))
+    return R.flatten_json(e.select("id", text.alias("raw")), ["id"])
+
+
+
 FLAT = ("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE '' END AS first_name, CASE WHEN c_custkey % 4 > 1 THEN c_mktsegment || ' é/' || n_name END AS last_name, "
         "CASE WHEN c_custkey % 5 = 4 THEN n_name END AS full_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey")
 

@@ -16,6 +16,9 @@ SEMANTIC_CONF = {
     # Records are ordered key/value lists in which the last write wins and the
     # first position stays, which is what LAST_WIN map building does.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Recursive queries end by themselves; limits on their rows and levels would fail large inputs.
+    "spark.sql.cteRecursionRowLimit": "-1",
+    "spark.sql.cteRecursionLevelLimit": "-1",
 }
 
 # Settings that only change speed; a value set by the cluster is left alone.
