@@ -25,7 +25,7 @@ def parse_mapping_response(text) -> Column:
     Anything that is not a JSON object gives an empty array.
     """
     doc = F.try_parse_json(strip_fence(text))
-    body = F.when(F.schema_of_variant(doc).startswith("OBJECT"), F.from_json(F.to_json(doc), "map<string,variant>"))
+    body = F.when(F.schema_of_variant(doc).startswith("OBJECT"), F.try_variant_get(doc, "$", "map<string,variant>"))
 
     def entry(e: Column) -> Column:
         v = e["value"]
@@ -52,7 +52,7 @@ def parse_zone_response(text, page) -> Column:
     """Answer text to an array of signature zones; bad items are skipped."""
     page = _col(page)
     doc = F.try_parse_json(strip_fence(text))
-    items = F.when(F.schema_of_variant(doc).startswith("ARRAY"), F.from_json(F.to_json(doc), "array<variant>"))
+    items = F.when(F.schema_of_variant(doc).startswith("ARRAY"), F.try_variant_get(doc, "$", "array<variant>"))
 
     def number(item: Column, name: str, default: float) -> Column:
         v = F.try_variant_get(item, f"$.{name}", "variant")

@@ -1,4 +1,4 @@
-"""Mapping cache: one row per fingerprint.
+"""Mapping cache: one row per fingerprint. ``cache_store`` keeps it on disk.
 
 Cache rows: fingerprint, cached_at TIMESTAMP, version INT, field_labels MAP,
 mappings MAP<STRING,STRUCT<value,confidence,source>>.
@@ -6,9 +6,7 @@ mappings MAP<STRING,STRUCT<value,confidence,source>>.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from recordflow.functions import fixed
 from recordflow.operators.ordered import last_wins
@@ -56,37 +54,3 @@ def invalidate_cache(cache: DataFrame, fingerprints: DataFrame | None = None) ->
         cache.join(asked, "fingerprint", "left_anti"),
         asked.join(found, "fingerprint", "left").select("fingerprint", F.coalesce("_there", F.lit(False)).alias("existed")),
     )
-
-
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Folder of the newest complete cache version under ``path``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = [str(s.getPath()) for s in fs.listStatus(root)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max(done, default=None)
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    version = current_version(spark, path)
-    return None if version is None else spark.read.parquet(version)
-
-
-def upsert_cache(fresh: DataFrame, path: str) -> str:
-    """Write a new version of the cache under ``path``; returns its folder.
-
-    A version is a folder of its own, complete once Spark has written its
-    ``_SUCCESS`` file, so readers never see half a cache and a retried write
-    harms nothing.
-    """
-    spark = fresh.sparkSession
-    old = current_version(spark, path)
-    merged = last_wins(fresh, ["fingerprint"], "cached_at") if old is None else merge_cache(
-        spark.read.parquet(old).select(*fresh.columns), fresh)
-    number = 0 if old is None else int(old.rsplit("version=", 1)[1].split("-")[0]) + 1
-    target = f"{path}/version={number:012d}-{uuid.uuid4().hex[:8]}"
-    merged.write.parquet(target)
-    return target

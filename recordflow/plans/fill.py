@@ -66,11 +66,14 @@ def fresh_entries(mapped: DataFrame, now: Column) -> DataFrame:
 
 
 def map_fields(bundles: DataFrame, labeled: DataFrame, mapper: DataFrame | PandasMapper | None = None,
-               cache: DataFrame | None = None, form: str = "doc_id", by: Sequence[str] = RECORD_KEY) -> tuple[DataFrame, DataFrame]:
+               cache: DataFrame | None = None, form: str = "doc_id", by: Sequence[str] = RECORD_KEY, now: Column | None = None,
+               ttl_days: int = 0) -> tuple[DataFrame, DataFrame]:
     """Map bundles to fields: (mappings per record and field, newly mapped rows per fingerprint).
 
-    Requests with the same fingerprint are mapped once.
+    Requests with the same fingerprint are mapped once. Cache entries of another version, or older than ``ttl_days`` at ``now``, do not count.
     """
+    if cache is not None:
+        cache = K.valid_cache(cache, F.current_timestamp() if now is None else now, ttl_days)
     requests = bundles.join(labels_digest(labeled, form), form).withColumn("fingerprint", request_fingerprint())
     keys = [*by, form, "fingerprint"]
     if cache is None and mapper is None:
@@ -94,7 +97,7 @@ def map_fields(bundles: DataFrame, labeled: DataFrame, mapper: DataFrame | Panda
 def fill_batch(records: DataFrame, labeled: DataFrame, profiles: DataFrame | None = None, t: float = 0.0,
                mapper: DataFrame | PandasMapper | None = None, cache: DataFrame | None = None, form: str = "doc_id",
                by: Sequence[str] = RECORD_KEY, shape: str = "auto", name_keys: Sequence[str] = fixed.BATCH_NAME_KEYS,
-               ) -> dict[str, DataFrame]:
+               now: Column | None = None, ttl_days: int = 0) -> dict[str, DataFrame]:
     """Fill forms for whole batches of records.
 
     Bundles feed both the mapping and the results, so they are written once to
@@ -104,7 +107,7 @@ def fill_batch(records: DataFrame, labeled: DataFrame, profiles: DataFrame | Non
     """
     bundles = materialize(to_bundle(records, profiles, with_structured=False, shape=shape).select(*by, form, "flat", "error"), "bundles")
     good = bundles.where(F.col("error").isNull())
-    mappings, fresh = map_fields(good.select(*by, form, "flat"), labeled, mapper, cache, form, by)
+    mappings, fresh = map_fields(good.select(*by, form, "flat"), labeled, mapper, cache, form, by, now, ttl_days)
     filled = reports.apply_threshold(mappings, t)
     stats = reports.record_stats(mappings, t, by)
     forms = labels_digest(labeled, form).select(form, "fields_detected")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordflow.functions import fixed
-from recordflow.operators import cache as K, layout as L, matching as M, reports as A
+from recordflow.operators import cache as K, cache_store as ST, layout as L, matching as M, reports as A
 from recordflow.plans import extract as X, fill as P
+from recordflow.plans.bundle import to_bundle
 from recordflow.registry.base import bind, duck, pick, query, table
 from recordflow.registry.records import RAW, records
+from recordflow.session import materialize, work_folder
 
 # Words of documents laid out as 8 columns and 50 lines a page; a word that ends a
 # sentence is followed by a field.
@@ -284,6 +286,49 @@ def fill_batch(spark, sf):
     return _fill(spark, sf)["filled"].select("batch_id", "idx", "field_name", "value", "confidence")
 
 
+def _as_records(spark, sf):
+    return records(spark, sf).withColumn("doc_id", F.col("batch_id")).withColumnRenamed("id", "idx")
+
+
+def _with_hits(out):
+    """Filled fields and whether their record came from the cache."""
+    hits = out["results"].select("batch_id", "idx", "cache_hit")
+    return out["filled"].join(hits, ["batch_id", "idx"]).select("batch_id", "idx", "field_name", "value", "confidence", "cache_hit")
+
+
+@query(f"SELECT *, idx % 4 = 2 AS cache_hit FROM ({FILLED}) WHERE value IS NOT NULL")
+def fill_batch_cached(spark, sf):
+    """Half of the records are mapped before and stored; a quarter of all are too old in the cache by now and are mapped anew."""
+    path, made, labeled = work_folder(spark, "cache"), _as_records(spark, sf), _labeled(spark, sf)
+    for rest, day in ((0, "2024-01-01"), (2, "2024-03-01")):
+        fresh = P.fill_batch(made.where(F.col("idx") % 4 == rest), labeled, t=0.5, shape="flat")["fresh"]
+        ST.upsert_cache(P.fresh_entries(fresh, F.lit(day)), path)
+    return _with_hits(P.fill_batch(made, labeled, t=0.5, shape="flat", cache=ST.read_cache(spark, path), now=F.lit("2024-03-05").cast("timestamp"), ttl_days=30))
+
+
+def _names_only(frames):
+    """A mapper that fills two fields, one of them with little confidence."""
+    for f in frames:
+        for field, confidence in (("MemberName", 0.75), ("Odd", 0.25)):
+            yield f[["fingerprint"]].assign(field_name=field, value=[dict(x).get("patient_name") for x in f["flat"]], confidence=confidence)
+
+
+@query(f"SELECT batch_id, idx, field_name, value, 0.75::DOUBLE AS confidence, false AS cache_hit FROM ({FILLED}) WHERE field_name = 'MemberName' AND value IS NOT NULL")
+def fill_batch_mapper(spark, sf):
+    """Mapped by a function of the caller instead of by text."""
+    return _with_hits(P.fill_batch(_as_records(spark, sf), _labeled(spark, sf), t=0.5, shape="flat", mapper=_names_only))
+
+
+@query(f"SELECT batch_id, idx, 'MemberName' AS field_name, 'by ' || batch_id AS value, 0.5::DOUBLE AS confidence, false AS cache_hit FROM ({FILLED}) WHERE field_name = 'MemberName'")
+def fill_batch_answers(spark, sf):
+    """Mapped by a table of a model's answers, one text per request."""
+    made, labeled = _as_records(spark, sf), _labeled(spark, sf)
+    flat = materialize(to_bundle(made, with_structured=False, shape="flat").where("error IS NULL").select("doc_id", "flat"), "bundles")
+    asked = flat.join(P.labels_digest(labeled), "doc_id").select(P.request_fingerprint().alias("fingerprint"), "doc_id").distinct()
+    answer = F.concat(F.lit('{"MemberName": {"value": "by '), "doc_id", F.lit('", "confidence": 0.5}, "Zip": {"value": "1", "confidence": 0.1}}'))
+    return _with_hits(P.fill_batch(made, labeled, t=0.5, shape="flat", mapper=asked.select("fingerprint", answer.alias("response"))))
+
+
 @query(f"""SELECT batch_id, count(*) AS total_records, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / CAST(count(*) AS DOUBLE) * 100, 1) AS success_rate,
 any_value(c) AS avg_confidence, 0 AS cache_hits FROM (SELECT batch_id, batch_id <> 'MACHINERY' AND benefit IS DISTINCT FROM 'bogus' AS ok FROM ({RAW}))
 LEFT JOIN (SELECT batch_id, {AVG.format(c="c")} AS c FROM (SELECT batch_id, idx, {FILLED_AVG} AS c FROM ({FILLED}) WHERE value IS NOT NULL GROUP BY batch_id, idx) GROUP BY batch_id) USING (batch_id) GROUP BY batch_id""")

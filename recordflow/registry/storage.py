@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordflow.operators import cache as K
+from recordflow.operators import cache_store as K
 from recordflow.registry.activity import APPROVALS, JOB_EVENTS, SIGN_CHAIN, SIGNS, SMALL_LIMITS, USAGE, BILLING
 from recordflow.registry.base import SQL, bind, query, table
 from recordflow.registry.forms import CACHE_ROWS, _cache
@@ -155,6 +155,22 @@ def upsert_cache(spark, sf):
     return K.read_cache(spark, path).select("fingerprint", F.unix_seconds("cached_at").alias("cached_at"), F.col("mappings")["status"]["value"].alias("status"))
 
 
+@query(f"""WITH first AS (SELECT fingerprint, max(tm) AS tm, arg_max(o_orderstatus, tm) AS status, min(c) AS c FROM {CACHE_ROWS} WHERE n % 2 = 0 GROUP BY fingerprint),
+late AS (SELECT fingerprint, max(tm) AS tm, arg_max(o_orderstatus, tm) AS status FROM {CACHE_ROWS} WHERE n % 2 = 1 GROUP BY fingerprint),
+gone AS (SELECT fingerprint, 852076800 AS tm FROM first WHERE c < 5)
+SELECT fingerprint, CASE WHEN l.tm IS NULL OR f.tm > l.tm THEN f.status ELSE l.status END AS status, greatest(f.tm, l.tm) AS cached_at
+FROM first f FULL JOIN late l USING (fingerprint) LEFT JOIN gone g USING (fingerprint) WHERE g.tm IS NULL OR greatest(f.tm, l.tm) > g.tm""")
+def invalidate_store(spark, sf):
+    """Half of the entries, deletions of some as of 1997, then the other half: a deletion takes out what is older than it, whenever that arrives."""
+    path, c = work_folder(spark, "cache"), _cache(spark, sf)
+    half, asked = F.col("n") % 2 == 0, F.substring("fingerprint", 3, 20).cast("bigint") % 10 < 5
+    K.upsert_cache(c.where(half).drop("n"), path)
+    K.invalidate_store(spark, path, F.timestamp_seconds(F.lit(852076800)), c.where(asked).select("fingerprint"))
+    K.upsert_cache(c.where(~half).drop("n"), path)
+    K.compact(spark, path, F.timestamp_seconds(F.lit(0)))
+    return K.read_cache(spark, path).select("fingerprint", F.col("mappings")["status"]["value"].alias("status"), F.unix_seconds("cached_at").alias("cached_at"))
+
+
 @query("SELECT DISTINCT 'fp' || CAST(o_custkey AS VARCHAR) AS fingerprint, 'Zip' AS field_name, CAST(o_custkey AS VARCHAR) AS value, 1.0::DOUBLE AS confidence FROM {orders}")
 def incremental_cache(spark, sf):
     """Orders as a stream of requests, one per customer key."""

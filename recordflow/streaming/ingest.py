@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from recordflow.operators import cache as K
+from recordflow.operators import cache_store as K
 from recordflow.plans.fill import PandasMapper, fresh_entries, map_misses
 from recordflow.session import checkpoint_root
 from recordflow.sources.readers import stream_audit
@@ -31,12 +31,12 @@ def incremental_cache(requests: DataFrame, labeled: DataFrame, cache_path: str,
                       form: str = "doc_id", name: str = "cache") -> StreamingQuery:
     """Map the fingerprints not yet cached and add them to the cache, batch by batch.
 
-    A batch replayed after a failure finds its fingerprints cached and adds nothing.
+    A batch reads and writes only the buckets of its fingerprints. Replayed after a failure, it finds them cached and adds nothing.
     """
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        cache = K.read_cache(spark, cache_path)
         misses = batch.dropDuplicates(["fingerprint"])
+        cache = K.read_cache(spark, cache_path, misses)
         if cache is not None:
             misses = misses.join(cache.select("fingerprint"), "fingerprint", "left_anti")
         K.upsert_cache(fresh_entries(map_misses(misses, labeled, mapper, form), F.current_timestamp()), cache_path)

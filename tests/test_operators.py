@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from recordflow.operators import catalog as K, jobs as J, layout as L, matching as M, ordered as O, reports as A
 from recordflow.plans import extract as X, fill as P
-from recordflow.operators import cache as CA
+from recordflow.operators import cache as CA, cache_store as ST
 
 
 def rows(df, *cols):
@@ -193,10 +193,75 @@ def test_pluggable_mappers(spark):
     assert rows(P.map_fields(bundles, labeled, mapper=mapper)[0], "value", "confidence") == [("fn", 0.5)]
 
 
+def _entries(spark, rows):
+    return spark.createDataFrame(rows, "fingerprint string, n int, day string").select("fingerprint", "n", F.col("day").cast("timestamp").alias("cached_at"))
+
+
+def _held(spark, path):
+    return sorted((r["fingerprint"], r["n"]) for r in ST.read_cache(spark, path).collect())
+
+
 def test_cache_upsert_keeps_the_latest(spark, tmp_path):
-    d = lambda n, day: spark.createDataFrame([("f", n)], "fingerprint string, n int").withColumn("cached_at", F.lit(day).cast("timestamp"))
     path = str(tmp_path / "cache")
-    assert CA.read_cache(spark, path) is None
-    for n, day in ((1, "2024-01-02"), (2, "2024-01-01"), (3, "2024-01-03")):
-        CA.upsert_cache(d(n, day), path)
-    assert [r["n"] for r in CA.read_cache(spark, path).collect()] == [3]
+    assert ST.read_cache(spark, path) is None
+    for n, day in ((1, "2024-01-01"), (3, "2024-01-03"), (2, "2024-01-02")):
+        ST.upsert_cache(_entries(spark, [("f", n, day)]), path)
+    assert _held(spark, path) == [("f", 3)]
+    assert ST.upsert_cache(_entries(spark, []), path) == 3
+
+
+def test_cache_upsert_writes_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    ST.upsert_cache(_entries(spark, [(f"f{i}", i, "2024-01-01") for i in range(200)]), path, buckets=16)
+    first = ST.snapshot(spark, path)
+    assert len(first.folders) == 16
+    ST.upsert_cache(_entries(spark, [("f7", 1000, "2024-01-02")]), path)
+    second = ST.snapshot(spark, path)
+    moved = [b for b in range(16) if first.folders[b] != second.folders[b]]
+    assert len(moved) == 1 and sum(1 for d in tmp_path.glob("cache/data-*/bucket=*")) == 17
+    assert _held(spark, path) == sorted([(f"f{i}", 1000 if i == 7 else i) for i in range(200)])
+    assert {r["fingerprint"] for r in ST.read_cache(spark, path, _entries(spark, [("f7", 0, "2024-01-02")])).collect()} < {f"f{i}" for i in range(200)}
+
+
+def test_cache_deletions_last(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    day = lambda d: F.lit(d).cast("timestamp")
+    assert ST.invalidate_store(spark, path, day("2024-01-05"), _entries(spark, [("f1", 0, "2024-01-01")])).collect() == [("f1", False)]
+    ST.upsert_cache(_entries(spark, [(f"f{i}", i, "2024-01-01") for i in range(5)]), path)
+    asked = ST.invalidate_store(spark, path, day("2024-01-05"), _entries(spark, [("f1", 0, "2024-01-01"), ("f2", 0, "2024-01-01"), ("f9", 0, "2024-01-01")]))
+    assert sorted(map(tuple, asked.collect())) == [("f1", True), ("f2", True), ("f9", False)]
+    ST.upsert_cache(_entries(spark, [("f1", 10, "2024-01-04"), ("f2", 20, "2024-01-06")]), path)
+    assert _held(spark, path) == [("f0", 0), ("f2", 20), ("f3", 3), ("f4", 4)]
+    number = ST.compact(spark, path, day("2024-01-06"))
+    assert _held(spark, path) == [("f0", 0), ("f2", 20), ("f3", 3), ("f4", 4)] and len(list(tmp_path.glob("cache/_commits/*.json"))) == 1
+    assert {f.name for f in tmp_path.glob("cache/data-*")} == set(ST.snapshot(spark, path).folders.values())
+    assert ST.compact(spark, path, day("2024-01-06")) == number
+    ST.invalidate_store(spark, path, day("2024-01-07"))
+    assert _held(spark, path) == []
+
+
+def test_cache_expires(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = spark.createDataFrame([("a", 2, "2024-01-01"), ("b", 2, "2024-01-09"), ("c", 1, "2024-01-09")], "fingerprint string, version int, day string")
+    ST.upsert_cache(rows.select("fingerprint", "version", F.col("day").cast("timestamp").alias("cached_at")), path)
+    gone = ST.expire(spark, path, F.lit("2024-01-10").cast("timestamp"), 3)
+    assert sorted(r["fingerprint"] for r in gone.collect()) == ["a", "c"] and [r["fingerprint"] for r in ST.read_cache(spark, path).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("other", ["f1", "f2"])
+def test_two_cache_writers_lose_nothing(spark, tmp_path, monkeypatch, other):
+    """A writer that finds another's commit in place merges again if it changed the same bucket, and else keeps what it wrote."""
+    path, real, merges = str(tmp_path / "cache"), ST._commit, []
+    ST.upsert_cache(_entries(spark, [("f0", 0, "2024-01-01")]), path)
+
+    def late(files, state):
+        monkeypatch.setattr(ST, "_commit", real)
+        ST.upsert_cache(_entries(spark, [(other, 2, "2024-01-02")]), path)
+        return real(files, state)
+
+    monkeypatch.setattr(ST, "_commit", late)
+    monkeypatch.setattr(ST, "last_wins", lambda *a, f=ST.last_wins: merges.append(1) or f(*a))
+    ST.upsert_cache(_entries(spark, [("f1", 1, "2024-01-03")]), path)
+    assert _held(spark, path) == sorted({("f0", 0), ("f1", 1), *([("f2", 2)] if other == "f2" else [])})
+    assert ST.snapshot(spark, path).number == 3 and len(merges) == (3 if other == "f1" else 2)
+    assert not ST._commit(ST._Files(spark, path), ST.Snapshot(3)) and not list(tmp_path.glob("cache/_drafts/*"))
