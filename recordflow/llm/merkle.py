@@ -27,7 +27,7 @@ ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 CLIMB = """WITH RECURSIVE climb AS (
     SELECT kids, subroot, tree, level, idx, siblings FROM {leaves}
     UNION ALL
-    SELECT transform(c.kids, k -> named_struct('id', k.id, 'leaf', k.leaf, 'folded', unhex(sha2(concat(lower(hex(n.before)), lower(hex(k.folded)), lower(hex(n.after))), 256)))),
+    SELECT /*+ SHUFFLE_HASH(n) */ transform(c.kids, k -> named_struct('id', k.id, 'leaf', k.leaf, 'folded', unhex(sha2(concat(lower(hex(n.before)), lower(hex(k.folded)), lower(hex(n.after))), 256)))),
         coalesce(c.subroot, n.subroot), n.up_tree, n.up_level, n.up_idx, concat(c.siblings, n.before, n.after)
     FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.idx = n.idx)
 SELECT kids, subroot, siblings FROM climb WHERE tree = {tree} AND level = {level}"""
