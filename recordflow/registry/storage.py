@@ -227,15 +227,17 @@ def decision_notices(spark, sf):
     return SG.decision_notices(a).select("approval_id", "to_email", "title", "decision")
 
 
-def run_stream(spark: SparkSession, events: DataFrame, build, mode: str = "append", batches: int = 0) -> DataFrame:
+def run_stream(spark: SparkSession, events: DataFrame, build, mode: str = "append", batches: int = 0, then: DataFrame | None = None) -> DataFrame:
     """Write events to a folder, stream them through and read the output table.
 
-    With ``batches`` the events are shuffled over that many files, one per micro-batch.
+    With ``batches`` the events are shuffled over that many files, one per micro-batch; ``then`` are events of a last one.
     """
     if batches:
         events = events.repartition(batches, F.xxhash64(*[c for c in events.columns if c == "seq"], F.lit(7)))
     source, sink = work_folder(spark, "in"), work_folder(spark, "out")
     events.write.parquet(source)
+    if then is not None:
+        then.coalesce(1).write.mode("append").parquet(source)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     reader = spark.readStream.schema(spark.read.parquet(source).schema)
     out = build((reader.option("maxFilesPerTrigger", 1) if batches else reader).parquet(source))
@@ -269,7 +271,9 @@ EXPIRING = """SELECT s_suppkey AS id, TIMESTAMP '2024-01-01 00:00:00' + CAST(s_s
 e AS (SELECT created AS ts FROM a UNION ALL SELECT created + INTERVAL 1 MINUTE FROM a WHERE id % 3 = 0 UNION ALL SELECT ends + INTERVAL 10 MINUTE FROM a WHERE id % 3 = 2)
 SELECT CAST(id AS VARCHAR) AS approval_id FROM a WHERE id % 3 <> 0 AND ends <= (SELECT max(ts) - INTERVAL 90 MINUTE FROM e)""")
 def stream_expiry(spark, sf):
-    """Approvals that the watermark finds open at their end: never decided, or too late."""
+    """Approvals that the watermark finds open at their end: never decided, or too late.
+
+    Events come shuffled over five batches, so decisions may come before what they decide; the watermark moves when a last one has come."""
     a = bind(spark, sf, EXPIRING).withColumn("created", F.col("created").cast("timestamp"))
     kind = F.col("id") % 3
     named = [F.col("id").cast("string").alias("approval_id")]
@@ -278,7 +282,10 @@ def stream_expiry(spark, sf):
     create = a.select(*named, F.lit(0).cast("long").alias("seq"), F.col("created").alias("ts"), F.lit("create").alias("action"), F.lit("tok").alias("token"), F.col("hours").cast("int").alias("expires_in_hours"))
     early = a.where(kind == 0).select(*named, F.lit(1).cast("long").alias("seq"), (F.col("created") + F.expr("INTERVAL '1' MINUTE")).alias("ts"), F.lit("approved").alias("action"), F.lit("tok").alias("token"), none)
     late = a.where(kind == 2).select(*named, F.lit(1).cast("long").alias("seq"), (ends + F.expr("INTERVAL '10' MINUTE")).alias("ts"), F.lit("approved").alias("action"), F.lit("tok").alias("token"), none)
-    out = run_stream(spark, create.unionByName(early).unionByName(late), lambda s: AP.stream_approvals(s, "90 minutes"))
+    all_ = create.unionByName(early).unionByName(late)
+    clock = all_.agg(F.max("ts").alias("ts")).select(F.lit("clock").alias("approval_id"), F.lit(9).cast("long").alias("seq"), (F.col("ts") - F.expr("INTERVAL '90' MINUTE") + F.expr("INTERVAL '100' DAY")).alias("ts"),
+                                                     F.lit("approved").alias("action"), F.lit("").alias("token"), none)
+    out = run_stream(spark, all_, lambda s: AP.stream_approvals(s, "100 days"), batches=5, then=clock)
     return out.where("seq = -1 AND status = 'expired'").select("approval_id")
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordflow.functions.scalars import strip
-from recordflow.streaming.state import OrderedProcessor
+from recordflow.streaming.state import OrderedProcessor, run_ordered
 
 DEFAULT_HOURS, LEAST_HOURS = 168, 1
 
@@ -90,24 +88,19 @@ class ApprovalProcessor(OrderedProcessor):
             status = action
         return (token, expires, status), [(key[0], seq, status, reason is None, reason)]
 
-    def folded(self, state) -> None:
-        if state[2] == "pending":
-            self.handle.registerTimer(state[1])
+    def deadline(self, state) -> int | None:
+        return state[1] if state[2] == "pending" else None
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, known, state = self._load()
-        if state[2] == "pending" and state[1] <= expiredTimerInfo.getExpiryTimeInMs():
-            yield pd.DataFrame([(key[0], -1, "expired", True, None, known)], columns=[*self.OUT, "known"])
+    def expired(self, key, state) -> list[tuple]:
+        return [(key[0], -1, "expired", True, None)]
 
 
-def stream_approvals(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stream_approvals(events: DataFrame, delay: str = "1 hour", forget_ms: int | None = None) -> DataFrame:
     """Stream twin: events approval_id, seq, ts, action (create / approved / rejected), token, expires_in_hours.
 
     Emits judged decisions, and an ``expired`` row (seq -1) when the watermark passes the expiry of a
-    pending approval. Events may arrive in any order within ``delay``; ``state.settled`` reads the rows
-    that stand, by approval and seq.
+    pending approval. Events may arrive in any order within ``delay``: a create that comes late sets the timer, a
+    decision that does deletes it. ``state.settled`` reads the rows that stand, by approval and seq. Older events are sealed, and
+    ``forget_ms`` forgets approvals that have been still for so long in event time.
     """
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return timed.groupBy("approval_id").transformWithStateInPandas(
-        statefulProcessor=ApprovalProcessor(), outputStructType="approval_id string, seq bigint, status string, accepted boolean, reason string, known bigint",
-        outputMode="append", timeMode="eventtime")
+    return run_ordered(events, "approval_id", ApprovalProcessor, "approval_id string, seq bigint, status string, accepted boolean, reason string", None, delay, forget_ms)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
 
 from recordflow.operators.jobs import PATCHED, fold_jobs
-from recordflow.streaming.state import OrderedProcessor, time_mode
+from recordflow.streaming.state import OrderedProcessor, run_ordered
 
 __all__ = ["fold_jobs", "fold_tiers", "latest_jobs", "latest_tiers", "stream_jobs", "stream_tiers"]
 
@@ -15,8 +17,8 @@ class JobProcessor(OrderedProcessor):
 
     OUT = ("job_id", "seq", "status")
 
-    def __init__(self, fields: dict[str, str], ttl_ms: int | None = None):
-        super().__init__(ttl_ms)
+    def __init__(self, fields: dict[str, str], **bounds):
+        super().__init__(**bounds)
         self.fields = list(fields)
         self.EVENT = ", ".join(["seq bigint", "action string", "status string", *(f"{n} {t}" for n, t in fields.items())])
         self.OUT = ("job_id", "seq", "status", *fields)
@@ -43,18 +45,16 @@ class JobProcessor(OrderedProcessor):
         return s, [(key[0], seq, now, *[s["set"].get(n) for n in self.fields])]
 
 
-def stream_jobs(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_jobs(events: DataFrame, ttl_ms: int | None = None, delay: str | None = None, forget_ms: int | None = None) -> DataFrame:
     """Stream twin of ``fold_jobs``: a job's status and fields after each of its events.
 
     ``deleted`` marks a job cancelled after it had started. Events may arrive in any order
-    and any batches; ``latest_jobs`` reads the jobs as they stand. ``ttl_ms`` forgets jobs that have been still
-    for so long.
+    and any batches; ``latest_jobs`` reads the jobs as they stand. With ``delay`` events carry ``ts`` and those older than that are sealed,
+    and ``forget_ms`` forgets jobs that have been still for so long in event time; without, ``ttl_ms`` does by the clock.
     """
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields if f.name in PATCHED}
-    kinds = ", ".join(f"{n} {t}" for n, t in fields.items())
-    return events.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobProcessor(fields, ttl_ms), outputStructType=f"job_id string, seq bigint, status string{', ' if kinds else ''}{kinds}, known bigint",
-        outputMode="append", timeMode=time_mode(ttl_ms))
+    kinds = "".join(f", {n} {t}" for n, t in fields.items())
+    return run_ordered(events, "job_id", partial(JobProcessor, fields), f"job_id string, seq bigint, status string{kinds}", ttl_ms, delay, forget_ms)
 
 
 def latest_jobs(rows: DataFrame) -> DataFrame:
@@ -97,15 +97,13 @@ class TierProcessor(OrderedProcessor):
         return state, []
 
 
-def stream_tiers(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_tiers(events: DataFrame, ttl_ms: int | None = None, delay: str | None = None, forget_ms: int | None = None) -> DataFrame:
     """Tier changes by customer, as billing events arrive in any order; ``latest_tiers`` reads the tiers that stand.
 
     A deletion gives a row for every key that the customer had until then. That a key has
-    moved to another customer since is known only over all rows, so it is resolved on reading.
+    moved to another customer since is known only over all rows, so it is resolved on reading. State is bounded as in ``stream_jobs``.
     """
-    return events.groupBy("customer_id").transformWithStateInPandas(
-        statefulProcessor=TierProcessor(ttl_ms), outputStructType="key_id string, customer_id string, seq bigint, tier string, checkout boolean, known bigint",
-        outputMode="append", timeMode=time_mode(ttl_ms))
+    return run_ordered(events, "customer_id", TierProcessor, "key_id string, customer_id string, seq bigint, tier string, checkout boolean", ttl_ms, delay, forget_ms)
 
 
 def latest_tiers(rows: DataFrame) -> DataFrame:

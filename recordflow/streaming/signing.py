@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordflow.operators.ordered import CHUNK, Window, hot_cuts, with_chunks
-from recordflow.streaming.state import OrderedProcessor, time_mode
+from recordflow.streaming.state import OrderedProcessor, run_ordered
 
 MAX_SIGNERS = 10
 HOT_EVENTS = 200_000
@@ -153,13 +153,13 @@ class SigningProcessor(OrderedProcessor):
         return (turn, n, cancelled), [(key[0], seq, signer, reason is None, reason, status, turn)]
 
 
-def stream_signing(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_signing(events: DataFrame, ttl_ms: int | None = None, delay: str | None = None, forget_ms: int | None = None) -> DataFrame:
     """Stream twin of ``fold_signing``: events carry ``create`` rows with the number of ``signers``.
 
     Events may arrive in any order and any batches; ``state.settled`` reads the rows that
-    stand, by session and seq. ``ttl_ms`` forgets sessions that have been still for so long.
+    stand, by session and seq. With ``delay`` events carry ``ts`` and those older than that are sealed, and ``forget_ms`` forgets sessions
+    that have been still for so long in event time; without, ``ttl_ms`` does by the clock.
     """
-    return events.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SigningProcessor(ttl_ms),
-        outputStructType="session_id string, seq bigint, signer_index int, accepted boolean, reason string, status string, current_signer_index int, known bigint",
-        outputMode="append", timeMode=time_mode(ttl_ms))
+    return run_ordered(
+        events, "session_id", SigningProcessor,
+        "session_id string, seq bigint, signer_index int, accepted boolean, reason string, status string, current_signer_index int", ttl_ms, delay, forget_ms)

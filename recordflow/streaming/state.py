@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -15,20 +16,25 @@ PLAIN = {"bigint": int, "int": int, "double": float, "string": str, "boolean": b
 class OrderedProcessor(StatefulProcessor):
     """Folds a key's events in the order of ``seq``, whatever the order in which they arrive.
 
-    The state holds a snapshot of the fold and the events it rests on. Events behind all
+    The state holds a snapshot of the fold and the events it rests on, in a map by seq. Events behind all
     known ones go on from the snapshot. When one arrives late, the key is folded anew, and
     the rows whose answer has changed are given out again. ``known``, the last column of every row, is
     the number of events it rests on: of rows with the same seq those with the largest count.
 
+    With ``seal`` the watermark bounds the state: events that it has passed can have no new predecessors, so
+    they are folded into a sealed base and leave the map, at the next event or by a timer; folding anew starts from
+    the base. That takes ``seq`` to rise with time: an event that is in time but numbered before sealed ones is
+    folded right behind them. ``forget_ms`` clears keys that have been still for so long in event time.
+
     Subclasses name ``EVENT`` (the columns kept, seq first, as DDL), ``OUT`` (columns given out,
-    without ``known``; ``seq`` is one of them), ``start`` and ``fold``.
+    without ``known``; ``seq`` is one of them), ``start`` and ``fold``, and may name a ``deadline``.
     """
 
     EVENT = ""
     OUT: tuple[str, ...] = ()
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, seal: bool = False, forget_ms: int | None = None):
+        self.ttl_ms, self.seal, self.forget_ms = ttl_ms, seal, forget_ms
 
     def start(self):
         """State before any event."""
@@ -38,67 +44,140 @@ class OrderedProcessor(StatefulProcessor):
         """State after an event, and the rows that the event gives."""
         raise NotImplementedError
 
+    def deadline(self, state) -> int | None:
+        """Time in ms at which the watermark makes ``expired`` rows of a state."""
+        return None
+
+    def expired(self, key, state) -> list[tuple]:
+        return []
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", self.EVENT, self.ttl_ms)
-        self.snapshot = handle.getValueState("snapshot", "last bigint, known bigint, state binary", self.ttl_ms)
-
-    def _replay(self, key, events: list[tuple]) -> tuple[object, dict[tuple, list[tuple]]]:
-        state, out = self.start(), {}
-        for e in sorted(events, key=self.order):
-            state, rows = self.fold(key, state, e)
-            out.setdefault(self.order(e), []).extend(rows)
-        return state, out
+        self.open = handle.getMapState("open", "seq bigint, n bigint", f"{self.EVENT}, event_ms bigint", self.ttl_ms)
+        self.snapshot = handle.getValueState(
+            "snapshot", "last bigint, known bigint, state binary, sealed bigint, base binary, least bigint, latest bigint, announced bigint", self.ttl_ms)
 
     @staticmethod
     def order(event: tuple) -> tuple:
         """Events with one seq follow by their other values, so that ties do not hang on arrival."""
         return (event[0], *[(v is not None, str(v)) for v in event[1:]])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names, kinds = zip(*[c.split() for c in self.EVENT.split(", ")])
+    def _folded(self, key, state, events: list[tuple]) -> tuple[object, dict[tuple, list[tuple]]]:
+        """State and rows after events (with their times as last values) in order."""
+        out: dict[tuple, list[tuple]] = {}
+        for e in sorted((e[:-1] for e in events), key=self.order):
+            state, rows = self.fold(key, state, e)
+            out.setdefault(self.order(e), []).extend(rows)
+        return state, out
+
+    def _arrived(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
+        names, kinds = zip(*[c.split() for c in [*self.EVENT.split(", "), "event_ms bigint"]])
         # pandas has made floats of whole numbers beside nulls; the store takes the declared kinds only.
-        new = [tuple(None if pd.isna(v) else PLAIN[k](v) for k, v in zip(kinds, e)) for pdf in rows for e in pdf[list(names)].itertuples(index=False, name=None)]
+        return [tuple(None if pd.isna(v) else PLAIN[k](v) for k, v in zip(kinds, e)) for pdf in rows for e in pdf[list(names)].itertuples(index=False, name=None)]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = self._arrived(rows)
         if not new:
             return
-        last, known, state = self._load()
-        known += len(new)
-        if last is None or min(e[0] for e in new) > last:
-            out = []
-            for e in sorted(new, key=self.order):
-                state, found = self.fold(key, state, e)
-                out += found
+        at = self._load()
+        if at["sealed"] is not None:
+            # Numbered before sealed events: right behind them.
+            new = [(max(e[0], at["sealed"] + 1), *e[1:]) for e in new]
+        if at["last"] is None or min(e[0] for e in new) > at["last"]:
+            at["state"], after = self._folded(key, at["state"], new)
+            out = [r for found in after.values() for r in found]
         else:
-            old = [tuple(e) for e in self.events.get()]
-            _, before = self._replay(key, old)
-            state, after = self._replay(key, old + new)
-            out = [r for at, found in after.items() if before.get(at) != found for r in found]
-        self.events.appendList(new)
-        self._keep(max(last if last is not None else new[0][0], *(e[0] for e in new)), known, state)
-        self.folded(state)
+            old = list(self.open.values())
+            _, before = self._folded(key, at["base"], old)
+            at["state"], after = self._folded(key, at["base"], [*map(tuple, old), *new])
+            out = [r for order, found in after.items() if before.get(order) != found for r in found]
+        for n, e in enumerate(new, at["known"]):
+            self.open.updateValue((e[0], n), e)
+        at["known"] += len(new)
+        at["last"] = max([e[0] for e in new] + ([] if at["last"] is None else [at["last"]]))
+        if self.seal:
+            times = [e[-1] for e in new if e[-1] is not None]
+            at["least"] = min([t for t in [at["least"], *times] if t is not None], default=None)
+            at["latest"] = max([t for t in [at["latest"], *times] if t is not None], default=None)
+            self._sealed(key, at, timerValues.getCurrentWatermarkInMs())
+            self._timers(at)
+        self._keep(at)
         if out:
-            yield pd.DataFrame([(*r, known) for r in out], columns=[*self.OUT, "known"])
+            yield pd.DataFrame([(*r, at["known"]) for r in out], columns=[*self.OUT, "known"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        at = self._load()
+        due = self.deadline(at["state"])
+        out = []
+        if due is not None and due <= max(now, expiredTimerInfo.getExpiryTimeInMs()) and due != at["announced"]:
+            at["announced"] = due
+            out = self.expired(key, at["state"])
+        if self.forget_ms is not None and at["latest"] is not None and at["latest"] + self.forget_ms <= now:
+            self.open.clear()
+            self.snapshot.clear()
+        else:
+            self._sealed(key, at, now)
+            self._timers(at, expiredTimerInfo.getExpiryTimeInMs())
+            self._keep(at)
+        if out:
+            yield pd.DataFrame([(*r, at["known"]) for r in out], columns=[*self.OUT, "known"])
 
-    def _load(self):
-        import pickle
+    def _sealed(self, key, at: dict, watermark: int) -> None:
+        """Fold the first open events that the watermark has passed into the base. Events without a time wait for nobody."""
+        if at["least"] is None or at["least"] > watermark:
+            return
+        held = sorted(((k, tuple(e)) for k, e in self.open.iterator()), key=lambda x: self.order(x[1][:-1]))
+        done = next((i for i, (_, e) in enumerate(held) if e[-1] is not None and e[-1] > watermark), len(held))
+        if done:
+            at["base"], _ = self._folded(key, at["base"], [e for _, e in held[:done]])
+            at["sealed"] = held[done - 1][1][0]
+            for k, _ in held[:done]:
+                self.open.removeKey(tuple(k))
+        at["least"] = min((e[-1] for _, e in held[done:] if e[-1] is not None), default=None)
+
+    def _timers(self, at: dict, fired: int | None = None) -> None:
+        """Set the timers that the state asks for and delete those it asks for no more."""
+        due = self.deadline(at["state"])
+        wanted = {due} if due is not None and due != at["announced"] else set()
+        if at["least"] is not None:
+            wanted.add(at["latest"])
+        if self.forget_ms is not None and at["latest"] is not None:
+            wanted.add(at["latest"] + self.forget_ms)
+        there = {int(t) for t in self.handle.listTimers()} - {fired}
+        for t in there - wanted:
+            self.handle.deleteTimer(t)
+        for t in wanted - there - {fired}:
+            self.handle.registerTimer(t)
+
+    def _load(self) -> dict:
         if not self.snapshot.exists():
-            return None, 0, self.start()
-        last, known, raw = self.snapshot.get()
-        return last, known, pickle.loads(bytes(raw))
-
-    def _keep(self, last: int, known: int, state) -> None:
-        import pickle
-        self.snapshot.update((last, known, pickle.dumps(state)))
+            return {"last": None, "known": 0, "state": self.start(), "sealed": None, "base": self.start(), "least": None, "latest": None, "announced": None}
+        last, known, state, sealed, base, least, latest, announced = self.snapshot.get()
+        return {"last": last, "known": known, "state": pickle.loads(bytes(state)), "sealed": sealed, "base": pickle.loads(bytes(base)), "least": least, "latest": latest, "announced": announced}
 
-    def folded(self, state) -> None:
-        """Called with the state after each batch."""
+    def _keep(self, at: dict) -> None:
+        self.snapshot.update((at["last"], at["known"], pickle.dumps(at["state"]), at["sealed"], pickle.dumps(at["base"]), at["least"], at["latest"], at["announced"]))
 
     def close(self) -> None:
         pass
 
 
-def time_mode(ttl_ms: int | None) -> str:
-    return "none" if ttl_ms is None else "processingtime"
+def run_ordered(events: DataFrame, key: str, processor: Callable[..., OrderedProcessor], out: str, ttl_ms: int | None = None,
+                delay: str | None = None, forget_ms: int | None = None) -> DataFrame:
+    """Fold a stream by key. With ``delay`` the events need ``ts``, and the watermark seals what is older; without it the state
+    keeps every event until ``ttl_ms`` of stillness."""
+    if delay is None:
+        if forget_ms is not None:
+            raise ValueError("forget_ms needs a delay")
+        events, mode = events.withColumn("event_ms", F.lit(None).cast("bigint")), "none" if ttl_ms is None else "processingtime"
+    else:
+        if ttl_ms is not None:
+            raise ValueError("with a delay keys are forgotten by forget_ms")
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_ms", F.unix_millis("ts")).withWatermark("ts", delay)
+        mode = "eventtime"
+    return events.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor(ttl_ms=ttl_ms, seal=delay is not None, forget_ms=forget_ms), outputStructType=f"{out}, known bigint", outputMode="append", timeMode=mode)
 
 
 def settled(rows: DataFrame, *by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordflow.operators import jobs as J
 from recordflow.registry.storage import run_stream
+from recordflow.session import STATE_STORE
 from recordflow.streaming import approvals as AP, jobs as SJ, signing as SG, usage as U
 from recordflow.streaming.state import settled
 
@@ -128,3 +129,66 @@ def test_usage_stream_equals_batch(spark):
     batch = U.stream_usage(d)
     closed = batch.where("window_start < timestamp'2024-01-06'")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, closed.collect()))
+
+
+def _in_batches(spark, tmp_path, frames, build):
+    """Output and checkpoint of a stream that reads one frame per micro-batch."""
+    for i, f in enumerate(frames):
+        f.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        assert len(list((tmp_path / "in").glob("part-*"))) == i + 1
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    out = build(spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    out.writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").option("path", path).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path), state
+
+
+def _state(spark, path, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(path)
+
+
+def test_sealed_state_stays_small(spark, tmp_path):
+    """Twenty batches an hour apart, each with events half an hour late: the answer is that of the whole, the
+    state holds the events of the last hours only, and jobs still for half a day are forgotten."""
+    rnd = random.Random(11)
+    rows = [(f"j{i % 3 if i < 240 else 9}", i, "create" if i < 3 or i == 240 else "update", rnd.choice(["queued", "running", "done"]), 600 * i) for i in range(400)]
+    frames = []
+    for b in range(20):
+        # Every fifth event waits for the next batch.
+        now = [r for r in rows if (r[1] // 20 == b and r[1] % 5) or (r[1] // 20 == b - 1 and r[1] % 5 == 0) or (b == 19 and r[1] // 20 == 19)]
+        frames.append(spark.createDataFrame(now, "job_id string, seq bigint, action string, status string, s bigint").select(
+            "job_id", "seq", "action", "status", F.timestamp_seconds(F.col("s") + 1704067200).alias("ts")))
+    whole = spark.createDataFrame(rows, "job_id string, seq bigint, action string, status string, s bigint").drop("s")
+    out, state = _in_batches(spark, tmp_path, frames, lambda s: SJ.stream_jobs(s, delay="6 hours", forget_ms=12 * 3_600_000))
+    assert sorted(map(str, SJ.latest_jobs(out).collect())) == sorted(map(str, J.fold_jobs(whole).collect()))
+    assert _state(spark, state, "open").count() <= 3 * 20 * 3
+    assert [r["k"] for r in _state(spark, state, "snapshot").select("key.job_id").toDF("k").collect()] == ["j9"]
+
+
+def test_timers_move(spark, tmp_path):
+    """A create that comes after its decision, a later expiry that replaces an earlier one, and a decision that takes a timer away."""
+    ts = lambda h: f"2024-01-01 {h:02d}:00:00"
+    schema = "approval_id string, seq bigint, ts string, action string, token string, expires_in_hours int"
+    batches = [
+        [("a", 0, ts(0), "create", "t", 2), ("b", 0, ts(0), "create", "t", 2), ("d", 2, ts(1), "approved", "t", None)],
+        [("a", 1, ts(1), "approved", "t", None), ("b", 1, ts(1), "create", "t", 9), ("c", 0, ts(0), "create", "t", 3), ("d", 0, ts(0), "create", "t", 2)],
+        [("z", 0, ts(8), "create", "t", 50)],
+        [("z", 1, ts(9), "approved", "wrong", None)],
+        [("z", 2, ts(20), "approved", "t", None)],
+        [("z", 3, ts(21), "approved", "t", None)],
+    ]
+    frames = [spark.createDataFrame(b, schema).withColumn("ts", F.to_timestamp("ts")) for b in batches]
+    out, state = _in_batches(spark, tmp_path, frames, lambda s: AP.stream_approvals(s, "4 hours"))
+    rows = settled(out, "approval_id", "seq")
+    assert sorted(r["approval_id"] for r in rows.where("seq = -1").collect()) == ["b", "c"]
+    assert {r["approval_id"]: r["status"] for r in rows.where("seq > 0 AND accepted").collect()} == {"a": "approved", "d": "approved", "z": "approved"}
+    assert out.where("seq = -1").count() == 2
+
+
+def test_sealed_twins_in_any_order(spark):
+    signs, sizes = signing_events(spark)
+    want = brute(signs, sizes)
+    rows = [(s, i, a, w, None, i) for s, i, a, w in signs] + [(s, -1, "create", -1, n, 0) for s, n in sizes.items()]
+    ev = spark.createDataFrame(rows, "session_id string, seq bigint, action string, signer_index int, signers int, ts bigint").withColumn("ts", F.timestamp_seconds("ts"))
+    out = settled(run_stream(spark, ev, lambda s: SG.stream_signing(s, delay="20 minutes"), batches=6), "session_id", "seq")
+    assert sorted(map(tuple, out.select("session_id", "seq", "accepted").collect())) == want
