@@ -49,6 +49,8 @@ PATTERN = re.compile(
     """, re.X | re.A)
 KINDS = ["email", "secret", "token", "iban", "phone", "ip", "date", "ssn", "number"]
 PLAIN = re.compile(rb"[0-9@]")
+# Most bits of one digest.
+SHORT = 512
 
 
 class Permuter:
@@ -59,8 +61,10 @@ class Permuter:
         self.known: dict[tuple, int] = {}
 
     def _round(self, value: int, number: int, kind: str, size: int, bits: int) -> int:
-        data = f"{kind}|{size}|{number}|{value}".encode()
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=(bits + 7) // 8).digest(), "big") & ((1 << bits) - 1)
+        data, n = f"{kind}|{size:x}|{number}|{value:x}" if bits > SHORT else f"{kind}|{size}|{number}|{value}", (bits + 7) // 8
+        # Halves of long values take more bits than one digest has: an output of any length, keyed by its input's beginning.
+        digest = hashlib.shake_256(self.key + data.encode()).digest(n) if bits > SHORT else hashlib.blake2b(data.encode(), key=self.key, digest_size=n).digest()
+        return int.from_bytes(digest, "big") & ((1 << bits) - 1)
 
     def _walk(self, x: int, size: int, kind: str, order: range) -> int:
         half = max(1, ((size - 1).bit_length() + 1) // 2)

@@ -103,3 +103,13 @@ def test_failed_matches_stay_one_to_one():
         text = f"AT12 {4111 + i} 1111 {i:04d} 1111, +1 192.168.{i % 256}.1 and DE12 5500 0000 {i:04d} 0004 4111 1111 1111 {i:04d}"
         out, n = P.Pseudonyms(KEY).rewrite(text.encode())
         assert n >= 3 and P.Pseudonyms(KEY, back=True).rewrite(out)[0].decode() == text
+
+
+@pytest.mark.parametrize("n", [32, 255, 256, 257, 300, 512, 1024, 5000])
+def test_long_values(n):
+    """Values of any length go there and back: hexadecimal tokens, mailboxes, secrets."""
+    hexes = ("0123456789abcdef" * (n // 16 + 1))[:n]
+    for text in (f"sig {hexes} end", f"mail {'ab' * (n // 2)}@{'c' * (n % 60 + 2)}.example.com", f"token={'a1' * (n // 2)}"):
+        there, found = P.Pseudonyms(b"k").rewrite(text.encode())
+        back, again = P.Pseudonyms(b"k", True).rewrite(there)
+        assert found == again == 1 and there != text.encode() and len(there) == len(text) and back == text.encode()
