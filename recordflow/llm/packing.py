@@ -56,7 +56,7 @@ def encoder(path: str):
     """Function from text to token ids by the byte-level vocabulary file at ``path``.
 
     The same vocabulary and merges run in a faster library; a text on which that one gives
-    up is encoded by the file's own.
+    up (runs of a million blanks, say) is encoded by the file's own. Added tokens of the file that stand in a text are read as such.
     """
     import public_tokenizers
     import tiktoken
@@ -64,23 +64,22 @@ def encoder(path: str):
 
     letters = _byte_letters()
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if all(c in letters for c in t)}
-    special = [t for t in vocab if t.startswith("<|") and t.endswith("|>")]
-    for t in special:
-        ranks.pop(t.encode(), None)
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        given = json.load(f)
+    special = {t["content"]: t["id"] for t in given["added_tokens"]}
+    ranks = {bytes(letters[c] for c in t): i for t, i in given["model"]["vocab"].items() if t not in special and all(c in letters for c in t)}
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     @lru_cache(maxsize=1)
     def own():
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return t
+        return Tokenizer.from_file(path)
 
     def encode(text: str) -> list[int]:
         try:
-            return fast.encode_ordinary(text)
-        except (ValueError, RuntimeError):
+            return fast.encode(text, allowed_special="all")
+        except BaseException as e:
+            # The library's own failures come as panics, which are no ordinary exceptions.
+            if not isinstance(e, (ValueError, RuntimeError)) and type(e).__name__ != "PanicException":
+                raise
             return own().encode(text, add_special_tokens=False).ids
 
     return encode
