@@ -150,3 +150,16 @@ def test_official_headers_and_short_versions(text, want):
 
 def test_sentences_end_behind_other_words():
     assert [s for _, s in L.sentences("It is rev. 2 of it. See no. 3 there. No. It ended in v. The end.")] == ["It is rev.", "2 of it.", "See no. 3 there.", "No.", "It ended in v.", "The end."]
+
+
+@pytest.mark.parametrize("part", ["in no event shall ", "this software is provided as is and ", "this is under ", "neither the names of ", "released under ", "word "])
+def test_long_sentences_take_linear_time(part):
+    """A text without sentence ends is scanned in time that grows with its length."""
+    import time
+    took = []
+    for n in (20_000, 80_000):
+        text = "in no event shall x " + part * (n // len(part))
+        start = time.perf_counter()
+        L.identifiers(text)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 0.5 and took[1] < 20
