@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from recordflow.session import materialize
 
 EXACT, CONTAINED = 100, 60
+# Characters of the parts by which containing texts are looked up.
+GRAM = 3
 
 
 def squash(text) -> Column:
@@ -12,33 +16,41 @@ def squash(text) -> Column:
     return F.regexp_replace(F.lower(F.col(text) if isinstance(text, str) else text), r"[-_\s]", "")
 
 
-def substrings(text: Column, lengths: Column) -> Column:
-    """All substrings of the given lengths, without repeats."""
-    starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.transform(starts(n), lambda i: text.substr(i, n)))))
+def grams(text: Column, n: int) -> Column:
+    """All substrings of n characters, without repeats."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: text.substr(i, F.lit(n))))
 
 
-def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
-    """Pairs (short.s, long.t) where t contains s and they differ.
+def candidates(short: DataFrame, long: DataFrame, form: str) -> DataFrame:
+    """Pairs (form, s, t) of texts of one form where t holds the rarest part of s.
 
-    A long text is looked up by its substrings of the lengths that short texts
-    have, so pairs meet in an equi-join. Both sides are distinct.
+    Long texts are listed under their parts of up to ``GRAM`` characters. A short text asks for itself if it is
+    no longer than that, else for that one of its parts that the fewest long texts of its form hold; a part
+    that none holds ends the search. Both sides are distinct and not empty.
     """
-    lengths = short.where(F.length("s") > 0).agg(F.array_sort(F.collect_set(F.length("s")))).scalar()
-    sized = long.select("t", lengths.alias("_lengths"))
-    probes = sized.select("t", F.explode(substrings(F.col("t"), F.col("_lengths"))).alias("s"))
-    return probes.join(short, "s").where(F.col("s") != F.col("t")).select("s", "t")
-
-
-def text_scores(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Scores above 0 of distinct non-empty texts and keys: (a, b, score)."""
-    a = texts.select("a").where("a <> ''").distinct()
-    b = keys.select("b").where("b <> ''").distinct()
-    equal = a.join(b, F.col("a") == F.col("b")).select("a", "b", F.lit(EXACT).alias("score"))
-    key_in_text = _contained(b.select(F.col("b").alias("s")), a.select(F.col("a").alias("t"))).select(
-        F.col("t").alias("a"), F.col("s").alias("b"))
-    text_in_key = _contained(a.select(F.col("a").alias("s")), b.select(F.col("b").alias("t"))).select(
-        F.col("s").alias("a"), F.col("t").alias("b"))
+    parts = F.flatten(F.array(*[grams(F.col("t"), n) for n in range(1, GRAM + 1)]))
+    postings = long.select(form, "t", F.explode(parts).alias("gram"))
+    whole = short.where(F.length("s") <= GRAM).select(form, "s", F.col("s").alias("gram"))
+    held = postings.where(F.length("gram") == GRAM).groupBy(form, "gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = short.where(F.length("s") > GRAM).select(form, "s", F.explode(grams(F.col("s"), GRAM)).alias("gram"))
+    rarest = asked.join(held, [form, "gram"], "left").groupBy(form, "s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("w"))
+    probes = whole.unionByName(rarest.where("w.n > 0").select(form, "s", F.col("w.gram").alias("gram")))
+    return probes.join(postings, [form, "gram"]).select(form, "s", "t")
+
+
+def contained(short: DataFrame, long: DataFrame, form: str) -> DataFrame:
+    """Pairs (form, s, t) where t contains s and they differ."""
+    return candidates(short, long, form).where(F.contains("t", "s") & (F.col("s") != F.col("t")))
+
+
+def text_scores(texts: DataFrame, keys: DataFrame, form: str) -> DataFrame:
+    """Scores above 0 of the distinct non-empty texts and keys of each form: (form, a, b, score)."""
+    a = texts.select(form, "a").where("a <> ''").distinct()
+    b = keys.select(form, "b").where("b <> ''").distinct()
+    equal = a.join(b, (a[form] == b[form]) & (F.col("a") == F.col("b"))).select(a[form], "a", "b", F.lit(EXACT).alias("score"))
+    key_in_text = contained(b.withColumnRenamed("b", "s"), a.withColumnRenamed("a", "t"), form).select(form, F.col("t").alias("a"), F.col("s").alias("b"))
+    text_in_key = contained(a.withColumnRenamed("a", "s"), b.withColumnRenamed("b", "t"), form).select(form, F.col("s").alias("a"), F.col("t").alias("b"))
     return equal.unionByName(key_in_text.unionByName(text_in_key).withColumn("score", F.lit(CONTAINED)))
 
 
@@ -46,28 +58,28 @@ def match_fields(fields: DataFrame, entries: DataFrame, record: str = "record_id
     """Best entry per (record, field).
 
     ``fields``: form, field_name, candidates ARRAY<STRING> in order of weight.
-    ``entries``: record, form, pos, key, value. Scores are made once per distinct
-    text and key; ties go to the earliest entry. Only scores of 60 and more count.
+    ``entries``: record, form, pos, key, value. Ties go to the earliest entry. Only scores of 60 and more count. The
+    distinct texts of each form and their scores are written once: they are few beside the
+    entries, and Spark then sees how few and can leave the entries where they are.
     """
     texts = fields.select(form, "field_name", F.explode("candidates").alias("text")).where(
         F.coalesce(F.col("text"), F.lit("")) != "").select(form, "field_name", squash("text").alias("a"))
+    texts = materialize(texts, "field-texts")
     keyed = entries.withColumn("b", squash("key"))
-    # Score of a field against a key text, once per form and key text. A key of
-    # separators only is contained in every text.
-    keys_of_form = keyed.select(form, "b").distinct()
+    keys_of_form = materialize(keyed.select(form, "b").distinct(), "key-texts")
+    # A key of separators only is contained in every text.
     in_all = texts.select(form, "field_name", F.lit("").alias("b"), F.when(F.col("a") == "", EXACT).otherwise(CONTAINED).alias("score"))
-    per_form = (
-        texts.join(text_scores(texts, keys_of_form), "a").select(form, "field_name", "b", "score").unionByName(in_all)
-        .join(keys_of_form, [form, "b"]).groupBy(form, "field_name", "b").agg(F.max("score").alias("score"))
-    )
+    scores = texts.join(text_scores(texts, keys_of_form, form), [form, "a"]).select(form, "field_name", "b", "score").unionByName(
+        in_all.join(keys_of_form.where("b = ''"), [form, "b"]).select(form, "field_name", "b", "score"))
+    per_form = materialize(scores.groupBy(form, "field_name", "b").agg(F.max("score").alias("score")), "text-scores")
     scored = keyed.join(per_form, [form, "b"]).select(record, form, "field_name", "pos", "key", "value", "score")
-    # A text of separators only is contained in every key, so there the earliest
-    # entry scores; forms without such a text leave this branch empty.
+    # A text of separators only is contained in every key, so there the earliest entry scores.
     blank = texts.where("a = ''").select(form, "field_name").distinct()
-    first = keyed.join(blank.select(form).distinct(), form, "left_semi").groupBy(record, form).agg(
-        F.min_by(F.struct("pos", "key", "value", "b"), "pos").alias("e"))
-    earliest = first.join(blank, form).select(
-        record, form, "field_name", "e.pos", "e.key", "e.value", F.when(F.col("e.b") == "", EXACT).otherwise(CONTAINED).alias("score"))
-    return scored.unionByName(earliest).groupBy(record, form, "field_name").agg(
+    if not blank.isEmpty():
+        first = keyed.join(blank.select(form).distinct(), form, "left_semi").groupBy(record, form).agg(
+            F.min_by(F.struct("pos", "key", "value", "b"), "pos").alias("e"))
+        scored = scored.unionByName(first.join(blank, form).select(
+            record, form, "field_name", "e.pos", "e.key", "e.value", F.when(F.col("e.b") == "", EXACT).otherwise(CONTAINED).alias("score")))
+    return scored.groupBy(record, form, "field_name").agg(
         F.max_by(F.struct("key", "value", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("m")
     ).select(record, form, "field_name", "m.key", "m.value", "m.score")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from recordflow.functions import secrets
 from recordflow.operators import cache_store as K
 from recordflow.registry.activity import APPROVALS, JOB_EVENTS, SIGN_CHAIN, SIGNS, SMALL_LIMITS, USAGE, BILLING
 from recordflow.registry.base import SQL, bind, query, table
 from recordflow.registry.forms import CACHE_ROWS, _cache
 from recordflow.session import STATE_STORE, work_folder
 from recordflow.sources import readers as R, sinks as W
-from recordflow.streaming import approvals as AP, ingest as I, jobs as SJ, signing as SG, usage as U
+from recordflow.streaming import approvals as AP, ingest as I, jobs as SJ, progress as PG, replay as RP, signing as SG, usage as U
 from recordflow.streaming.state import settled
 
 
@@ -311,3 +312,44 @@ def stream_breaches(spark, sf):
     e = bind(spark, sf, USAGE).withColumn("ts", F.col("ts").cast("timestamp"))
     out = run_stream(spark, e, lambda s: U.limit_breaches(s, SMALL_LIMITS))
     return out.withColumn("period_start", F.date_format("period_start", "yyyy-MM-dd HH:mm"))
+
+
+ARRIVALS = """SELECT event_id, event_id % 1300 AS after, event_id % 7 = 1 AS forged, again FROM {events}, (VALUES (0), (1)) r(again) WHERE again = 0 OR event_id % 4 = 0"""
+
+
+@query(f"""SELECT event_id, CASE WHEN forged THEN 'invalid signature' WHEN after + 30 * again > 600 THEN 'outside the replay window' ELSE 'accepted' END AS outcome FROM ({ARRIVALS}) GROUP BY ALL""")
+def stream_replay(spark, sf):
+    """Every fourth event is sent once more half a minute later, every seventh with a changed body; arrivals are shuffled over micro-batches."""
+    e = table(spark, sf, "events")
+    signed = e.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("signed_at"), F.concat("props", F.col("event_id").cast("string")).alias("body"), (F.col("event_id") % 7 == 1).alias("forged"),
+                      F.explode(F.when(F.col("event_id") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("seq"))
+    sent = signed.withColumn("signature", secrets.sign_event("signed_at", "body", "s3cret")).withColumn("arrived_at", F.timestamp_seconds(F.col("signed_at") + F.col("event_id") % 1300 + 30 * F.col("seq")))
+    sent = sent.withColumn("body", F.when(F.col("forged"), F.concat("body", F.lit("!"))).otherwise(F.col("body"))).select("event_id", "seq", "signed_at", "body", "signature", "arrived_at")
+    source, path = work_folder(spark, "arrivals"), work_folder(spark, "judged")
+    sent.repartition(4, F.xxhash64("event_id", "seq")).write.parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    RP.ingest_events(stream, path, path.rsplit("/", 1)[1] + "-state", secret="s3cret", delay="60 days").awaitTermination()
+    fresh = RP.accepted(spark, path).select("event_id", F.lit("accepted").alias("outcome"))
+    return fresh.unionByName(RP.refused(spark, path).select("event_id", F.col("reason").alias("outcome")))
+
+
+@query("""WITH b AS (SELECT o_orderkey % 3 AS micro_batch, count(*) AS completed, count(*) FILTER (o_orderstatus = 'F') AS successful FROM {orders} GROUP BY o_orderkey % 3)
+SELECT micro_batch, completed, successful, completed - successful AS failed, CAST(sum(completed) OVER (ORDER BY micro_batch) AS BIGINT) AS so_far FROM b""")
+def live_progress(spark, sf):
+    """Counts of each micro-batch as a listener hears them while results stream through."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_orderstatus") == "F").alias("success"))
+    source, sink = work_folder(spark, "results"), work_folder(spark, "reported")
+    for i in range(3):
+        o.where(F.col("idx") % 3 == i).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    listener = PG.LiveProgress("records")
+    spark.streams.addListener(listener)
+    try:
+        run = PG.with_progress(stream, "records").writeStream.option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).format("parquet").option("path", sink).start()
+        run.awaitTermination()
+        listener.wait(run.runId)
+    finally:
+        spark.streams.removeListener(listener)
+    ticks = listener.table(spark)
+    return ticks.select("micro_batch", "completed", "successful", "failed", F.sum("completed").over(Window.orderBy("micro_batch")).alias("so_far"))

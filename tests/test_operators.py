@@ -103,6 +103,18 @@ def squash(s):
     return "".join(c for c in s.lower() if c not in "-_ \t\n")
 
 
+def test_containment_candidates_are_few(spark):
+    """Only texts of one form meet, through the rarest part of the shorter one; no pair is lost."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcde") for _ in range(n))
+    long = {(f"f{rnd.randrange(4)}", word(rnd.randrange(1, 30))) for _ in range(300)}
+    short = {(f, t[i:i + rnd.randrange(1, 12)]) for f, t in long for i in [rnd.randrange(len(t))]} | {(f"f{rnd.randrange(5)}", word(7)) for _ in range(200)}
+    s, t = spark.createDataFrame(sorted(short), "form string, s string"), spark.createDataFrame(sorted(long), "form string, t string")
+    want = sorted((f, a, b) for f, a in short for g, b in long if f == g and a in b and a != b)
+    assert sorted(map(tuple, M.contained(s, t, "form").collect())) == want
+    assert M.candidates(s, t, "form").count() < 5 * len(want)
+
+
 def test_matching_against_brute_force(spark):
     rnd = random.Random(11)
     parts = ["first", "name", "Zip", "date-of", "_", "phone", "x", ""]
