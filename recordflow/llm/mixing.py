@@ -5,8 +5,9 @@ size; what is over is shared again among the others. A document is wanted
 ``e = target / size of its source`` times (times its relative score, if there is one, and
 ``max_copies`` at most): floor(e) copies are certain, the rest p = e - floor(e) is its
 inclusion probability. Documents are ranked by the odds of a fixed random number over the
-odds of p, and the first are taken until the source's open words are filled. The document
-at the edge stays out, and the one that fits the rest best takes the last place.
+odds of p, and the first are taken until the source's open words are filled. Documents larger than
+what is open are passed over, and further passes fill what the document at the edge would leave open with those behind
+it. At last the one that fits the rest best takes one more place.
 
 The ranking needs no sort of a source: ranks fall into ``BUCKETS`` buckets, word counts are
 added up per bucket, and only the bucket at the edge is sorted. A source with a third of all
@@ -27,6 +28,8 @@ MAX_COPIES = 2
 # Most sources whose figures are sent to every task; more are joined by a shuffle.
 FEW_SOURCES = 10_000
 ROUNDS = 8
+# Passes down the ranking. What is larger than the open words is passed over, so after the first pass little is open.
+PASSES = 4
 
 
 def targets(rows: DataFrame, weight: Column, share: float = SHARE, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -72,6 +75,25 @@ def _levels(rows: DataFrame, plan: DataFrame, few: bool, max_copies: int) -> Dat
     return level
 
 
+def _draw(r: DataFrame, few: bool) -> DataFrame:
+    """One pass down the ranking: documents not drawn yet that fit the open words are drawn from the first on until these run out."""
+    gap = r.groupBy("source").agg((F.first("need") - F.sum(F.col("size") * F.col("drawn"))).alias("open"))
+    columns, r = r.columns, _join(r, gap, few)
+    r = r.withColumn("fits", F.coalesce((F.col("drawn") == 0) & F.col("rank").isNotNull() & (F.col("size") <= F.col("open")), F.lit(False)))
+    # Words per bucket; the edge is the first bucket in which the open words run out.
+    b = r.where("fits").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("open").alias("open"))
+    up = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    b = b.withColumn("through", F.sum("words").over(up))
+    edge = b.groupBy("source").agg(F.min(F.when(F.col("through") > F.col("open"), F.col("bucket"))).alias("edge"), F.max(F.when(F.col("through") <= F.col("open"), F.col("through"))).alias("under"))
+    edge = saved(edge.select(F.col("source").alias("_source"), F.coalesce("edge", F.lit(BUCKETS + 1)).alias("edge"), F.coalesce("under", F.lit(0)).alias("under")), "mix-edge")
+    r = r.join(F.broadcast(edge) if few else edge, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    inside = F.col("fits") & F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
+    order = W.partitionBy("source").orderBy("rank", "id", "n").rowsBetween(W.unboundedPreceding, 0)
+    at_edge = r.where(inside).withColumn("drawn", (F.col("under") + F.sum("size").over(order) <= F.col("open")).cast("long"))
+    others = r.where(~inside).withColumn("drawn", F.greatest("drawn", (F.col("fits") & F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False))).cast("long")))
+    return others.unionByName(at_edge).select(*columns)
+
+
 def copies(rows: DataFrame, plan: DataFrame, seed: int = SEED, max_copies: int = MAX_COPIES, scored: bool = False) -> DataFrame:
     """Adds the plan's columns and ``copies`` to rows (id, source, size, n, score); ``n`` tells repeated rows apart.
 
@@ -88,21 +110,10 @@ def copies(rows: DataFrame, plan: DataFrame, seed: int = SEED, max_copies: int =
     u = unit(F.lit(seed), F.col("id"))
     r = r.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), u / (1 - u) * ((1 - F.col("p")) / F.col("p"))))
     r = r.withColumn("bucket", F.floor(BUCKETS * (F.col("rank") / (1 + F.col("rank")))).cast("int"))
-    # Words per bucket; the edge is the first bucket in which the open words run out.
-    b = r.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("target"))
-    b = b.withColumn("need", F.col("target") - F.sum("sure").over(W.partitionBy("source")))
-    up = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    b = b.where("bucket IS NOT NULL").withColumn("through", F.sum("words").over(up))
-    edge = b.groupBy("source").agg(F.first("need").alias("need"), F.min(F.when(F.col("through") > F.col("need"), F.col("bucket"))).alias("edge"),
-                                   F.max(F.when(F.col("through") <= F.col("need"), F.col("through"))).alias("under"))
-    edge = saved(edge.select("source", "need", F.coalesce("edge", F.lit(BUCKETS + 1)).alias("edge"), F.coalesce("under", F.lit(0)).alias("under")), "mix-edge")
-    named = edge.withColumnRenamed("source", "_source")
-    r = r.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    inside = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
-    order = W.partitionBy("source").orderBy("rank", "id", "n").rowsBetween(W.unboundedPreceding, 0)
-    at_edge = r.where(inside).withColumn("drawn", (F.col("under") + F.sum("size").over(order) <= F.col("need")).cast("long"))
-    others = r.where(~inside).withColumn("drawn", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)).cast("long"))
-    r = saved(others.unionByName(at_edge), "mix-drawn")
+    sure = r.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("need"))
+    r = saved(_join(r, sure, few).withColumn("drawn", F.lit(0).cast("long")), "mix-ranked")
+    for _ in range(PASSES):
+        r = saved(_draw(r, few), "mix-drawn")
     # The last place of each source.
     gap = r.groupBy("source").agg(F.sum(F.col("size") * F.col("drawn")).alias("drawn_words"))
     left = _join(r.where("drawn = 0 AND rank IS NOT NULL"), gap, few).withColumn("open", F.col("need") - F.col("drawn_words"))

@@ -98,8 +98,11 @@ s AS (SELECT source, source_size, CASE WHEN stop >= common THEN common * weight
 r1 AS (SELECT d.*, source_size, target, CASE WHEN size > 0 AND source_size > 0 THEN target / source_size ELSE 0 END AS wanted FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 r2 AS (SELECT *, CAST(floor(wanted) AS BIGINT) AS certain, wanted - floor(wanted) AS p FROM r1),
 r3 AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN u / (1 - u) * ((1 - p) / p) END AS rank, target - sum(certain * size) OVER (PARTITION BY source) AS need FROM r2),
-r4 AS (SELECT *, CASE WHEN rank IS NOT NULL AND sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) <= need THEN 1 ELSE 0 END AS drawn FROM r3),
-r5 AS (SELECT *, need - sum(drawn * size) OVER (PARTITION BY source) AS open FROM r4),
+p0 AS (SELECT *, 0 AS drawn, need AS open FROM r3),
+""" + "".join(f"""f{i} AS (SELECT *, drawn = 0 AND rank IS NOT NULL AND size <= open AS fits FROM p{i - 1}),
+q{i} AS (SELECT * REPLACE (CASE WHEN fits AND sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source ORDER BY CASE WHEN fits THEN rank END NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) <= open THEN 1 ELSE drawn END AS drawn) FROM f{i}),
+p{i} AS (SELECT * EXCLUDE (fits) REPLACE (need - sum(drawn * size) OVER (PARTITION BY source) AS open) FROM q{i}),
+""" for i in range(1, 5)) + """r5 AS (SELECT * FROM p4),
 last AS (SELECT source, arg_min(doc_id, row(abs(open - size), rank, doc_id)) AS doc_id FROM r5 WHERE drawn = 0 AND rank IS NOT NULL AND certain < 2 AND abs(open - size) < open GROUP BY source)
 SELECT r5.doc_id, r5.size, r5.source_size, r5.target, CAST((certain + drawn + CASE WHEN last.doc_id IS NOT NULL THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM r5 LEFT JOIN last ON r5.source IS NOT DISTINCT FROM last.source AND r5.doc_id = last.doc_id"""
