@@ -97,17 +97,20 @@ def zone_for(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         "error", F.when(F.col("zone").isNull(), F.concat(F.lit("no signature field "), "field_key")))
 
 
+# Proposed ids that are counted together.
+RANGE = 65_536
+
+
 def missing_templates(existing: DataFrame, drugs: list[tuple[str, str]], payers: list[tuple[str, str]],
                       states: list[str], target: int) -> DataFrame:
     """New stub templates, cycling through the lists, until the catalogue has ``target`` ids.
 
-    The list of proposals is never longer than ``target`` + the existing
-    ids, as at most every existing id can be skipped once.
+    ``target`` proposals are enough, as each existing id takes one place and can be skipped once at most. How many
+    are free is counted per ``RANGE`` of them; sums over the ranges before say which are wholly needed, and only the
+    range in which the target is reached is cut by place. Nothing is counted when this is planned.
     """
-    spark = existing.sparkSession
     have = existing.select("id").distinct()
-    size = have.count()
-    need = max(0, target - size)
+    need = F.greatest(F.lit(0), F.lit(target) - have.agg(F.count(F.lit(1))).scalar())
     pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), (i % len(values)).cast("int"))
     i = F.col("id")
     generic = F.replace(pick([g for _, g in drugs], i), F.lit(" "), F.lit("_"))
@@ -116,11 +119,16 @@ def missing_templates(existing: DataFrame, drugs: list[tuple[str, str]], payers:
     j = i + 1
     drug_name, payer_name, state = pick([d for d, _ in drugs], j), pick([p for p, _ in payers], j), pick(states, j)
     plan = pick([t for _, t in payers], j)
-    proposals = spark.range(need + size if need else 0).select(
+    proposals = existing.sparkSession.range(target).select(
         i.alias("seq"), F.concat_ws("_", F.lit("pa"), generic, payer, F.lower(pick(states, i)), F.concat(F.lit("stub"), i.cast("string"))).alias("id"),
         F.concat(drug_name, F.lit(" PA — "), payer_name, F.lit(" ("), state, F.lit(") [catalog stub]")).alias("name"),
         drug_name.alias("drug_name"), payer_name.alias("payer_name"), plan.alias("plan_type"), state.alias("state"))
-    return proposals.join(have, "id", "left_anti").orderBy("seq").limit(need)
+    free = proposals.join(have, "id", "left_anti").withColumn("_range", F.floor(F.col("seq") / RANGE))
+    counts = free.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per range: target / RANGE rows.
+    before = counts.select("_range", "_n", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before")).where(F.col("_before") < need)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("seq"))
+    return free.join(before, "_range").withColumn("_place", F.col("_before") + place).where(F.col("_place") <= need).select(*proposals.columns)
 
 
 def patch_catalog(catalog: DataFrame, patch: DataFrame, column: str = "signature_fields") -> tuple[DataFrame, DataFrame]:

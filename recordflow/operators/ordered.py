@@ -64,14 +64,16 @@ def hot_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], hot_rows: i
 
     The cuts are quantiles of the order values, so that chunks hold about as many rows however
     the values are spread; rows with equal values stay together. They are approximate, so the table (at most
-    rows / hot_rows groups) is written once and shared by all that must cut alike.
+    rows / hot_rows groups) is written once and shared by all that must cut alike. Where the rows are too few for
+    any hot group, or a count of the groups alone finds none, nothing is written.
     """
     at = _numbers(df, order)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    if df.count() <= hot_rows or sizes.isEmpty():
+        return None
     ends = [f(c).alias(f"_{n}{i}") for i, c in enumerate(at) for n, f in (("lo", F.min), ("hi", F.max))]
     hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *ends).where(F.col("_n") > hot_rows)
     hot = materialize(hot, "hot-groups")
-    if hot.isEmpty():
-        return None
     rows = df.select(*by, *[c for c in order if c not in by]).alias("d").join(hot.alias("h"), _same(by, "d", "h")).select("d.*", *[f"h.{c}" for c in hot.columns if c not in by])
     grid = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
     cuts = rows.groupBy(*by).agg(F.percentile_approx(_place(_numbers(df, order)), grid, 10 * QUANTILES).alias("_grid"), F.first("_n").alias("_n"),

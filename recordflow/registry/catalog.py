@@ -87,18 +87,26 @@ def zone_for(spark, sf):
     return K.zone_for(asked, catalog(spark, sf)).select("l_orderkey", "l_linenumber", "l_partkey", "zone.x_pct", "error")
 
 
-DRUGS = [("Linzess", "linaclotide"), ("Xifaxan", "rifaximin"), ("Viberzi", "eluxadoline")]
-PAYERS = [("Molina Health", "medicaid"), ("Caremark", "commercial")]
 
 
-@query(f"""WITH n AS (SELECT greatest(0, 3000 - count(*) - 3) AS need FROM {{part}}), i AS (SELECT unnest(range(6000)) AS seq),
-p AS (SELECT seq, 'pa_' || {pick([g for _, g in DRUGS], 'seq')} || '_' || {pick(['molina_healt', 'caremark'], 'seq')} || '_' || lower({pick(STATES, 'seq')}) || '_stub' || CAST(seq AS VARCHAR) AS id,
-{pick([d for d, _ in DRUGS], '(seq + 1)')} AS drug_name, {pick([x for x, _ in PAYERS], '(seq + 1)')} AS payer_name, {pick([x for _, x in PAYERS], '(seq + 1)')} AS plan_type, {pick(STATES, '(seq + 1)')} AS state FROM i)
-SELECT seq, id, drug_name || ' PA — ' || payer_name || ' (' || state || ') [catalog stub]' AS name, drug_name, payer_name, plan_type, state FROM p WHERE seq NOT IN (1, 5, 7)
-ORDER BY seq LIMIT (SELECT need FROM n)""")
+@query(f"""WITH i AS (SELECT unnest(range((SELECT count(*) + 1000 FROM {{part}}))) AS seq),
+d AS (SELECT t, lower(t) AS g, row_number() OVER (ORDER BY t) - 1 AS at, count(*) OVER () AS n FROM (SELECT DISTINCT p_type AS t FROM {{part}})),
+b AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS at, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand AS t FROM {{part}})),
+p AS (SELECT seq, 'pa_' || d0.g || '_' || substr(lower(b0.t), 1, 12) || '_' || lower({pick(STATES, 'seq')}) || '_stub' || CAST(seq AS VARCHAR) AS id,
+d1.t AS drug_name, b1.t AS payer_name, CASE WHEN b1.at % 2 = 0 THEN 'medicaid' ELSE 'commercial' END AS plan_type, {pick(STATES, '(seq + 1)')} AS state
+FROM i JOIN d d0 ON seq % d0.n = d0.at JOIN d d1 ON (seq + 1) % d1.n = d1.at JOIN b b0 ON seq % b0.n = b0.at JOIN b b1 ON (seq + 1) % b1.n = b1.at)
+SELECT seq, id, drug_name || ' PA — ' || payer_name || ' (' || state || ') [catalog stub]' AS name, drug_name, payer_name, plan_type, state FROM p WHERE seq >= 500 OR seq % 7 <> 3
+ORDER BY seq LIMIT 1000 - (SELECT count(*) FROM range(500) r(k) WHERE k % 7 = 3)""")
 def missing_templates(spark, sf):
-    stubs = spark.createDataFrame([("pa_rifaximin_caremark_ri_stub1",), ("pa_eluxadoline_caremark_ri_stub5",), ("pa_rifaximin_caremark_ny_stub7",)], "id string")
-    return K.missing_templates(catalog(spark, sf).select("id").unionByName(stubs), DRUGS, PAYERS, STATES, 3000)
+    """The catalogue has all parts and some stubs already; drugs and payers are the parts' types and brands."""
+    def names(column):
+        return [r[0] for r in table(spark, sf, "part").select(column).distinct().orderBy(column).collect()]
+
+    drugs = [(t, t.lower()) for t in names("p_type")]
+    payers = [(b, "commercial" if i % 2 else "medicaid") for i, b in enumerate(names("p_brand"))]
+    have = catalog(spark, sf).select("id")
+    stubs = K.missing_templates(have.limit(0), drugs, payers, STATES, 500).where("seq % 7 = 3").select("id")
+    return K.missing_templates(have.unionByName(stubs), drugs, payers, STATES, table(spark, sf, "part").count() + 1000)
 
 
 @query(f"""SELECT 'catalog' AS kind, id, CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END AS zones, NULL AS outcome FROM {SQL_CATALOG}

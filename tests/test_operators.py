@@ -115,6 +115,18 @@ def test_containment_candidates_are_few(spark):
     assert M.candidates(s, t, "form").count() < 5 * len(want)
 
 
+def test_missing_templates_fill_ranges(spark, monkeypatch):
+    """The first free ids, whatever ranges they lie in."""
+    lists = ([("D", "g")], [("P", "medicaid")], ["TX"])
+    monkeypatch.setattr(K, "RANGE", 10)
+    name = lambda i: f"pa_g_p_tx_stub{i}"
+    have = [name(i) for i in [*range(3, 27), 40, 41]] + ["other", "other"]
+    got = K.missing_templates(spark.createDataFrame([(x,) for x in have], "id string"), *lists, 60)
+    want = [i for i in range(60) if name(i) not in have][:60 - len(set(have))]
+    assert sorted(r["seq"] for r in got.collect()) == want and len(want) == 33
+    assert K.missing_templates(spark.createDataFrame([(x,) for x in have], "id string"), *lists, 20).count() == 0
+
+
 def test_matching_against_brute_force(spark):
     rnd = random.Random(11)
     parts = ["first", "name", "Zip", "date-of", "_", "phone", "x", ""]
