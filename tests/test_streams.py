@@ -189,6 +189,6 @@ def test_sealed_twins_in_any_order(spark):
     signs, sizes = signing_events(spark)
     want = brute(signs, sizes)
     rows = [(s, i, a, w, None, i) for s, i, a, w in signs] + [(s, -1, "create", -1, n, 0) for s, n in sizes.items()]
-    ev = spark.createDataFrame(rows, "session_id string, seq bigint, action string, signer_index int, signers int, ts bigint").withColumn("ts", F.timestamp_seconds("ts"))
+    ev = spark.createDataFrame(rows, "session_id string, seq bigint, action string, signer_index int, signers int, ts bigint").withColumn("ts", F.timestamp_seconds(F.col("ts") + 1704067200))
     out = settled(run_stream(spark, ev, lambda s: SG.stream_signing(s, delay="20 minutes"), batches=6), "session_id", "seq")
     assert sorted(map(tuple, out.select("session_id", "seq", "accepted").collect())) == want
