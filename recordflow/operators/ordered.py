@@ -174,6 +174,11 @@ def reading_order(fields: DataFrame) -> DataFrame:
     return fields.orderBy(*docs, "page", "y", "x")
 
 
+def number_fields(fields: DataFrame, name: str = "place", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Fields with their place in reading order within the document, from 1; ties by name."""
+    return with_index(fields, "doc_id", ["page", "y", "x", "name"], name, hot_rows)
+
+
 def parse_ranges(spec: Column) -> Column:
     """'1-3,4-7,8' to an array of (label, first, last, error)."""
     parts = F.filter(F.transform(F.split(spec, ","), lambda p: strip(p)), lambda p: p != "")

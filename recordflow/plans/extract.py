@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from recordflow.functions.scalars import leaf_name
-from recordflow.operators.layout import inspect_form
-from recordflow.operators.ordered import last_wins, ordered_union
+from recordflow.functions.scalars import field_kind, leaf_name
+from recordflow.operators.layout import field_labels
+from recordflow.operators.ordered import last_wins
 
 
 def resolve_leaf(inspected: DataFrame, values: DataFrame) -> DataFrame:
@@ -21,19 +21,29 @@ def extract(values: DataFrame, fields: DataFrame | None = None, words: DataFrame
     """Rows doc_id, name, label, value, page, field_type, source, position.
 
     ``values``: doc_id, pos, full_name, value. With ``fields`` and ``words`` names
-    are labelled, and detected ones come first. Sort by source, position, name.
+    are labelled, and detected ones come first. Sort by source, position, name;
+    ``position`` is (page, y, x), null for names that were not detected.
+
+    A full name and the leaf it may stand for share their last part, so labelled fields and
+    values meet in one exchange by document and last part, and all that follows stays there.
     """
-    read = values.select("doc_id", F.col("full_name").alias("name"), F.coalesce("value", F.lit("")).alias("value"))
+    place = "struct<page:int,y:int,x:int>"
+    read = values.select("doc_id", F.col("full_name").alias("name"), F.coalesce("value", F.lit("")).alias("value"), "pos")
     if fields is None or words is None:
         empty = [F.lit(None).cast(t).alias(n) for n, t in (("label", "string"), ("page", "int"), ("field_type", "string"))]
-        return read.select("doc_id", "name", empty[0], "value", *empty[1:], F.lit(1).alias("source"), F.lit(0).cast("long").alias("position"))
-    seen = inspect_form(fields, words).join(fields.select("doc_id", "name", "page", "y", "x").distinct(), ["doc_id", "name", "page", "y"])
-    named = resolve_leaf(seen, values).withColumn(
-        "position", (F.col("page").cast("long") * 100000 + F.col("y")) * 100000 + F.col("x"))
-    order = ordered_union(named.select("doc_id", F.col("full_name").alias("name"), "position"), read.select("doc_id", "name"), "doc_id", "name", "position")
-    facts = last_wins(named.select("doc_id", F.col("full_name").alias("name"), "position", "label", "page", "field_type"), ["doc_id", "name"], "position")
-    return (
-        order.join(facts.drop("position"), ["doc_id", "name"], "left").join(read, ["doc_id", "name"], "left")
-        .select("doc_id", "name", "label", F.coalesce("value", F.lit("")).alias("value"), (F.col("page") + 1).cast("int").alias("page"),
-                "field_type", "source", "position")
-    )
+        return read.select("doc_id", "name", empty[0], "value", *empty[1:], F.lit(1).alias("source"), F.lit(None).cast(place).alias("position"))
+    seen = field_labels(fields, words).select(
+        "doc_id", "name", F.struct("page", "y", "x").cast(place).alias("at"), "label", (F.col("page") + 1).cast("int").alias("page"), field_kind("type").alias("field_type"))
+    both = seen.unionByName(read, allowMissingColumns=True).withColumn("_leaf", leaf_name("name")).repartition("doc_id", "_leaf")
+    family, detected = Window.partitionBy("doc_id", "_leaf"), F.col("at").isNotNull()
+    # The last full name of a leaf is the field's name; names with dots stand for themselves.
+    last = F.max_by(F.when(~detected, F.col("name")), F.when(~detected, F.col("pos"))).over(family)
+    named = both.withColumn("name", F.when(detected & (F.col("name") == F.col("_leaf")), F.coalesce(last, F.col("name"))).otherwise(F.col("name")))
+    same = Window.partitionBy("doc_id", "_leaf", "name")
+    known = named.select(
+        "*", F.max_by(F.when(detected, F.struct("label", "page", "field_type")), "at").over(same).alias("_facts"), F.min("at").over(same).alias("position"),
+        F.min(detected.cast("int")).over(same).alias("_unread"), F.row_number().over(same.orderBy(F.col("at"))).alias("_nth"))
+    # Every value is a row; a field without a value is one.
+    kept = known.where(~detected | ((F.col("_unread") == 1) & (F.col("_nth") == 1)))
+    return kept.select("doc_id", "name", "_facts.label", F.coalesce("value", F.lit("")).alias("value"), "_facts.page", "_facts.field_type",
+                       F.when(F.col("position").isNull(), 1).otherwise(0).alias("source"), "position")

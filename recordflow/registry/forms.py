@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordflow.functions import fixed
-from recordflow.operators import cache as K, cache_store as ST, layout as L, matching as M, reports as A
+from recordflow.operators import cache as K, cache_store as ST, layout as L, matching as M, ordered as O, reports as A
 from recordflow.plans import extract as X, fill as P
 from recordflow.plans.bundle import to_bundle
 from recordflow.registry.base import bind, duck, pick, query, table
@@ -87,9 +87,7 @@ def labeled_fields(spark, sf):
 
 @query(f"WITH {W} SELECT doc_id, page, y, x, name, row_number() OVER (PARTITION BY doc_id ORDER BY page, y, x, name) AS place FROM f")
 def reading_order(spark, sf):
-    f = fields(spark, sf).withColumn("_at", (F.col("page") * 1000 + F.col("y")) * 1000 + F.col("x"))
-    from recordflow.operators.ordered import with_index
-    return with_index(f, "doc_id", ["_at", "name"], "place").select("doc_id", "page", "y", "x", "name", "place")
+    return O.number_fields(fields(spark, sf)).select("doc_id", "page", "y", "x", "name", "place")
 
 
 @query("""SELECT page_id AS doc_id, 'f' || CAST(page_id AS VARCHAR) AS name, CASE WHEN page_id % 3 = 0 THEN '/Tx' ELSE '/Btn' END AS type, 0 AS page,

@@ -188,6 +188,14 @@ def test_extract(spark):
     words = spark.createDataFrame([("d", 0, 0, "Doctor", 50.0, 90.0, 52.0)], "doc_id string, page int, word_no int, text string, x0 double, x1 double, top double")
     got = [tuple(r) for r in X.extract(values, fields, words).orderBy("source", "position", "name").select("name", "label", "value", "page", "field_type").collect()]
     assert got == [("F.P.a", "Doctor", "1", 1, "text"), ("z", "z", "", 1, "checkbox"), ("b", None, "", None, None)]
+    # Places far below, left of and above the page's origin keep their order; a repeated value keeps its rows, a name with dots stands for itself.
+    far = spark.createDataFrame([("d", n, "/Tx", p, 100, 140, x, y) for n, p, x, y in (("q", 0, -7, 200_000), ("r", 0, 150_000, 200_000), ("t.u", 1, 0, -50), ("v", 0, 5, -3))], fields.schema)
+    more = spark.createDataFrame([("d", 0, "A.q", "1"), ("d", 1, "B.q", "2"), ("d", 2, "t.u", "3"), ("d", 3, "t.u", "4"), ("e", 0, "q", "5"), ("d", 4, "A.q", None)], values.schema)
+    got = [tuple(r) for r in X.extract(more, far, words).orderBy("source", "position", "name", "doc_id", "value").select("doc_id", "name", "value", "page").collect()]
+    assert got == [("d", "v", "", 1), ("d", "A.q", "", 1), ("d", "A.q", "1", 1), ("d", "r", "", 1), ("d", "t.u", "3", 2), ("d", "t.u", "4", 2), ("d", "B.q", "2", None), ("e", "q", "5", None)]
+    assert [tuple(r) for r in O.reading_order(far).select("name").collect()] == [("v",), ("q",), ("r",), ("t.u",)]
+    for hot in (1, 100):
+        assert rows(O.number_fields(far, hot_rows=hot), "place", "name") == [(1, "v"), (2, "q"), (3, "r"), (4, "t.u")]
     plain = X.extract(values)
     assert rows(A.extract_summary(plain, values), "fields_detected", "non_empty_fields", "hint") == [(2, 1, None)]
 
