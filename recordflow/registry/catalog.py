@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from recordflow.operators import catalog as K
+from pyspark.sql import DataFrame, functions as F
+
+from recordflow.operators import catalog as K, catalog_index as IX
 from recordflow.registry.base import pick, query, table
+from recordflow.session import work_folder
 
 STATES = ["TX", "RI", "CA", "NY"]
 
@@ -61,6 +64,16 @@ def search_catalog(spark, sf):
     return out
 
 
+@query(" UNION ALL ".join(f"SELECT '{n}' AS search, id FROM {SQL_CATALOG} WHERE {w}" for n, _, w in [*SEARCHES, ("short", {}, "contains(lower(drug), 'a ')"), ("both", {}, "contains(lower(drug), 'ed') AND contains(lower(payer), 'rand#3')")]))
+def search_index(spark, sf):
+    """The same searches, one by a term shorter than the index's parts and one by two names, from an index."""
+    path = work_folder(spark, "catalog-index")
+    IX.build_index(catalog(spark, sf), path)
+    asked = [(n, args) for n, args, _ in SEARCHES] + [("short", dict(drug="A ")), ("both", dict(drug="ed", payer="RAND#3"))]
+    found = [IX.search_ids(spark, path, **args).select(F.lit(n).alias("search"), "id") for n, args in asked]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(f"SELECT id, 'patient' AS key, 2 AS n FROM {SQL_CATALOG} WHERE k % 8 = 0")
 def duplicate_keys(spark, sf):
     return K.duplicate_keys(catalog(spark, sf))

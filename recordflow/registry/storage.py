@@ -207,6 +207,79 @@ def read_profiles(spark, sf):
     return R.read_profiles(spark, path).select("id", "name", F.col("data")["used"].cast("bigint").alias("used"))
 
 
+def _one_file_each(d: DataFrame, path: str) -> str:
+    """Every row as a document in a folder of its id, and one more file that cannot be read."""
+    d.withColumn("k", d[d.columns[0]]).write.partitionBy("k").json(path)
+    d.sparkSession.range(1).select(F.lit("{broken").alias("value")).write.text(f"{path}/k=broken")
+    return path
+
+
+@query("""SELECT 't' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN 'brand ' || CAST(s_nationkey AS VARCHAR) END AS payer, CAST(s_suppkey % 3 AS INTEGER) AS question_count,
+'k=t' || CAST(s_suppkey AS VARCHAR) AS folder FROM {supplier} WHERE s_suppkey % 7 > 0""")
+def read_catalog(spark, sf):
+    """Manifests in folders; those without a name, and a broken one, are left out."""
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    question = F.struct(F.lit("k").alias("key"), F.lit("t").alias("text"))
+    m = s.select(F.concat(F.lit("t"), k.cast("string")).alias("id"), F.when(k % 7 > 0, F.col("s_name")).alias("name"), F.array_repeat(question, (k % 3).cast("int")).alias("questions"),
+                 F.when(k % 3 > 0, F.struct(F.concat(F.lit("brand "), F.col("s_nationkey").cast("string")).alias("name"))).alias("payer"))
+    got = R.read_catalog(spark, _one_file_each(m, work_folder(spark, "catalog")), "*.json")
+    return got.select("id", "name", F.col("payer.name").alias("payer"), F.size("questions").alias("question_count"), "folder")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS session_id, s_name AS title, CAST(s_suppkey % 2 AS INTEGER) AS current_signer_index, n AS signer, 'signer ' || CAST(s_nationkey + n AS VARCHAR) AS name, CAST(n * 12.5 AS DOUBLE) AS x_pct
+FROM {supplier}, (VALUES (0), (1), (2)) v(n) WHERE n <= s_suppkey % 3""")
+def read_sessions(spark, sf):
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    signers = F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), lambda n: F.struct(n.alias("index"), F.concat(F.lit("signer "), (F.col("s_nationkey") + n).cast("string")).alias("name"), (n * 12.5).alias("x_pct")))
+    d = s.select(k.cast("string").alias("session_id"), F.col("s_name").alias("title"), (k % 2).cast("int").alias("current_signer_index"), signers.alias("signers"))
+    got = R.read_sessions(spark, _one_file_each(d, work_folder(spark, "sessions")), "*.json")
+    return got.select("session_id", "title", "current_signer_index", F.explode("signers").alias("g")).select(
+        "session_id", "title", "current_signer_index", F.col("g.index").alias("signer"), "g.name", "g.x_pct")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS approval_id, s_name AS title, CASE s_suppkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN s_suppkey % 2 = 0 THEN 'no "x"' || chr(10) || s_name END AS comment FROM {supplier}""")
+def read_approvals(spark, sf):
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    status = F.when(k % 3 == 0, "pending").when(k % 3 == 1, "approved").otherwise("rejected")
+    d = s.select(k.cast("string").alias("approval_id"), F.col("s_name").alias("title"), status.alias("status"), F.when(k % 2 == 0, F.concat(F.lit('no "x"\n'), "s_name")).alias("comment"))
+    return R.read_approvals(spark, _one_file_each(d, work_folder(spark, "approvals")), "*.json").select("approval_id", "title", "status", "comment")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 4 > 0 THEN 'pro' END AS tier, CAST(s_nationkey AS BIGINT) * 10000000000 AS request_count FROM {supplier}")
+def read_api_keys(spark, sf):
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    d = s.select(k.cast("string").alias("id"), F.when(k % 4 > 0, "pro").alias("tier"), (F.col("s_nationkey").cast("long") * 10_000_000_000).alias("request_count"))
+    return R.read_api_keys(spark, _one_file_each(d, work_folder(spark, "keys"))).select("id", "tier", "request_count")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS fingerprint, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey * 86400 END AS cached_at, 'Zip' AS field_name, CAST(s_nationkey AS VARCHAR) AS value, CAST(s_suppkey % 4 AS DOUBLE) / 4 AS confidence FROM {supplier}")
+def read_cache_documents(spark, sf):
+    """Cached mappings; a time that cannot be read is null."""
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    at = F.when(k % 5 > 0, F.date_format(F.timestamp_seconds(k.cast("long") * 86400), "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("soon")
+    mapped = F.create_map(F.lit("Zip"), F.struct(F.col("s_nationkey").cast("string").alias("value"), (k % 4 / 4).cast("double").alias("confidence"), F.lit("model").alias("source")))
+    d = s.select(k.cast("string").alias("fingerprint"), F.lit(1).alias("version"), at.alias("cached_at"), mapped.alias("mappings"))
+    got = R.read_cache_documents(spark, _one_file_each(d, work_folder(spark, "cached")))
+    return got.select("fingerprint", F.unix_seconds("cached_at").alias("cached_at"), F.explode("mappings").alias("field_name", "m")).select("fingerprint", "cached_at", "field_name", "m.value", "m.confidence")
+
+
+@query("""SELECT o_orderkey AS job_id, o_orderkey % 3 AS micro_batch, CASE o_orderstatus WHEN 'F' THEN 'job.done' ELSE 'job.failed' END AS event FROM {orders} WHERE o_orderstatus IN ('F', 'P')""")
+def on_batch(spark, sf):
+    """A hook that gets every micro-batch of finished jobs and posts their events: here to a table, one folder per batch, so that a replayed batch replaces itself."""
+    o = table(spark, sf, "orders")
+    source, posted = work_folder(spark, "finished"), work_folder(spark, "posted")
+    for i in range(3):
+        o.where(F.col("o_orderkey") % 3 == i).select("o_orderkey", "o_orderstatus").coalesce(1).write.mode("append").parquet(source)
+
+    def post(batch: DataFrame, number: int) -> None:
+        event = F.when(F.col("o_orderstatus") == "F", "job.done").otherwise("job.failed")
+        batch.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderkey") % 3, event.alias("event")).toDF("job_id", "micro_batch", "event").write.mode("overwrite").parquet(f"{posted}/number={number}")
+
+    stream = spark.readStream.schema("o_orderkey long, o_orderstatus string").option("maxFilesPerTrigger", 1).parquet(source).where("o_orderstatus IN ('F', 'P')")
+    I.on_batch(stream, post, posted.rsplit("/", 1)[1] + "-state").awaitTermination()
+    return spark.read.parquet(posted).select("job_id", "micro_batch", "event")
+
+
 @query("SELECT count(*) AS completed, count(*) FILTER (o_orderstatus = 'F') AS successful, count(*) FILTER (o_orderstatus IS DISTINCT FROM 'F') AS failed FROM {orders}")
 def observed(spark, sf):
     """Metrics gathered while the rows pass on to a sink."""

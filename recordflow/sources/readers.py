@@ -139,9 +139,9 @@ def read_documents(spark: SparkSession, path: str, schema: str, glob: str | None
     return reader.json(path)
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, glob: str = "manifest.json") -> DataFrame:
     """Manifests of a catalogue, in folder order when sorted by ``folder``."""
-    docs = read_documents(spark, path, MANIFEST, "manifest.json")
+    docs = read_documents(spark, path, MANIFEST, glob)
     return docs.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("folder")).where(
         F.col("id").isNotNull() & F.col("name").isNotNull())
 
@@ -162,12 +162,12 @@ def stream_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(AUDIT).option("mode", "DROPMALFORMED").json(path).where(F.col("audit_id").isNotNull())
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return read_documents(spark, path, SESSION, "sess_*.json")
+def read_sessions(spark: SparkSession, path: str, glob: str = "sess_*.json") -> DataFrame:
+    return read_documents(spark, path, SESSION, glob)
 
 
-def read_approvals(spark: SparkSession, path: str) -> DataFrame:
-    return read_documents(spark, path, APPROVAL, "appr_*.json")
+def read_approvals(spark: SparkSession, path: str, glob: str = "appr_*.json") -> DataFrame:
+    return read_documents(spark, path, APPROVAL, glob)
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
