@@ -111,22 +111,32 @@ def transcripts(messages: DataFrame, top: int = 1, learned: str = LEARNED) -> Da
     return by.select("conv", "leaf", F.concat(text, F.lit(STOP)).alias("formatted"), runs.alias("mask"))
 
 
-def read_back(formatted: DataFrame, learned: str = LEARNED) -> DataFrame:
-    """(conv, leaf, formatted, turns array of (role, text)) read from the transcripts alone."""
+def learned_text(pieces: Column, mask: Column) -> Column:
+    """All text under the loss mask, unescaped. Runs of the mask are laid over the messages of a transcript
+    one by one, so that the work grows with its length; a mask that does not fit the messages fails."""
+    def under(piece: Column, i: Column) -> Column:
+        head, body, end = (F.get(mask, 3 * i + n) for n in range(3))
+        fits = (F.char_length(piece) == head["length"] + body["length"]) & (end["length"] == len(STOP))
+        found = F.concat(*[F.when(run["loss"], F.substr(piece, at, run["length"])).otherwise("") for run, at in ((head, F.lit(1)), (body, head["length"] + 1))], F.when(end["loss"], STOP).otherwise(""))
+        return F.when(F.coalesce(fits, F.lit(False)), unescape(found)).otherwise(F.raise_error("the mask does not fit the transcript").cast("string"))
+    return F.array_join(F.transform(pieces, under), "")
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """(conv, leaf, formatted, mask, loss, turns array of (role, text)) read from the transcripts alone; ``loss`` is the text under the mask."""
     pieces = F.split(F.expr("left(formatted, char_length(formatted) - %d)" % len(STOP)), r"<\|im_end\|>\n", -1)
     bare = F.transform(pieces, lambda p: F.substr(p, F.lit(len(START) + 1)))
     turn = F.transform(bare, lambda p: F.struct(
         unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.substr(p, F.char_length(F.substring_index(p, "\n", 1)) + 2)).alias("text")))
-    return formatted.select("conv", "leaf", "formatted", "mask", turn.alias("turns"))
+    return formatted.select("conv", "leaf", "formatted", "mask", learned_text(pieces, F.col("mask")).alias("loss"), turn.alias("turns"))
 
 
-def figures(read: DataFrame, learned: str = LEARNED) -> DataFrame:
-    """Digests of what was read back; the mask must cover the text and agree with the roles."""
+def figures(read: DataFrame) -> DataFrame:
+    """Digests of what was read back; those of the loss are of the text under the mask."""
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == learned), lambda t: t["text"]), "")
     covered = F.aggregate("mask", F.lit(0).cast("long"), lambda a, r: a + r["length"])
     masked = F.aggregate("mask", F.lit(0).cast("long"), lambda a, r: a + F.when(r["loss"], r["length"]).otherwise(0))
     return read.select(
         F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"), covered.alias("mask_chars"), masked.alias("masked_chars"))

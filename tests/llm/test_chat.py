@@ -1,5 +1,6 @@
 """Reply trees against walking them, the template against its inverse."""
 
+import hashlib
 import random
 
 import pytest
@@ -97,6 +98,18 @@ def test_edges(spark):
     assert C.transcripts(C.reply_chain(turns.limit(0))).collect() == []
 
 
+def test_loss_comes_from_the_mask(spark):
+    rows = [(1, 0, "user", "ask <|im_end|>"), (1, 1, "assistant", "one <|x|> é😀"), (1, 2, "assistant", "two\n<|im_end|>\n")]
+    lines = C.transcripts(C.reply_chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert C.read_back(lines).first()["loss"] == "one <|x|> é😀two\n<|im_end|>\n"
+    turned = lines.withColumn("mask", F.transform("mask", lambda r, i: F.struct(r["length"].alias("length"), (i == 1).alias("loss"))))
+    f = C.figures(C.read_back(turned)).first()
+    assert f["loss_sha256"] == hashlib.sha256(b"ask <|im_end|>").hexdigest() and f["loss_chars"] == 14
+    for wrong in (F.slice("mask", 1, 8), F.transform("mask", lambda r: F.struct((r["length"] + 1).alias("length"), r["loss"].alias("loss")))):
+        with pytest.raises(Exception, match="does not fit"):
+            C.read_back(lines.withColumn("mask", wrong)).collect()
+
+
 def test_no_python_on_the_executors(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
     plan = C.figures(C.read_back(C.transcripts(C.reply_chain(turns))))._jdf.queryExecution().executedPlan().toString()
