@@ -26,7 +26,7 @@ RAW = frozenset("script style textarea title noscript template iframe noembed no
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr
     html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul""".split())
-DROPPED = frozenset("""nav footer aside form script style noscript template iframe object embed applet button select textarea input label fieldset legend datalist dialog menu
+DROPPED = frozenset("""nav footer aside script style noscript template iframe object embed applet button select textarea input label fieldset legend datalist dialog menu
     head title svg math canvas audio video map noframes noembed search""".split())
 CLOSES_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav
     ol p pre search section summary table ul""".split())
@@ -143,7 +143,8 @@ def parse(html: str) -> Node:
             here = stack[-1]
             inside = any(n.name in ("article", "main") for n in stack)
             node = Node(name, here, here.gone or _boilerplate(name, attributes, inside))
-            node.hint = _hint(name, attributes)
+            # A form goes with its controls, but for one around the article or most of the page.
+            node.hint = 3 if name == "form" else _hint(name, attributes)
             here.parts.append(node)
             if name not in VOID and not attributes.endswith("/") or name in BLOCKS and name not in VOID:
                 stack.append(node)
@@ -208,11 +209,11 @@ def set_aside(root: Node) -> list[tuple[Node, list[Node]]]:
     for n in nodes:
         if n.parent is not None and id(n.parent) in inside:
             back = inside[id(n)] = inside[id(n.parent)]
-            if back is not None and n.hint and (n.hint == 2 or 2 * links[id(n)] > chars[id(n)]):
+            if back is not None and n.hint and (n.hint >= 2 or 2 * links[id(n)] > chars[id(n)]):
                 inside[id(n)] = None  # what means boilerplate stays out
             elif back is not None:
                 back.append(n)
-        elif n.hint and n.name not in KEPT and not (n.name not in HEADINGS and holds[id(n)]) and not (n.hint == 1 and 2 * (chars[id(n)] - links[id(n)]) > plain):
+        elif n.hint and n.name not in KEPT and not (n.name not in HEADINGS and holds[id(n)]) and not (n.hint != 2 and 2 * (chars[id(n)] - links[id(n)]) > plain):
             inside[id(n)] = [n] if n.hint == 1 and 2 * links[id(n)] <= chars[id(n)] else None
             if inside[id(n)] is not None:
                 aside.append((n, inside[id(n)]))
