@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -58,10 +59,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone", "hint")
+    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "gone", "hint", "article")
 
     def __init__(self, name: str, parent: "Node | None", gone: bool):
         self.name, self.parent, self.gone = name, parent, gone
+        self.article = parent is not None and (parent.article or parent.name in ("article", "main"))
         self.hint = 0  # 1 if a word of its class or id may mean boilerplate, 2 if it does
         self.parts: list = []  # texts and nodes, in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -105,10 +107,11 @@ def parse(html: str) -> Node:
     """Tree of a page. Missing and misplaced end tags are borne: paragraphs, list items and
     cells end where the next begins, and an end tag without its start is passed over."""
     root = Node("html", None, False)
-    at, here, article = 0, root, 0
-    stack = [root]
+    here = root
+    stack, opened = [root], Counter()  # how many elements of each name are open
 
     def close(n: int) -> None:
+        opened.subtract(x.name for x in stack[n:])
         del stack[n:]
 
     pos, size = 0, len(html)
@@ -120,18 +123,18 @@ def parse(html: str) -> Node:
         if name is None:
             continue
         if start:
-            if name == "html" or name == "body" and any(n.name == "body" for n in stack):
+            if name == "html" or name == "body" and opened["body"]:
                 continue
             if any(n.name == "head" for n in stack[1:2]) and name not in HEAD_ONLY and name not in VOID:
                 close(1)
-            if name in CLOSES_P:
+            if name in CLOSES_P and opened["p"]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == "p":
                         close(i)
                         break
                     if stack[i].name in BLOCKS:
                         break
-            if name in ENDS:
+            if name in ENDS and any(opened[x] for x in ENDS[name][0]):
                 ends, border = ENDS[name]
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name in border:
@@ -141,18 +144,19 @@ def parse(html: str) -> Node:
                         if name not in ("tr", "tbody", "tfoot"):
                             break
             here = stack[-1]
-            inside = any(n.name in ("article", "main") for n in stack)
-            node = Node(name, here, here.gone or _boilerplate(name, attributes, inside))
+            node = Node(name, here, here.gone)
+            node.gone = node.gone or _boilerplate(name, attributes, node.article)
             # A form goes with its controls, but for one around the article or most of the page.
             node.hint = 3 if name == "form" else _hint(name, attributes)
             here.parts.append(node)
             if name not in VOID and not attributes.endswith("/") or name in BLOCKS and name not in VOID:
                 stack.append(node)
+                opened[name] += 1
             if m[5] is not None:
                 node.parts.append(m[5])
                 if stack[-1] is node:
-                    stack.pop()
-        else:
+                    close(len(stack) - 1)
+        elif opened[name]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
                     close(i)

@@ -1,6 +1,7 @@
 """Main text of pages."""
 
 import re
+import time
 from html import unescape
 
 import pytest
@@ -49,6 +50,17 @@ def test_odd_pages(html, want):
     assert H.main_text(html) == want
 
 
+@pytest.mark.parametrize("piece", ["<div>x ", "<b>x <p>", "<b>x </i>", "<div>x </i>", "<li>x ", "<table><tr><td>x ", "<form>x "])
+def test_deep_pages_take_linear_time(piece):
+    """Elements that are never closed: four times the page may take about four times as long."""
+    def seconds(n):
+        start = time.process_time()
+        H.main_text(piece * n)
+        return time.process_time() - start
+    short = min(seconds(2000) for _ in range(2))
+    assert seconds(8000) < 10 * short + 0.2
+
+
 def slow(html):
     """The article of the test pages, whose markup is known."""
     m = re.search(r"<article>(.*?)(?:</article>|\Z)", html, re.S)
