@@ -207,9 +207,9 @@ def read_profiles(spark, sf):
     return R.read_profiles(spark, path).select("id", "name", F.col("data")["used"].cast("bigint").alias("used"))
 
 
-def _one_file_each(d: DataFrame, path: str) -> str:
-    """Every row as a document in a folder of its id, and one more file that cannot be read."""
-    d.withColumn("k", d[d.columns[0]]).write.partitionBy("k").json(path)
+def _one_file_each(d: DataFrame, path: str, folders: bool = False) -> str:
+    """Every row as a document, with ``folders`` in a folder of its id, and one more file that cannot be read."""
+    W.write_documents(d.withColumn("k", d[d.columns[0]]) if folders else d, path, "k" if folders else None)
     d.sparkSession.range(1).select(F.lit("{broken").alias("value")).write.text(f"{path}/k=broken")
     return path
 
@@ -222,7 +222,7 @@ def read_catalog(spark, sf):
     question = F.struct(F.lit("k").alias("key"), F.lit("t").alias("text"))
     m = s.select(F.concat(F.lit("t"), k.cast("string")).alias("id"), F.when(k % 7 > 0, F.col("s_name")).alias("name"), F.array_repeat(question, (k % 3).cast("int")).alias("questions"),
                  F.when(k % 3 > 0, F.struct(F.concat(F.lit("brand "), F.col("s_nationkey").cast("string")).alias("name"))).alias("payer"))
-    got = R.read_catalog(spark, _one_file_each(m, work_folder(spark, "catalog")), "*.json")
+    got = R.read_catalog(spark, _one_file_each(m, work_folder(spark, "catalog"), folders=True), "*.json")
     return got.select("id", "name", F.col("payer.name").alias("payer"), F.size("questions").alias("question_count"), "folder")
 
 

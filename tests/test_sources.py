@@ -100,3 +100,14 @@ def test_extract_csv_columns(spark, tmp_path):
     d = spark.createDataFrame([("n", None, 'a,"b"', 1, "text", 9)], "name string, label string, value string, page int, field_type string, extra int")
     W.write_extract_csv(d, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).collect()[0][0] == "name,label,value,page,field_type"
+
+
+def test_documents_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 1200, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit("n").alias("name"))
+    W.write_documents(rows, str(tmp_path / "flat"))
+    W.write_documents(rows.withColumn("k", F.concat(F.lit("t"), "id")), str(tmp_path / "folders"), "k")
+    for files in (list((tmp_path / "flat").glob("part-*.json")), list((tmp_path / "folders").glob("k=*/part-*.json"))):
+        assert len(files) == 1200 and len({f.name.split("-")[1] for f in files}) >= 3
+    for folder in ("flat", "folders"):
+        got = R.read_documents(spark, str(tmp_path / folder), R.PROFILE, "*.json")
+        assert got.select("id").distinct().count() == got.count() == 1200
