@@ -203,7 +203,7 @@ def read_profiles(spark, sf):
     path = work_folder(spark, "profiles")
     d = bind(spark, sf, DOCUMENTS)
     data = F.create_map(F.lit("used"), (F.col("id").cast("long") % 7).cast("string"))
-    d.select("id", "name", data.alias("data"), F.col("id").alias("k")).write.partitionBy("k").json(path)
+    W.write_documents(d.select("id", "name", data.alias("data")), path)
     return R.read_profiles(spark, path).select("id", "name", F.col("data")["used"].cast("bigint").alias("used"))
 
 
