@@ -193,7 +193,7 @@ def read_jobs(spark, sf):
     """One document per file; a payload beside them and a file that cannot be read are left out."""
     path = work_folder(spark, "jobs")
     d = bind(spark, sf, DOCUMENTS)
-    d.select("id", "status", "record_count", F.col("id").alias("k")).write.partitionBy("k").json(path)
+    W.write_documents(d.select("id", "status", "record_count"), path)
     spark.range(1).select(F.lit("{broken").alias("value")).write.text(f"{path}/k=broken")
     return R.read_jobs(spark, path).select("id", "status", "record_count")
 
