@@ -80,30 +80,35 @@ def fold_tiers(events: DataFrame) -> DataFrame:
 
 
 class TierProcessor(OrderedProcessor):
-    """State per customer: its keys; emits one row per checkout, and per key and deletion."""
+    """State per customer: its keys; emits one row per checkout, and per key and deletion.
 
-    EVENT = "seq bigint, type string, key_id string, target_tier string"
+    A checkout without a customer can meet no deletion, so it needs no state and is kept by its key."""
+
+    EVENT = "seq bigint, type string, key_id string, target_tier string, customer_id string"
     OUT = ("key_id", "customer_id", "seq", "tier", "checkout")
 
     def start(self):
         return frozenset()
 
     def fold(self, key, state, event):
-        seq, kind, key_id, tier = event
+        seq, kind, key_id, tier, customer = event
         if kind == "checkout.session.completed" and key_id:
-            return state | {key_id}, [(key_id, key[0], seq, tier or "pro", True)]
-        if kind == "customer.subscription.deleted" and key[0] is not None:
-            return state, [(k, key[0], seq, "free", False) for k in sorted(state)]
+            held = state if customer is None or key_id in state else state | {key_id}
+            return held, [(key_id, customer, seq, tier or "pro", True)]
+        if kind == "customer.subscription.deleted" and customer is not None:
+            return state, [(k, customer, seq, "free", False) for k in sorted(state)]
         return state, []
 
 
 def stream_tiers(events: DataFrame, ttl_ms: int | None = None, delay: str | None = None, forget_ms: int | None = None) -> DataFrame:
     """Tier changes by customer, as billing events arrive in any order; ``latest_tiers`` reads the tiers that stand.
 
-    A deletion gives a row for every key that the customer had until then. That a key has
+    Checkouts without a customer go by their key instead, as all of them together would be one state. A deletion gives a row for every key that the customer had until then. That a key has
     moved to another customer since is known only over all rows, so it is resolved on reading. State is bounded as in ``stream_jobs``.
     """
-    return run_ordered(events, "customer_id", TierProcessor, "key_id string, customer_id string, seq bigint, tier string, checkout boolean", ttl_ms, delay, forget_ms)
+    of = F.when(F.col("customer_id").isNotNull(), F.concat(F.lit("customer "), "customer_id")).otherwise(F.concat(F.lit("key "), "key_id"))
+    events = events.where("customer_id is not null or key_id is not null").withColumn("_of", of)
+    return run_ordered(events, "_of", TierProcessor, "key_id string, customer_id string, seq bigint, tier string, checkout boolean", ttl_ms, delay, forget_ms)
 
 
 def latest_tiers(rows: DataFrame) -> DataFrame:

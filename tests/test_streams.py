@@ -123,6 +123,15 @@ def test_tiers(spark):
     assert sorted(map(tuple, SJ.fold_tiers(d).select("key_id", "customer_id", "tier").collect())) == [("k1", "c1", "free"), ("k2", "c2", "pro")]
 
 
+def test_checkouts_without_a_customer_are_no_single_state(spark, tmp_path):
+    co, de = "checkout.session.completed", "customer.subscription.deleted"
+    ev = [(i, co, f"k{i % 50}", None, None) for i in range(200)] + [(200, co, "k0", "business", "c"), (201, de, None, None, "c"), (202, de, None, None, None)]
+    d = spark.createDataFrame(ev, "seq bigint, type string, key_id string, target_tier string, customer_id string")
+    out, state = _in_batches(spark, tmp_path, [d], SJ.stream_tiers)
+    assert sorted(map(str, SJ.latest_tiers(out).collect())) == sorted(map(str, SJ.fold_tiers(d).select("key_id", "customer_id", "tier").collect()))
+    assert _state(spark, state, "snapshot").count() == 51
+
+
 def test_usage_stream_equals_batch(spark):
     d = spark.range(500).select((F.col("id") % 7).alias("key_id"), F.timestamp_seconds(1704067200 + F.col("id") * 1000).alias("ts"))
     streamed = run_stream(spark, d, lambda s: U.stream_usage(s, delay="0 seconds"))
