@@ -10,6 +10,7 @@ from recordflow.operators.reports import batch_summary
 from recordflow.plans import bundle as B, canonical as C
 from recordflow.registry.base import bind, query, table
 from recordflow.registry.scalars import bool_sql, value_sql
+from recordflow.session import spread
 
 # One row per customer: what its record and its profile say.
 RAW = """SELECT c_custkey AS id, c_mktsegment AS batch_id, c_custkey % 120 AS profile_id, c_name AS patient_name,
@@ -34,9 +35,13 @@ ENTRIES = {
 BASE_ENTRIES = {"phone": "s_phone", "name": "s_name", "prescriber_name": "s_name", "office_phone": "s_phone"}
 
 
+RECORDS_A_TASK = 5000
+
+
 def records(spark, sf):
-    """Customers as records (id, batch_id, profile_id, entries)."""
-    return bind(spark, sf, RAW).select("id", "batch_id", "profile_id", R.entries_of({k: F.col(c) for k, c in ENTRIES.items()}).alias("entries"))
+    """Customers as records (id, batch_id, profile_id, entries), spread over tasks by their number."""
+    raw = spread(bind(spark, sf, RAW), table(spark, sf, "customer").count(), RECORDS_A_TASK)
+    return raw.select("id", "batch_id", "profile_id", R.entries_of({k: F.col(c) for k, c in ENTRIES.items()}).alias("entries"))
 
 
 def profiles(spark, sf):
