@@ -70,11 +70,16 @@ def map_fields(bundles: DataFrame, labeled: DataFrame, mapper: DataFrame | Panda
                ttl_days: int = 0) -> tuple[DataFrame, DataFrame]:
     """Map bundles to fields: (mappings per record and field, newly mapped rows per fingerprint).
 
-    Requests with the same fingerprint are mapped once. Cache entries of another version, or older than ``ttl_days`` at ``now``, do not count.
+    Requests with the same fingerprint are mapped once, and what a mapper or the rest of a cache gives is written once, as
+    mappings and new cache rows both read it. Cache entries of another version, or older than ``ttl_days`` at ``now``, do not count.
+    Bundles may bring their ``fingerprint`` along, null where their form has no fields.
     """
     if cache is not None:
         cache = K.valid_cache(cache, F.current_timestamp() if now is None else now, ttl_days)
-    requests = bundles.join(labels_digest(labeled, form), form).withColumn("fingerprint", request_fingerprint())
+    if "fingerprint" in bundles.columns:
+        requests = bundles.where(F.col("fingerprint").isNotNull())
+    else:
+        requests = bundles.join(labels_digest(labeled, form), form).withColumn("fingerprint", request_fingerprint())
     keys = [*by, form, "fingerprint"]
     if cache is None and mapper is None:
         # Text matching costs less than finding equal requests, so records are matched as they are.
@@ -84,30 +89,53 @@ def map_fields(bundles: DataFrame, labeled: DataFrame, mapper: DataFrame | Panda
         return found, fresh.dropDuplicates(["fingerprint", "field_name"])
     if cache is None:
         misses = requests.select("fingerprint", form, "flat").dropDuplicates(["fingerprint"])
-        mapped = map_misses(misses, labeled, mapper, form)
+        mapped = materialize(map_misses(misses, labeled, mapper, form), "mapped")
         return requests.select(*keys).join(mapped, "fingerprint").withColumn("cache_hit", F.lit(False)), mapped
     hits, misses = K.with_cache(requests.select(*keys, "flat"), cache)
-    mapped = map_misses(misses, labeled, mapper, form)
+    mapped = materialize(map_misses(misses, labeled, mapper, form), "mapped")
     known = hits.select(*keys, F.explode("mappings").alias("field_name", "m")).select(
         *keys, "field_name", "m.value", "m.confidence", F.lit(True).alias("cache_hit"))
     new = requests.select(*keys).join(mapped, "fingerprint").withColumn("cache_hit", F.lit(False))
     return known.unionByName(new.select(*known.columns)), mapped
 
 
+def request_bundles(records: DataFrame, labeled: DataFrame, profiles: DataFrame | None = None, form: str = "doc_id",
+                    by: Sequence[str] = RECORD_KEY, shape: str = "auto") -> DataFrame:
+    """Bundles of records with the fingerprint of each request (null where the record failed or its form has no fields).
+
+    Bundles feed both the mapping and the results, and may serve several fills, so they and their
+    fingerprints are made once and written to the shared folder.
+    """
+    bundles = to_bundle(records, profiles, with_structured=False, shape=shape).select(*by, form, "flat", "error")
+    asked = F.col("error").isNull() & F.col("labels_digest").isNotNull()
+    marked = bundles.join(labels_digest(labeled, form).select(form, "labels_digest"), form, "left")
+    return materialize(marked.select(*bundles.columns, F.when(asked, request_fingerprint()).alias("fingerprint")), "bundles")
+
+
 def fill_batch(records: DataFrame, labeled: DataFrame, profiles: DataFrame | None = None, t: float = 0.0,
                mapper: DataFrame | PandasMapper | None = None, cache: DataFrame | None = None, form: str = "doc_id",
                by: Sequence[str] = RECORD_KEY, shape: str = "auto", name_keys: Sequence[str] = fixed.BATCH_NAME_KEYS,
                now: Column | None = None, ttl_days: int = 0) -> dict[str, DataFrame]:
-    """Fill forms for whole batches of records.
+    """Fill forms for whole batches of records, see ``fill_bundles``."""
+    if mapper is None and cache is None:
+        # Text matching asks for fingerprints only where its ``fresh`` rows are wanted.
+        bundles = materialize(to_bundle(records, profiles, with_structured=False, shape=shape).select(*by, form, "flat", "error"), "bundles")
+    else:
+        bundles = request_bundles(records, labeled, profiles, form, by, shape)
+    return fill_bundles(bundles, labeled, t, mapper, cache, form, by, name_keys, now, ttl_days)
+
+
+def fill_bundles(bundles: DataFrame, labeled: DataFrame, t: float = 0.0, mapper: DataFrame | PandasMapper | None = None,
+                 cache: DataFrame | None = None, form: str = "doc_id", by: Sequence[str] = RECORD_KEY,
+                 name_keys: Sequence[str] = fixed.BATCH_NAME_KEYS, now: Column | None = None, ttl_days: int = 0) -> dict[str, DataFrame]:
+    """Fill forms for bundles, best those of ``request_bundles``.
 
-    Bundles feed both the mapping and the results, so they are written once to
-    the shared folder. Returns ``filled`` (record, field, value), ``results`` (one row per record,
+    Returns ``filled`` (record, field, value), ``results`` (one row per record,
     a failed record included with its error), ``summary`` (per batch) and
     ``fresh`` (newly mapped rows, for the cache).
     """
-    bundles = materialize(to_bundle(records, profiles, with_structured=False, shape=shape).select(*by, form, "flat", "error"), "bundles")
     good = bundles.where(F.col("error").isNull())
-    mappings, fresh = map_fields(good.select(*by, form, "flat"), labeled, mapper, cache, form, by, now, ttl_days)
+    mappings, fresh = map_fields(good.drop("error"), labeled, mapper, cache, form, by, now, ttl_days)
     filled = reports.apply_threshold(mappings, t)
     stats = reports.record_stats(mappings, t, by)
     forms = labels_digest(labeled, form).select(form, "fields_detected")

@@ -297,11 +297,12 @@ def _with_hits(out):
 @query(f"SELECT *, idx % 4 = 2 AS cache_hit FROM ({FILLED}) WHERE value IS NOT NULL")
 def fill_batch_cached(spark, sf):
     """Half of the records are mapped before and stored; a quarter of all are too old in the cache by now and are mapped anew."""
-    path, made, labeled = work_folder(spark, "cache"), _as_records(spark, sf), _labeled(spark, sf)
+    path, labeled = work_folder(spark, "cache"), _labeled(spark, sf)
+    bundles = P.request_bundles(_as_records(spark, sf), labeled, shape="flat")
     for rest, day in ((0, "2024-01-01"), (2, "2024-03-01")):
-        fresh = P.fill_batch(made.where(F.col("idx") % 4 == rest), labeled, t=0.5, shape="flat")["fresh"]
+        fresh = P.fill_bundles(bundles.where(F.col("idx") % 4 == rest), labeled, t=0.5)["fresh"]
         ST.upsert_cache(P.fresh_entries(fresh, F.lit(day)), path)
-    return _with_hits(P.fill_batch(made, labeled, t=0.5, shape="flat", cache=ST.read_cache(spark, path), now=F.lit("2024-03-05").cast("timestamp"), ttl_days=30))
+    return _with_hits(P.fill_bundles(bundles, labeled, t=0.5, cache=ST.read_cache(spark, path), now=F.lit("2024-03-05").cast("timestamp"), ttl_days=30))
 
 
 def _names_only(frames):
@@ -320,11 +321,11 @@ def fill_batch_mapper(spark, sf):
 @query(f"SELECT batch_id, idx, 'MemberName' AS field_name, 'by ' || batch_id AS value, 0.5::DOUBLE AS confidence, false AS cache_hit FROM ({FILLED}) WHERE field_name = 'MemberName'")
 def fill_batch_answers(spark, sf):
     """Mapped by a table of a model's answers, one text per request."""
-    made, labeled = _as_records(spark, sf), _labeled(spark, sf)
-    flat = materialize(to_bundle(made, with_structured=False, shape="flat").where("error IS NULL").select("doc_id", "flat"), "bundles")
-    asked = flat.join(P.labels_digest(labeled), "doc_id").select(P.request_fingerprint().alias("fingerprint"), "doc_id").distinct()
+    labeled = _labeled(spark, sf)
+    bundles = P.request_bundles(_as_records(spark, sf), labeled, shape="flat")
+    asked = bundles.where("fingerprint IS NOT NULL").select("fingerprint", "doc_id").distinct()
     answer = F.concat(F.lit('{"MemberName": {"value": "by '), "doc_id", F.lit('", "confidence": 0.5}, "Zip": {"value": "1", "confidence": 0.1}}'))
-    return _with_hits(P.fill_batch(made, labeled, t=0.5, shape="flat", mapper=asked.select("fingerprint", answer.alias("response"))))
+    return _with_hits(P.fill_bundles(bundles, labeled, t=0.5, mapper=asked.select("fingerprint", answer.alias("response"))))
 
 
 @query(f"""SELECT batch_id, count(*) AS total_records, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / CAST(count(*) AS DOUBLE) * 100, 1) AS success_rate,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from recordflow.operators import catalog as K, jobs as J, layout as L, matching as M, ordered as O, reports as A
 from recordflow.plans import extract as X, fill as P
-from recordflow.operators import cache as CA, cache_store as ST
+from recordflow.operators import cache as CA, cache_store as ST, records as R
 
 
 def rows(df, *cols):
@@ -225,6 +225,25 @@ def test_pluggable_mappers(spark):
     assert rows(P.map_fields(bundles, labeled, mapper=mapper)[0], "value", "confidence") == [("fn", 0.5)]
 
 
+def test_a_mapper_sees_each_request_once(spark):
+    """Filled fields, results and new cache rows read what the mapper gave; it is not called again for each."""
+    made = spark.createDataFrame([("b", i, "form", f"P{i % 2}") for i in range(4)], "batch_id string, idx int, doc_id string, name string")
+    records = made.select("batch_id", "idx", "doc_id", R.entries_of({"patientName": F.col("name")}).alias("entries"))
+    labeled = spark.createDataFrame([("form", "F", "l")], "doc_id string, field_name string, label string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def mapper(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf.assign(field_name="F", value="fn", confidence=0.5)[["fingerprint", "field_name", "value", "confidence"]]
+
+    out = P.fill_batch(records, labeled, shape="flat", mapper=mapper)
+    assert [out[k].count() for k in ("filled", "results", "fresh")] == [4, 4, 2] and seen.value == 2
+    bundles = P.request_bundles(records, labeled.where("field_name = 'none'"), shape="flat")
+    assert bundles.where("fingerprint IS NOT NULL").count() == 0
+    assert rows(P.fill_bundles(bundles, labeled.where("field_name = 'none'"), mapper=mapper)["results"], "success", "error") == [(False, "No fillable form fields found")] * 4
+
+
 def _entries(spark, rows):
     return spark.createDataFrame(rows, "fingerprint string, n int, day string").select("fingerprint", "n", F.col("day").cast("timestamp").alias("cached_at"))
 
