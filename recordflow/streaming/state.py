@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# Open events of a key that lie in its snapshot; more of them are moved to chunks of the map, of so many events at most.
+INLINE, CHUNK = 100, 10_000
 
-PLAIN = {"bigint": int, "int": int, "double": float, "string": str, "boolean": bool, "timestamp": lambda v: pd.Timestamp(v).to_pydatetime()}
+
+def _plain(value):
+    """Times without a zone, in UTC, however they arrive."""
+    return value.astimezone(timezone.utc).replace(tzinfo=None) if isinstance(value, datetime) and value.tzinfo else value
 
 
 class OrderedProcessor(StatefulProcessor):
     """Folds a key's events in the order of ``seq``, whatever the order in which they arrive.
 
-    The state holds a snapshot of the fold and the events it rests on, in a map by seq. Events behind all
-    known ones go on from the snapshot. When one arrives late, the key is folded anew, and
+    The state holds a snapshot of the fold and the events it rests on. Every call of the state costs far more than folding an
+    event, so a key and batch take one read and one write: few open events lie in the snapshot, many in chunks of
+    a map, and of the times that a key waits for only the earliest has a timer, which stays when it moves back and
+    looks again when it fires. Events behind all known ones go on from the snapshot. When one arrives late, the key is folded anew, and
     the rows whose answer has changed are given out again. ``known``, the last column of every row, is
     the number of events it rests on: of rows with the same seq those with the largest count.
 
@@ -53,9 +60,9 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "seq bigint, n bigint", f"{self.EVENT}, event_ms bigint", self.ttl_ms)
-        self.snapshot = handle.getValueState(
-            "snapshot", "last bigint, known bigint, state binary, sealed bigint, base binary, least bigint, latest bigint, announced bigint", self.ttl_ms)
+        self.open = handle.getMapState("open", "chunk bigint", "events binary", self.ttl_ms)
+        self.snapshot = handle.getValueState("snapshot", "held binary", self.ttl_ms)
+        self.row = Row(*self.OUT, "known")
 
     @staticmethod
     def order(event: tuple) -> tuple:
@@ -70,12 +77,14 @@ class OrderedProcessor(StatefulProcessor):
             out.setdefault(self.order(e), []).extend(rows)
         return state, out
 
-    def _arrived(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
-        names, kinds = zip(*[c.split() for c in [*self.EVENT.split(", "), "event_ms bigint"]])
-        # pandas has made floats of whole numbers beside nulls; the store takes the declared kinds only.
-        return [tuple(None if pd.isna(v) else PLAIN[k](v) for k, v in zip(kinds, e)) for pdf in rows for e in pdf[list(names)].itertuples(index=False, name=None)]
+    def _arrived(self, rows: Iterator[Row]) -> list[tuple]:
+        names, places, new = [c.split()[0] for c in self.EVENT.split(", ")] + ["event_ms"], None, []
+        for r in rows:
+            places = places or [r.__fields__.index(n) for n in names]
+            new.append(tuple(_plain(r[i]) for i in places))
+        return new
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         new = self._arrived(rows)
         if not new:
             return
@@ -87,12 +96,11 @@ class OrderedProcessor(StatefulProcessor):
             at["state"], after = self._folded(key, at["state"], new)
             out = [r for found in after.values() for r in found]
         else:
-            old = list(self.open.values())
+            old = self._held(at)
             _, before = self._folded(key, at["base"], old)
-            at["state"], after = self._folded(key, at["base"], [*map(tuple, old), *new])
+            at["state"], after = self._folded(key, at["base"], [*old, *new])
             out = [r for order, found in after.items() if before.get(order) != found for r in found]
-        for n, e in enumerate(new, at["known"]):
-            self.open.updateValue((e[0], n), e)
+        at["held"] += new
         at["known"] += len(new)
         at["last"] = max([e[0] for e in new] + ([] if at["last"] is None else [at["last"]]))
         if self.seal:
@@ -100,14 +108,15 @@ class OrderedProcessor(StatefulProcessor):
             at["least"] = min([t for t in [at["least"], *times] if t is not None], default=None)
             at["latest"] = max([t for t in [at["latest"], *times] if t is not None], default=None)
             self._sealed(key, at, timerValues.getCurrentWatermarkInMs())
-            self._timers(at)
+            self._timer(at)
         self._keep(at)
-        if out:
-            yield pd.DataFrame([(*r, at["known"]) for r in out], columns=[*self.OUT, "known"])
+        for r in out:
+            yield self.row(*r, at["known"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         at = self._load()
+        at["timer"] = None
         due = self.deadline(at["state"])
         out = []
         if due is not None and due <= max(now, expiredTimerInfo.getExpiryTimeInMs()) and due != at["announced"]:
@@ -118,46 +127,57 @@ class OrderedProcessor(StatefulProcessor):
             self.snapshot.clear()
         else:
             self._sealed(key, at, now)
-            self._timers(at, expiredTimerInfo.getExpiryTimeInMs())
+            self._timer(at)
             self._keep(at)
-        if out:
-            yield pd.DataFrame([(*r, at["known"]) for r in out], columns=[*self.OUT, "known"])
+        for r in out:
+            yield self.row(*r, at["known"])
+
+    def _held(self, at: dict) -> list[tuple]:
+        """All open events of a key."""
+        return [e for (chunk,) in (self.open.values() if at["chunks"] else ()) for e in pickle.loads(bytes(chunk))] + at["held"]
 
     def _sealed(self, key, at: dict, watermark: int) -> None:
         """Fold the first open events that the watermark has passed into the base. Events without a time wait for nobody."""
         if at["least"] is None or at["least"] > watermark:
             return
-        held = sorted(((k, tuple(e)) for k, e in self.open.iterator()), key=lambda x: self.order(x[1][:-1]))
-        done = next((i for i, (_, e) in enumerate(held) if e[-1] is not None and e[-1] > watermark), len(held))
+        held = sorted(self._held(at), key=lambda e: self.order(e[:-1]))
+        done = next((i for i, e in enumerate(held) if e[-1] is not None and e[-1] > watermark), len(held))
         if done:
-            at["base"], _ = self._folded(key, at["base"], [e for _, e in held[:done]])
-            at["sealed"] = held[done - 1][1][0]
-            for k, _ in held[:done]:
-                self.open.removeKey(tuple(k))
-        at["least"] = min((e[-1] for _, e in held[done:] if e[-1] is not None), default=None)
-
-    def _timers(self, at: dict, fired: int | None = None) -> None:
-        """Set the timers that the state asks for and delete those it asks for no more."""
+            at["base"], _ = self._folded(key, at["base"], held[:done])
+            at["sealed"] = held[done - 1][0]
+            if at["chunks"]:
+                self.open.clear()
+            at["held"], at["chunks"] = held[done:], 0
+        at["least"] = min((e[-1] for e in held[done:] if e[-1] is not None), default=None)
+
+    def _timer(self, at: dict) -> None:
+        """Have a timer no later than the first time that the state waits for."""
         due = self.deadline(at["state"])
-        wanted = {due} if due is not None and due != at["announced"] else set()
+        wanted = [due] if due is not None and due != at["announced"] else []
         if at["least"] is not None:
-            wanted.add(at["latest"])
+            wanted.append(at["latest"])
         if self.forget_ms is not None and at["latest"] is not None:
-            wanted.add(at["latest"] + self.forget_ms)
-        there = {int(t) for t in self.handle.listTimers()} - {fired}
-        for t in there - wanted:
-            self.handle.deleteTimer(t)
-        for t in wanted - there - {fired}:
-            self.handle.registerTimer(t)
+            wanted.append(at["latest"] + self.forget_ms)
+        if wanted and (at["timer"] is None or min(wanted) < at["timer"]):
+            if at["timer"] is not None:
+                self.handle.deleteTimer(at["timer"])
+            at["timer"] = min(wanted)
+            self.handle.registerTimer(at["timer"])
 
     def _load(self) -> dict:
-        if not self.snapshot.exists():
-            return {"last": None, "known": 0, "state": self.start(), "sealed": None, "base": self.start(), "least": None, "latest": None, "announced": None}
-        last, known, state, sealed, base, least, latest, announced = self.snapshot.get()
-        return {"last": last, "known": known, "state": pickle.loads(bytes(state)), "sealed": sealed, "base": pickle.loads(bytes(base)), "least": least, "latest": latest, "announced": announced}
+        held = self.snapshot.get()
+        if held is None:
+            return {"last": None, "known": 0, "state": self.start(), "sealed": None, "base": self.start(), "held": [], "chunks": 0,
+                    "least": None, "latest": None, "announced": None, "timer": None}
+        return pickle.loads(bytes(held[0]))
 
     def _keep(self, at: dict) -> None:
-        self.snapshot.update((at["last"], at["known"], pickle.dumps(at["state"]), at["sealed"], pickle.dumps(at["base"]), at["least"], at["latest"], at["announced"]))
+        if len(at["held"]) > INLINE:
+            for i in range(0, len(at["held"]), CHUNK):
+                self.open.updateValue((at["chunks"],), (pickle.dumps(at["held"][i:i + CHUNK]),))
+                at["chunks"] += 1
+            at["held"] = []
+        self.snapshot.update((pickle.dumps(at),))
 
     def close(self) -> None:
         pass
@@ -176,7 +196,7 @@ def run_ordered(events: DataFrame, key: str, processor: Callable[..., OrderedPro
             raise ValueError("with a delay keys are forgotten by forget_ms")
         events = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_ms", F.unix_millis("ts")).withWatermark("ts", delay)
         mode = "eventtime"
-    return events.groupBy(key).transformWithStateInPandas(
+    return events.groupBy(key).transformWithState(
         statefulProcessor=processor(ttl_ms=ttl_ms, seal=delay is not None, forget_ms=forget_ms), outputStructType=f"{out}, known bigint", outputMode="append", timeMode=mode)
 
 

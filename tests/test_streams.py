@@ -2,7 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from recordflow.operators import jobs as J
 from recordflow.registry.storage import run_stream
@@ -201,3 +201,60 @@ def test_sealed_twins_in_any_order(spark):
     ev = spark.createDataFrame(rows, "session_id string, seq bigint, action string, signer_index int, signers int, ts bigint").withColumn("ts", F.timestamp_seconds(F.col("ts") + 1704067200))
     out = settled(run_stream(spark, ev, lambda s: SG.stream_signing(s, delay="20 minutes"), batches=6), "session_id", "seq")
     assert sorted(map(tuple, out.select("session_id", "seq", "accepted").collect())) == want
+
+
+class Counted:
+    """State of one key in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.chunks, self.timers = 0, None, {}, set()
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.chunks[key] = value
+
+    def values(self):
+        self.calls += 1
+        return iter(self.chunks.values())
+
+    def clear(self):
+        self.calls += 1
+        self.chunks = {}
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_state_calls_do_not_grow_with_events():
+    """A key and batch take one read and one write, also with many events; open events beyond the snapshot are found again."""
+    p, state = SJ.JobProcessor({}, seal=True), Counted()
+    p.init(state)
+    event = lambda i: Row(job_id="j", seq=i, action="create" if i == 0 else "update", status=f"s{i}", event_ms=1000 + i)
+    for first in range(0, 1000, 250):
+        state.calls = 0
+        out = list(p.handleInputRows(("j",), iter([event(i) for i in range(first, first + 250) if i != 7]), state))
+        assert len(out) == 250 - (first == 0) and out[-1].known == first + 249 and state.calls <= 4
+    assert len(state.timers) == 1 and len(state.chunks) == 4
+    late = list(p.handleInputRows(("j",), iter([event(7)]), state))
+    assert [(r.seq, r.status, r.known) for r in late] == [(7, "s7", 1000)]
