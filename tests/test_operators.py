@@ -225,6 +225,16 @@ def test_pluggable_mappers(spark):
     assert rows(P.map_fields(bundles, labeled, mapper=mapper)[0], "value", "confidence") == [("fn", 0.5)]
 
 
+def test_matches_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    """Every entry scores for every field: 2,000 rows, and the fields without a text take one of each record."""
+    monkeypatch.setattr(M, "MATCHES_A_TASK", 100)
+    fields = spark.createDataFrame([("f", f"zip{i}", [f"zip {i}"]) for i in range(10)] + [("g", "none", ["-"])], "form_id string, field_name string, candidates array<string>")
+    entries = spark.createDataFrame([(i, "f", 0, "zip", str(i)) for i in range(200)] + [(i, "g", 0, "k", str(i)) for i in range(1000)], "record_id int, form_id string, pos int, key string, value string")
+    d = M.match_fields(fields, entries)
+    assert d.rdd.getNumPartitions() >= 30 and d.count() == 3000
+    assert d.where("value <> CAST(record_id AS STRING) OR score <> 60").count() == 0
+
+
 def test_a_mapper_sees_each_request_once(spark):
     """Filled fields, results and new cache rows read what the mapper gave; it is not called again for each."""
     made = spark.createDataFrame([("b", i, "form", f"P{i % 2}") for i in range(4)], "batch_id string, idx int, doc_id string, name string")
