@@ -10,7 +10,7 @@ from recordflow.plans import extract as X, fill as P
 from recordflow.plans.bundle import to_bundle
 from recordflow.registry.base import bind, duck, pick, query, table
 from recordflow.registry.records import RAW, records
-from recordflow.session import materialize, work_folder
+from recordflow.session import keep_partitions, materialize, spread, work_folder
 
 # Words of documents laid out as 8 columns and 50 lines a page; a word that ends a
 # sentence is followed by a field.
@@ -25,8 +25,15 @@ CAST(CASE WHEN word_no % 8 = 0 THEN 20 ELSE x1 + 4 END AS INT) AS x0, CAST(CASE
 CAST(CASE WHEN word_no % 8 = 0 THEN 28 ELSE x1 + 24 END AS INT) AS x, CAST(top - word_no % 5 AS INT) AS y FROM {w} WHERE right(text, 1) = '.'"""
 
 
+DOCUMENTS_A_TASK = 2000
+
+
 def words(spark, sf):
-    return bind(spark, sf, SPARK_WORDS)
+    """Words of documents, which are dealt over tasks by their number before they are laid out: a text moves once and whole, and as joins, windows and
+    aggregates of the layout go by document, neither its words nor the fields made of them move again."""
+    keep_partitions(spark)
+    d = table(spark, sf, "documents")
+    return spark.sql(SPARK_WORDS, documents=spread(d.select("doc_id", "text"), d.count(), DOCUMENTS_A_TASK, "doc_id"))
 
 
 def fields(spark, sf):

@@ -44,3 +44,24 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["infer_labels", "inspect_form", "labeled_fields"])
+def test_layout_moves_documents_only(spark, name):
+    """Words and fields stay where their document went, also where no side is small enough for a broadcast."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert moved and all("REPARTITION_BY_NUM" in line for line in moved)
+
+
+def test_partitions_are_kept_for_the_layout_only(spark):
+    from recordflow.session import CO_PARTITION
+    entry.queries()["reading_order"](spark, SF)
+    assert spark.conf.get(CO_PARTITION) == "false"
+    entry.queries()["overlay"](spark, SF)
+    assert spark.conf.get(CO_PARTITION) == "true"
