@@ -25,7 +25,7 @@ def extract(values: DataFrame, fields: DataFrame | None = None, words: DataFrame
     ``position`` is (page, y, x), null for names that were not detected.
 
     A full name and the leaf it may stand for share their last part, so labelled fields and
-    values meet in one exchange by document and last part, and all that follows stays there.
+    values meet by document and last part, and all that follows stays there; where both come partitioned by document, nothing moves.
     """
     place = "struct<page:int,y:int,x:int>"
     read = values.select("doc_id", F.col("full_name").alias("name"), F.coalesce("value", F.lit("")).alias("value"), "pos")
@@ -34,16 +34,19 @@ def extract(values: DataFrame, fields: DataFrame | None = None, words: DataFrame
         return read.select("doc_id", "name", empty[0], "value", *empty[1:], F.lit(1).alias("source"), F.lit(None).cast(place).alias("position"))
     seen = field_labels(fields, words).select(
         "doc_id", "name", F.struct("page", "y", "x").cast(place).alias("at"), "label", (F.col("page") + 1).cast("int").alias("page"), field_kind("type").alias("field_type"))
-    both = seen.unionByName(read, allowMissingColumns=True).withColumn("_leaf", leaf_name("name")).repartition("doc_id", "_leaf")
-    family, detected = Window.partitionBy("doc_id", "_leaf"), F.col("at").isNotNull()
+    # Both sides alias the document alike, so that Spark sees that their union is partitioned as they are.
+    doc = F.col("doc_id").alias("_doc")
+    sides = [d.select(doc, *[c for c in d.columns if c != "doc_id"]) for d in (seen, read)]
+    both = sides[0].unionByName(sides[1], allowMissingColumns=True).withColumn("_leaf", leaf_name("name"))
+    family, detected = Window.partitionBy("_doc", "_leaf"), F.col("at").isNotNull()
     # The last full name of a leaf is the field's name; names with dots stand for themselves.
     last = F.max_by(F.when(~detected, F.col("name")), F.when(~detected, F.col("pos"))).over(family)
     named = both.withColumn("name", F.when(detected & (F.col("name") == F.col("_leaf")), F.coalesce(last, F.col("name"))).otherwise(F.col("name")))
-    same = Window.partitionBy("doc_id", "_leaf", "name")
+    same = Window.partitionBy("_doc", "_leaf", "name")
     known = named.select(
         "*", F.max_by(F.when(detected, F.struct("label", "page", "field_type")), "at").over(same).alias("_facts"), F.min("at").over(same).alias("position"),
         F.min(detected.cast("int")).over(same).alias("_unread"), F.row_number().over(same.orderBy(F.col("at"))).alias("_nth"))
     # Every value is a row; a field without a value is one.
     kept = known.where(~detected | ((F.col("_unread") == 1) & (F.col("_nth") == 1)))
-    return kept.select("doc_id", "name", "_facts.label", F.coalesce("value", F.lit("")).alias("value"), "_facts.page", "_facts.field_type",
+    return kept.select(F.col("_doc").alias("doc_id"), "name", "_facts.label", F.coalesce("value", F.lit("")).alias("value"), "_facts.page", "_facts.field_type",
                        F.when(F.col("position").isNull(), 1).otherwise(0).alias("source"), "position")

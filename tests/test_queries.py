@@ -46,7 +46,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["infer_labels", "inspect_form", "labeled_fields"])
+@pytest.mark.parametrize("name", ["extract", "infer_labels", "inspect_form", "labeled_fields"])
 def test_layout_moves_documents_only(spark, name):
     """Words and fields stay where their document went, also where no side is small enough for a broadcast."""
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
