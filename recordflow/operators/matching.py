@@ -61,31 +61,33 @@ def match_fields(fields: DataFrame, entries: DataFrame, record: str = "record_id
 
     ``fields``: form, field_name, candidates ARRAY<STRING> in order of weight.
     ``entries``: record, form, pos, key, value. Ties go to the earliest entry. Only scores of 60 and more count. The
-    distinct texts of each form and their scores are written once: they are few beside the
-    entries, and Spark then sees how few and can leave the entries where they are. The texts come with the number of
+    distinct keys of each form and their scores are written once: they are few beside the
+    entries, and Spark then sees how few and can leave the entries where they are. Entries meet the scores by their key as it
+    is, so a key is squashed once per form, not once per entry. The keys come with the number of
     their entries, so the number of scoring rows is known before these are made, and they are dealt over as many tasks as
     they need.
     """
     texts = fields.select(form, "field_name", F.explode("candidates").alias("text")).where(
         F.coalesce(F.col("text"), F.lit("")) != "").select(form, "field_name", squash("text").alias("a"))
     texts = materialize(texts, "field-texts")
-    keyed = entries.withColumn("b", squash("key"))
-    keys_of_form = materialize(keyed.groupBy(form, "b").agg(F.count(F.lit(1)).alias("n")), "key-texts")
+    counted = materialize(entries.groupBy(form, "key").agg(F.count(F.lit(1)).alias("n")), "keys").withColumn("b", squash("key"))
+    keys_of_form = counted.select(form, "b").distinct()
     # A key of separators only is contained in every text.
     in_all = texts.select(form, "field_name", F.lit("").alias("b"), F.when(F.col("a") == "", EXACT).otherwise(CONTAINED).alias("score"))
     scores = texts.join(text_scores(texts, keys_of_form, form), [form, "a"]).select(form, "field_name", "b", "score").unionByName(
-        in_all.join(keys_of_form.where("b = ''").drop("n"), [form, "b"]).select(form, "field_name", "b", "score"))
-    per_form = materialize(scores.groupBy(form, "field_name", "b").agg(F.max("score").alias("score")), "text-scores")
-    scored = keyed.join(per_form, [form, "b"]).select(record, form, "field_name", "pos", "key", "value", "score")
-    rows = keys_of_form.join(per_form.groupBy(form, "b").agg(F.count(F.lit(1)).alias("fields")), [form, "b"]).agg(F.sum(F.col("n") * F.col("fields")).alias("rows")).first()["rows"] or 0
+        in_all.join(keys_of_form.where("b = ''"), [form, "b"]).select(form, "field_name", "b", "score"))
+    per_form = scores.groupBy(form, "field_name", "b").agg(F.max("score").alias("score"))
+    by_key = materialize(per_form.join(counted, [form, "b"]).select(form, "field_name", "key", "score", "n"), "key-scores")
+    scored = entries.join(by_key, [form, "key"]).select(record, form, "field_name", "pos", "key", "value", "score")
+    rows = by_key.agg(F.sum("n").alias("rows")).first()["rows"] or 0
     # A text of separators only is contained in every key, so there the earliest entry scores.
     blank = texts.where("a = ''").select(form, "field_name").distinct()
     if not blank.isEmpty():
-        first = keyed.join(blank.select(form).distinct(), form, "left_semi").groupBy(record, form).agg(
-            F.min_by(F.struct("pos", "key", "value", "b"), "pos").alias("e"))
+        first = entries.join(blank.select(form).distinct(), form, "left_semi").groupBy(record, form).agg(
+            F.min_by(F.struct("pos", "key", "value"), "pos").alias("e"))
         scored = scored.unionByName(first.join(blank, form).select(
-            record, form, "field_name", "e.pos", "e.key", "e.value", F.when(F.col("e.b") == "", EXACT).otherwise(CONTAINED).alias("score")))
-        rows += keys_of_form.join(blank.groupBy(form).agg(F.count(F.lit(1)).alias("fields")), form).agg(F.sum(F.col("n") * F.col("fields")).alias("rows")).first()["rows"] or 0
+            record, form, "field_name", "e.pos", "e.key", "e.value", F.when(squash("e.key") == "", EXACT).otherwise(CONTAINED).alias("score")))
+        rows += counted.join(blank.groupBy(form).agg(F.count(F.lit(1)).alias("fields")), form).agg(F.sum(F.col("n") * F.col("fields")).alias("rows")).first()["rows"] or 0
     return spread(scored, rows, MATCHES_A_TASK, record, form, "field_name").groupBy(record, form, "field_name").agg(
         F.max_by(F.struct("key", "value", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("m")
     ).select(record, form, "field_name", "m.key", "m.value", "m.score")

@@ -235,6 +235,15 @@ def test_matches_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
     assert d.where("value <> CAST(record_id AS STRING) OR score <> 60").count() == 0
 
 
+def test_keys_are_squashed_once_a_form(spark):
+    """Entries meet the scores by their key as it is; keys that squash alike count as one, and each keeps its own name."""
+    fields = spark.createDataFrame([("f", "zip", ["Zip-Code"])], "form_id string, field_name string, candidates array<string>")
+    entries = spark.createDataFrame([(i, "f", p, k, f"{i}{k}") for i in range(6) for p, k in enumerate(["other", ["zip_code", "ZIP code", "zip"][i % 3]])], "record_id int, form_id string, pos int, key string, value string")
+    d = M.match_fields(fields, entries)
+    assert "regexp_replace" not in d._jdf.queryExecution().executedPlan().toString().lower()
+    assert rows(d, "record_id", "key", "score") == [(i, ["zip_code", "ZIP code", "zip"][i % 3], [100, 100, 60][i % 3]) for i in range(6)]
+
+
 def test_a_mapper_sees_each_request_once(spark):
     """Filled fields, results and new cache rows read what the mapper gave; it is not called again for each."""
     made = spark.createDataFrame([("b", i, "form", f"P{i % 2}") for i in range(4)], "batch_id string, idx int, doc_id string, name string")
