@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordflow.functions.scalars import strip
-from recordflow.streaming.state import OrderedProcessor, run_ordered
+from recordflow.streaming.state import EPOCH, Buckets, OrderedProcessor, run_ordered
 
 DEFAULT_HOURS, LEAST_HOURS = 168, 1
+# States of a stream over which its approvals are dealt.
+BUCKETS = 4096
 
 
 def expires_at(created_at, hours) -> Column:
@@ -72,7 +76,7 @@ class ApprovalProcessor(OrderedProcessor):
     def fold(self, key, state, event):
         token, expires, status = state
         seq, ts, action, given, hours = event
-        at = int(pd.Timestamp(ts).value // 1_000_000)
+        at = (pd.NaT.value if ts is None else (ts - EPOCH) // timedelta(microseconds=1) * 1000) // 1_000_000
         if action == "create":
             return (given, at + max(LEAST_HOURS, DEFAULT_HOURS if hours is None else int(hours)) * 3_600_000, "pending"), []
         reason = None
@@ -95,12 +99,19 @@ class ApprovalProcessor(OrderedProcessor):
         return [(key[0], -1, "expired", True, None)]
 
 
-def stream_approvals(events: DataFrame, delay: str = "1 hour", forget_ms: int | None = None) -> DataFrame:
+class ApprovalBuckets(Buckets, ApprovalProcessor):
+    """Approvals have an event or two each, so many share a state."""
+
+    KEY = "approval_id"
+
+
+def stream_approvals(events: DataFrame, delay: str = "1 hour", forget_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Stream twin: events approval_id, seq, ts, action (create / approved / rejected), token, expires_in_hours.
 
     Emits judged decisions, and an ``expired`` row (seq -1) when the watermark passes the expiry of a
     pending approval. Events may arrive in any order within ``delay``: a create that comes late sets the timer, a
     decision that does deletes it. ``state.settled`` reads the rows that stand, by approval and seq. Older events are sealed, and
-    ``forget_ms`` forgets approvals that have been still for so long in event time.
+    ``forget_ms`` forgets approvals that have been still for so long in event time. Approvals lie in ``buckets``, each one state that a batch with
+    any of its approvals reads and writes whole; their number stays as it is with a checkpoint.
     """
-    return run_ordered(events, "approval_id", ApprovalProcessor, "approval_id string, seq bigint, status string, accepted boolean, reason string", None, delay, forget_ms)
+    return run_ordered(events, "approval_id", ApprovalBuckets, "approval_id string, seq bigint, status string, accepted boolean, reason string", None, delay, forget_ms, buckets)

@@ -1,14 +1,16 @@
 """Streams against brute force and against their batch twins."""
 
+import json
 import random
 
+import pandas as pd
 from pyspark.sql import Row, functions as F
 
 from recordflow.operators import jobs as J
 from recordflow.registry.storage import run_stream
 from recordflow.session import STATE_STORE
 from recordflow.streaming import approvals as AP, jobs as SJ, signing as SG, usage as U
-from recordflow.streaming.state import settled
+from recordflow.streaming.state import run_ordered, settled
 
 
 def signing_events(spark):
@@ -258,3 +260,58 @@ def test_state_calls_do_not_grow_with_events():
     assert len(state.timers) == 1 and len(state.chunks) == 4
     late = list(p.handleInputRows(("j",), iter([event(7)]), state))
     assert [(r.seq, r.status, r.known) for r in late] == [(7, "s7", 1000)]
+
+
+def test_buckets_give_what_a_state_per_key_gives(spark, tmp_path):
+    """Approvals in few buckets, with late creates and decisions, expiries, ties, nulls and odd texts."""
+    rnd = random.Random(4)
+    day = lambda h: f"2024-01-{1 + h // 24:02d} {h % 24:02d}:30:00.123456"
+    rows = [(f"a{i}", 10 * i, day(i), "create", rnd.choice(["t", "\"t\n\u00e9\\", ""]), rnd.choice([None, 1, 5, 40])) for i in range(60)]
+    rows += [(f"a{k}", 10 * k + 1 + rnd.randrange(8), day(k + rnd.randrange(9)), rnd.choice(["approved", "rejected"]), rnd.choice(["t", "\"t\n\u00e9\\", None]), None) for k in [rnd.randrange(62) for _ in range(150)]]
+    rows += [(None, 5, day(3), "approved", "t", None), ("", 2 ** 62, day(4), "create", "t", 3), ("b", 0, None, "create", "t", 3), ("b", 1, day(9), "approved", "t", None)]
+    batches = [sorted(rows, key=lambda r: (r[2] or "", r[1]))[i::4] for i in range(4)]
+    batches.append([("z", 0, day(200), "create", "t", 1)])
+    batches.append([("z", 1, day(300), "approved", "no", None)])
+    frames = [spark.createDataFrame(b, "approval_id string, seq bigint, ts string, action string, token string, expires_in_hours int").withColumn("ts", F.to_timestamp("ts")) for b in batches]
+    (tmp_path / "keys").mkdir(), (tmp_path / "buckets").mkdir()
+    for forget in (None, 20 * 3_600_000):
+        one, many = tmp_path / "keys" / str(forget), tmp_path / "buckets" / str(forget)
+        one.mkdir(), many.mkdir()
+        by_key, _ = _in_batches(spark, one, frames, lambda s: run_ordered(s, "approval_id", AP.ApprovalProcessor, "approval_id string, seq bigint, status string, accepted boolean, reason string", None, "4 days", forget))
+        by_bucket, state = _in_batches(spark, many, frames, lambda s: AP.stream_approvals(s, "4 days", forget, buckets=3))
+        assert by_bucket.schema == by_key.schema and _state(spark, state, "bucket").count() <= 3
+        got, want = (sorted(map(str, d.collect())) for d in (by_bucket, by_key))
+        assert got == want and sum("expired" in r for r in want) > 5
+
+
+class Shared(Counted):
+    """State of one bucket in memory."""
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.chunks[key]
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.chunks[key]
+
+
+def test_a_bucket_takes_one_read_and_one_write():
+    p, state = AP.ApprovalBuckets(seal=True), Shared()
+    p.init(state)
+
+    def take(*rows):
+        state.calls = 0
+        rows = [json.dumps({"k": k, "v0": seq, "v1": 1_000_000 * at, "v2": action, "v3": "t", "v4": 10, "v5": 1000 * at}) for k, seq, at, action in rows]
+        return [tuple(r) for t in p.handleInputRows((1,), iter([pd.DataFrame({"row": rows})]), state) for r in t.itertuples(index=False)]
+
+    assert take(*[(f"a{i}", 0, 1 + i, "create") for i in range(300)]) == [] and state.calls <= 3
+    out = take(*[(f"a{i}", 1, 500, "approved") for i in range(300)])
+    assert [r[:2] + r[3:] for r in out] == [(f"a{i}", 1, True, None, 2) for i in range(300)] and state.calls <= 3
+    assert len(state.timers) == 1
+    # Many open events of one approval lie in chunks of its own, and are found again.
+    take(*[("hot", i, 600, "rejected") for i in range(200) if i > 1])
+    assert state.calls <= 4 and set(state.chunks) == {("hot", 0)}
+    late = take(("hot", 0, 600, "create"), ("hot", 1, 600, "approved"))
+    assert len(late) == 199 and {r[4] for r in late} == {None, "already decided: approved"} and late[0][:4] == ("hot", 1, "approved", True)
+    assert take(("a7", 2, 601, "approved")) == [("a7", 2, "approved", False, "already decided: approved", 3)]
